@@ -7,6 +7,7 @@ for the JVM with :func:`jvm_regex`.
 
 from __future__ import annotations
 
+import re
 from fractions import Fraction
 
 # --------------------------------------------------------------------------
@@ -112,6 +113,11 @@ ENTITY_PATTERNS = [
     ("code_block", False, r"`[^`]+`"),
     ("file_path", False, r"(?:\/[\w.-]+)+|C:\\(?:[\\w.-]+\\)+[\w.-]+"),
 ]
+# text without any of these characters cannot match the pattern
+ENTITY_MARKS = {
+    "email": ["@"], "url": ["://"], "mentions": ["@"], "hashtag": ["#"], "code_block": ["`"],
+    "file_path": ["/", "\\"], "version": ["."],
+}
 PROPER_NAME_PATTERN = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b"
 IGNORED_NAMES = ["A", "I", "My", "Our", "The", "This", "That", "We", "You"]
 MAX_ENTITIES = 10
@@ -255,9 +261,15 @@ RESULT_COUNT_BUCKETS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16]
 WHITE_SPACE = (
     r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+WHITE_SPACE_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 _WORD = "[A-Za-z0-9_]"
-_BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
-_NOT_BOUNDARY = f"(?:(?<!{_WORD})(?!{_WORD})|(?<={_WORD})(?={_WORD}))"
+_BEFORE, _AFTER = f"(?<!{_WORD})", f"(?!{_WORD})"
+_BOUNDARY = f"(?:{_BEFORE}(?={_WORD})|(?<={_WORD}){_AFTER})"
+_NOT_BOUNDARY = f"(?:{_BEFORE}{_AFTER}|(?<={_WORD})(?={_WORD}))"
+_WORD_AHEAD = re.compile(r"(?:\((?:\?:)?)*[A-Za-z0-9]|\[[A-Za-z0-9-]+\]")
 
 
 def expand_white_space(pattern: str) -> str:
@@ -284,12 +296,27 @@ def expand_white_space(pattern: str) -> str:
 def jvm_regex(pattern: str, ignore_case: bool = False) -> str:
     """Render a neutral pattern for ``java.util.regex``.
 
-    Java's ``\\b`` is Unicode-aware, so it is spelled out with look-arounds.
+    Java's ``\\b`` is Unicode-aware, so boundaries are spelled out.  A leading
+    ``\\b`` in front of a word character and a trailing one behind a word
+    character need one look-around only.
     """
-    text = expand_white_space(pattern).replace(r"\b", _BOUNDARY).replace(r"\B", _NOT_BOUNDARY)
+    text = expand_white_space(pattern)
+    if text.startswith(r"\b") and _WORD_AHEAD.match(text, 2):
+        text = _BEFORE + text[2:]
+    if text.endswith(r"\b") and text[-3:-2].isalnum() or text.endswith(")\\b") and _ends_in_words(text):
+        text = text[:-2] + _AFTER
+    text = text.replace(r"\b", _BOUNDARY).replace(r"\B", _NOT_BOUNDARY)
     return ("(?i)" if ignore_case else "") + text
 
 
+def _ends_in_words(pattern: str) -> bool:
+    """True when the final group is an alternation of branches that end in a letter."""
+    body = pattern[:-2]
+    if re.search(r"[?*+}\]](?:\||\)+$)", body):
+        return False
+    return all(branch.rstrip(")")[-1:].isalnum() for branch in body.split("|"))
+
+
 # --------------------------------------------------------------------------
 # Two-decimal rounding cut points
 # --------------------------------------------------------------------------

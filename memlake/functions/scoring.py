@@ -115,6 +115,10 @@ def entities(text: Column) -> Column:
     parts = []
     for kind, ignore_case, pattern in lx.ENTITY_PATTERNS:
         found = F.regexp_extract_all(text, F.lit(lx.jvm_regex(pattern, ignore_case)), F.lit(0))
+        marks = lx.ENTITY_MARKS.get(kind)
+        if marks:
+            found = F.when(contains_any(text, marks), found).otherwise(
+                F.array().cast("array<string>"))
         parts.append(_labelled(kind, found))
     names = F.regexp_extract_all(text, F.lit(lx.jvm_regex(lx.PROPER_NAME_PATTERN)), F.lit(0))
     names = F.filter(names, lambda v: ~v.isin(lx.IGNORED_NAMES))
@@ -177,7 +181,7 @@ def confidence(lower: Column, role: Column, kind: Column, n_tags: Column,
                specificity_score: Column, domain_confidence: Column) -> Column:
     facts = count_contained(lower, lx.FACT_TERMS)
     hedges = count_contained(lower, lx.UNCERTAIN_TERMS)
-    aimless = (role == "assistant") & ~matches(lower, lx.DECISION_PATTERN, True)
+    aimless = (role == "assistant") & ~matches(lower, lx.DECISION_PATTERN)
     return (F.when(role == "user", 0.58).otherwise(0.44)
             + specificity_score * 0.18 + domain_confidence * 0.12
             + F.least(F.lit(0.08), n_tags * 0.02)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from memlake.functions.lexicon import (
     CONSOLIDATION_STOP_WORDS, CONTRACTIONS, CONFLICT_STOP_WORDS, ROUND_CUTS, STOP_TERMS,
-    WHITE_SPACE, jvm_regex,
+    WHITE_SPACE_CHARS, jvm_regex,
 )
 
 _STOP = "(?<![a-z0-9])(?:" + "|".join(STOP_TERMS) + ")(?![a-z0-9])"
@@ -27,6 +27,9 @@ def hours_between(earlier: Column, later: Column) -> Column:
     return (F.unix_millis(later) - F.unix_millis(earlier)) / F.lit(3600000.0)
 
 
+_CUTS = "array(" + ", ".join(f"{c!r}D" for c in ROUND_CUTS) + ")"
+
+
 def round2(x: Column) -> Column:
     """Clamp to [0, 1] at two decimals, rounding on the exact binary value.
 
@@ -34,7 +37,7 @@ def round2(x: Column) -> Column:
     """
     y = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     n = F.floor(y * 100 + 0.5).cast("int")
-    cuts = F.array(*[F.lit(c) for c in ROUND_CUTS])
+    cuts = F.expr(_CUTS)
     overshoot = (n >= 1) & (y < F.get(cuts, n - 1))
     return (n - F.when(overshoot, 1).otherwise(0)) / F.lit(100.0)
 
@@ -52,7 +55,7 @@ def with_rounded(df, **raw: Column):
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE_CHARS))
 
 
 def split_words(text: Column) -> Column:
@@ -118,10 +121,10 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 
 def count_matching(text: Column, patterns: list[str]) -> Column:
-    """How many patterns match at least once."""
+    """How many patterns match at least once; ``text`` is lower case."""
     total = F.lit(0)
     for pattern in patterns:
-        total = total + matches(text, pattern, True).cast("int")
+        total = total + matches(text, pattern).cast("int")
     return total
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake.operators import dedup, extract
@@ -10,22 +12,39 @@ from memlake.sources import corpus
 AS_OF = corpus.AS_OF
 
 
+def _planned_once(build):
+    """Reuse the (lazy) plan within one application; no data is kept."""
+    plans: dict = {}
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in plans:
+            plans[key] = build(spark, sf_dir)
+        return plans[key]
+    return get
+
+
 def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.conversation_events(spark, sf_dir).drop("conv_id", "turn")
 
 
+@_planned_once
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.with_tokens(extract.segment_events(chat_events(spark, sf_dir)))
 
 
+@_planned_once
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_candidates(chat_events(spark, sf_dir), AS_OF)
 
 
+@_planned_once
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with one row per (session, fingerprint), plus usage columns."""
     return corpus.with_usage(dedup.dedup_fingerprint(candidates(spark, sf_dir)))
 
 
+@_planned_once
 def stored_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.with_embeddings(spark, sf_dir, stored(spark, sf_dir))

@@ -46,9 +46,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a table sits in fewer file splits than there are cores.
+
+    The text rules cost far more per row than moving it once; tables with
+    enough splits are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log: one row per conversation turn."""
-    turns = read_table(spark, sf_dir, "conversations")
+    turns = spread(read_table(spark, sf_dir, "conversations"))
     conv, turn = F.col("conv_id"), F.col("turn")
     sentence = F.get(F.array(*[F.lit(t) for t in TEMPLATES]),
                      ((conv * 7 + turn * 5) % len(TEMPLATES)).cast("int"))
