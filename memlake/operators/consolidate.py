@@ -115,7 +115,7 @@ def _stretches(rows: DataFrame, size: int) -> DataFrame:
     order = Window.partitionBy("__part", "component").orderBy("neg_importance", "id")
     local = F.floor((F.row_number().over(order) - 1) / size).cast("int")
     # partition and local number together name a stretch
-    return ranged.withColumn("stretch", F.col("__part") * 100_000 + local).drop("__part")
+    return ranged.withColumn("stretch", F.col("__part").cast("long") * 100_000 + local).drop("__part")
 
 
 def group_candidates(df: DataFrame, config: ConsolidationConfig = DEFAULTS, *,
@@ -145,7 +145,7 @@ def group_candidates(df: DataFrame, config: ConsolidationConfig = DEFAULTS, *,
         parts = big_rows.join(token_components(big_rows, BUCKET), "id")
         counts = parts.groupBy("component").agg(F.count("*").alias("n"))
         parts = materialize(parts.join(counts, "component"), "components")
-        fits = parts.where(F.col("n") <= config.task_rows).withColumn("stretch", F.lit(0))
+        fits = parts.where(F.col("n") <= config.task_rows).withColumn("stretch", F.lit(0).cast("long"))
         over = _stretches(parts.where(F.col("n") > config.task_rows), config.task_rows)
         grouped = _group_in_task(small_rows, BUCKET, config.max_sources).unionByName(
             _group_in_task(fits.unionByName(over.select(*fits.columns)), ["component", "stretch"],

@@ -155,7 +155,7 @@ def delete_rows(table: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 #: sessions that may be purged by prefix
-PURGE_PREFIXES = ("demo-", "test-", "tmp-")
+PURGE_PREFIXES = ("demo-", "test-", "all-db-")
 
 
 def purge_sessions(table: DataFrame, prefix: str, allowed: tuple[str, ...] = PURGE_PREFIXES) -> DataFrame:
