@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle import monitor_sql, text_sql
+from oracle import dedup_sql, monitor_sql, text_sql
 
-MODULES = [text_sql, monitor_sql]
+MODULES = [text_sql, dedup_sql, monitor_sql]
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
