@@ -70,7 +70,8 @@ def _group_in_task(rows: DataFrame, keys: list[str], cap: int) -> DataFrame:
         pdf = pdf.sort_values(["neg_importance", "id"], kind="stable")
         heads = greedy_groups([list(t) for t in pdf["words"]], cap)
         ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "group_id": ids[heads]})
+        return pd.DataFrame({"id": pd.Series(list(ids), dtype=object),
+                             "group_id": pd.Series(list(ids[heads]), dtype=object)})
     return rows.select(*keys, "id", "neg_importance", "words").groupBy(*keys).applyInPandas(
         group, "id string, group_id string")
 

@@ -16,6 +16,7 @@ from memlake.functions.text import (
 )
 from memlake.operators.vector_search import nearest
 from memlake.operators.windows import top_k
+from memlake.session import materialize
 
 DUPLICATE_THRESHOLD = 0.92
 
@@ -131,17 +132,30 @@ def relatedness(pairs: DataFrame) -> DataFrame:
 
 # -- all near-duplicate pairs of a scope --------------------------------------
 
-def _hot_terms(tokens: DataFrame, size: int = 1000) -> DataFrame:
-    """One row: the ``size`` most frequent tokens with their ranks, as a map."""
-    counts = tokens.groupBy("token").count()
-    ranked = counts.orderBy(F.desc("count"), "token").limit(size)
-    return ranked.agg(F.map_from_entries(F.collect_list(
-        F.struct("token", F.col("count").alias("rank")))).alias("hot"))
+#: tokens ordered by frequency; the rest counts as equally rare
+FREQUENT_TOKENS = 20_000
+
+
+def _rare_first(reps: DataFrame, scope: list[str]) -> DataFrame:
+    """``scope…, rep, n, hashes``: token hashes of each text, rarest first.
+
+    Only the most frequent tokens need their counts, so the broadcast side has
+    a fixed number of rows.
+    """
+    tokens = reps.select(*scope, "rep", F.explode("tokens").alias("t")).select(
+        *scope, "rep", F.xxhash64("t").alias("h"))
+    frequent = tokens.groupBy("h").agg(F.count("*").alias("df")).orderBy(
+        F.desc("df"), "h").limit(FREQUENT_TOKENS)
+    ranked = tokens.join(F.broadcast(frequent), "h", "left")
+    return ranked.groupBy(*scope, "rep").agg(
+        F.count("*").alias("n"),
+        F.transform(F.sort_array(F.collect_list(F.struct(
+            F.coalesce("df", F.lit(0)).alias("df"), "h"))), lambda e: e["h"]).alias("hashes"))
 
 
 def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE_THRESHOLD, *,
                    id_col: str = "id", text_col: str = "content", scorer=None) -> DataFrame:
-    """Near-duplicate pairs within ``scope``.
+    """Near-duplicate pairs within ``scope``; ids must be unique.
 
     Texts with the same normal form are joined to their smallest id as a star
     (``kind = 'copy'``), never pairwise; the smallest ids are then compared
@@ -152,33 +166,35 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
     ``scorer`` may replace the similarity of candidate pairs: a callable from
     two text columns to a score column.
     """
+    long_bound = threshold - 0.005
     bound = (threshold - 0.005 - 0.4) / 0.6
     if bound <= 0:
         raise ValueError("near_dup_pairs needs a threshold above 0.41")
-    keyed = df.select(*scope, F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                      normalize_text(F.col(text_col)).alias("norm"))
-    reps = keyed.groupBy(*scope, "norm").agg(
-        F.min_by("text", "id").alias("text"), F.min("id").alias("rep"))
-    copies = keyed.join(reps.select(*scope, "norm", "rep"), [*scope, "norm"]).where(
+    norm = normalize_text(F.col(text_col))
+    prepared = df.select(*scope, F.col(id_col).alias("id"), F.col(text_col).alias("text"), norm.alias("norm"))
+    prepared = prepared.withColumns({
+        "digest": F.sha2("norm", 256), "tokens": F.array_distinct(tokenize(F.col("norm")))})
+    # normal forms and tokens are needed several times: written once, read by column
+    prepared = materialize(prepared, "near-dup")
+    heads = prepared.groupBy(*scope, "digest").agg(F.min("id").alias("rep"))
+    copies = prepared.select(*scope, "id", "digest").join(heads, [*scope, "digest"]).where(
         F.col("id") != F.col("rep")).select(
         *scope, F.col("rep").alias("id_a"), F.col("id").alias("id_b"),
         F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"))
-
-    reps = reps.withColumn("tokens", F.array_distinct(tokenize(F.col("norm")))).where(
-        F.size("tokens") > 0)
-    hot = _hot_terms(reps.select(F.explode("tokens").alias("token"))).scalar()
-    ordered = reps.withColumn("__hot", hot).withColumn("__order", F.sort_array(F.transform(
-        "tokens", lambda t: F.struct(
-            F.coalesce(F.element_at(F.col("__hot"), t), F.lit(0)).alias("rank"),
-            F.xxhash64(t).alias("h")))))
-    n = F.size("tokens")
-    take = n - F.ceil(n * bound - 1e-9).cast("int") + 1
-    keys = ordered.select(*scope, "rep", n.alias("n"), F.transform(
-        F.slice("__order", 1, take), lambda e: e["h"]).alias("prefix"))
+    reps = prepared.where(F.size("tokens") > 0).join(
+        heads.select(F.col("rep").alias("id")), "id", "left_semi").withColumnRenamed("id", "rep")
+
+    n = F.col("n")
+    # texts that can only meet others of three tokens or more need the Jaccard bound itself
+    reachable = F.when(n <= max(2.0, 2 / bound), bound).otherwise(long_bound)
+    take = n - F.ceil(n * reachable - 1e-9).cast("int") + 1
+    keys = _rare_first(reps, scope).select(
+        *scope, "rep", "n", F.slice("hashes", F.lit(1), take.cast("int")).alias("prefix"))
     exploded = keys.withColumn("key", F.explode("prefix"))
     a, b = exploded.alias("a"), exploded.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*scope, "key"]]
-    close = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * bound - 1e-9
+    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    close = small >= large * F.when(small < 3, bound).otherwise(long_bound) - 1e-9
     first = F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.key")
     condition = (F.col("a.rep") < F.col("b.rep")) & close & first
     for c in same:
@@ -194,7 +210,9 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
             f"id_{side}")
     if scorer is None:
         # settle the Jaccard bound first; few short texts remain for the character part
-        pairs = pairs.where(jaccard(F.col("tokens_a"), F.col("tokens_b")) >= bound - 1e-9)
+        both_long = F.least(F.size("tokens_a"), F.size("tokens_b")) >= 3
+        pairs = pairs.where(jaccard(F.col("tokens_a"), F.col("tokens_b")) >= F.when(
+            both_long, long_bound).otherwise(bound) - 1e-9)
         scored = with_similarity(pairs, "norm_a", "norm_b", "tokens_a", "tokens_b")
     else:
         scored = pairs.withColumn("similarity", scorer(F.col("text_a"), F.col("text_b")))

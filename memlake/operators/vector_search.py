@@ -51,7 +51,10 @@ def _best_in_block(k: int, floor: float):
                         found["query_id"].extend([query_id] * len(close))
                         found["item_id"].extend(ids[close])
                         found["cosine"].extend(row[close])
-        return pd.DataFrame(found)
+        return pd.DataFrame({
+            "query_id": pd.Series(found["query_id"], dtype=object),
+            "item_id": pd.Series(found["item_id"], dtype=object),
+            "cosine": pd.Series(found["cosine"], dtype=float)})
     return best
 
 

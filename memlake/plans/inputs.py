@@ -7,13 +7,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake.operators import dedup, extract
+from memlake.session import materialize
 from memlake.sources import corpus
 
 AS_OF = corpus.AS_OF
 
 
 def _planned_once(build):
-    """Reuse the (lazy) plan within one application; no data is kept."""
+    """Build once per application and table directory."""
     plans: dict = {}
 
     @wraps(build)
@@ -41,8 +42,13 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_planned_once
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with one row per (session, fingerprint), plus usage columns."""
-    return corpus.with_usage(dedup.dedup_fingerprint(candidates(spark, sf_dir)))
+    """The stored memory table: one row per (session, fingerprint), plus usage columns.
+
+    Written once per application to the shared folder; the jobs over stored
+    memories then read it with column pruning, as they would a real table.
+    """
+    rows = corpus.with_usage(dedup.dedup_fingerprint(candidates(spark, sf_dir)))
+    return materialize(rows, "stored-memories")
 
 
 @_planned_once

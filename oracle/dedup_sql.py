@@ -25,11 +25,11 @@ SELECT id, id_a, {r2('raw')} AS similarity FROM s"""
 def near_dup(source: str, scope: str, ident: str, norm: str, toks: str) -> str:
     return f"""
 , reps AS (SELECT {scope}, {norm} AS norm, min({ident}) AS rep, any_value({toks}) AS nt FROM {source} GROUP BY 1, 2)
-, pairs AS (SELECT a.{scope}, a.rep AS id_a, b.rep AS id_b, a.norm AS an, b.norm AS bn, a.nt AS at, b.nt AS bt
+, pairs AS (SELECT a.{scope}, a.rep AS id_a, b.rep AS id_b, a.norm AS an, b.norm AS bn, a.nt AS ant, b.nt AS bnt
    FROM reps a JOIN reps b ON a.{scope} = b.{scope} AND a.rep < b.rep
    WHERE least(len(a.nt), len(b.nt)) >= 0.85e0 * greatest(len(a.nt), len(b.nt)) AND len(list_intersect(a.nt, b.nt)) >= 0.85e0 * greatest(len(a.nt), len(b.nt))
      AND len(a.nt) > 0)
-, s AS (SELECT *, {similarity_raw('an', 'bn', 'at', 'bt')} AS raw FROM pairs)
+, s AS (SELECT *, {similarity_raw('an', 'bn', 'ant', 'bnt')} AS raw FROM pairs)
 SELECT {scope}, id_a, id_b, {r2('raw')} AS similarity, 'similar' AS kind FROM s WHERE {r2('raw')} >= 0.92e0
 UNION ALL
 SELECT m.{scope}, r.rep, m.{ident}, 1e0, 'copy' FROM {source} m JOIN reps r ON m.{scope} = r.{scope} AND m.{norm} = r.norm WHERE m.{ident} <> r.rep"""
