@@ -43,8 +43,12 @@ def round2(x: Column) -> Column:
 
 
 def round6(x: Column) -> Column:
-    """Six decimals, half up; hides differences in floating-point summation order."""
-    return F.floor(x * 1000000 + 0.5) / F.lit(1000000.0)
+    """Six decimals; hides differences in floating-point summation order.
+
+    The cut lies a hair below the half, so sums that should be exact halves
+    round the same way whatever their last bit.
+    """
+    return F.floor(x * 1000000 + 0.5001) / F.lit(1000000.0)
 
 
 def with_rounded(df, **raw: Column):

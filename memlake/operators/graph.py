@@ -256,7 +256,8 @@ def memories_by_entity(memories: DataFrame, bridge: DataFrame, wanted: DataFrame
     """Best memories for each ``(session_id, value)`` asked for."""
     links = bridge.join(wanted, ["session_id", "value"], "left_semi").select(
         "id", "value", F.col("type").alias("entity_type"))
-    return _best_per_key(memories.join(links, "id"), ["session_id", "value"], limit)
+    return top_k(memories.join(links, "id"), ["session_id", "value"],
+                 [F.desc("importance"), F.desc("created_at"), F.asc("id"), F.asc("entity_type")], limit)
 
 
 def graph_stats(memories: DataFrame, keywords: DataFrame, entities: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def _best_in_block(k: int, floor: float):
                     if not len(ids) or not keep.any():
                         continue
                     sims = (left[keep] / norm[keep][:, None]) @ matrix.T
-                    sims = np.floor(sims * 1e6 + 0.5) / 1e6
+                    sims = np.floor(sims * 1e6 + 0.5001) / 1e6
                     for query_id, row in zip(part["query_id"].to_numpy()[keep], sims):
                         kth = np.partition(row, -k)[-k] if k < len(row) else row.min()
                         close = np.flatnonzero(row >= max(kth, floor))

@@ -50,7 +50,7 @@ def r2(x: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"(floor(({x}) * 1000000e0 + 0.5e0) / 1000000e0)"
+    return f"(floor(({x}) * 1000000e0 + 0.5001e0) / 1000000e0)"
 
 
 def trim(x: str) -> str:
