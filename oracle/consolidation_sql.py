@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from memlake.functions import lexicon as lx
-from oracle.base import NOW, define, hit, normalized, q, r2, r6, similarity_raw, tokens, with_ctes, words3
+from oracle.base import NOW, define, hit, in_list, normalized, q, r2, r6, similarity_raw, tokens, with_ctes
 from oracle.dedup_sql import tier
 
 SQL: dict[str, str] = {}
@@ -18,7 +18,8 @@ SELECT * FROM (SELECT *, user_id || '/' || memory_type || '/' || domain || '/' |
 QUALIFY count(*) OVER (PARTITION BY group_id) >= 2""")
     define(f"{p}pl0", [f"{p}grp"], f"""
 SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY importance DESC, id) AS position, {normalized('content')} AS norm,
-  {words3('content', lx.CONSOLIDATION_STOP_WORDS)} AS words FROM {p}grp""")
+  list_filter(string_split_regex(regexp_replace(lower(content), '[^a-z0-9_]+', ' ', 'g'), ' +'),
+    lambda t: len(t) >= 3 AND t NOT IN {in_list(lx.CONSOLIDATION_STOP_WORDS)}) AS words FROM {p}grp""")
     define(f"{p}pl", [f"{p}pl0"], f"SELECT *, list_distinct({tokens('norm')}) AS nt FROM {p}pl0")
     rules = " UNION ALL ".join(
         f"SELECT group_id, position, {i} AS rule, {q(t)} AS name FROM {p}pl WHERE {hit('content', pat, True)}"
@@ -27,10 +28,11 @@ SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY importance DESC, id)
 SELECT g.group_id, coalesce(v.name, CASE WHEN w.n >= greatest(2, ceil(g.size / 2)) THEN w.word END,
     CASE WHEN g.domain <> 'general' THEN g.memory_type || '/' || g.domain ELSE g.memory_type END) AS topic
 FROM (SELECT group_id, count(*) AS size, any_value(domain) AS domain, any_value(memory_type) AS memory_type FROM {p}pl GROUP BY 1) g
-LEFT JOIN (SELECT group_id, name, count(*) AS n, min((position, rule)) AS seen FROM ({rules}) GROUP BY 1, 2
+LEFT JOIN (SELECT * FROM (SELECT group_id, name, count(*) AS n, min((position, rule)) AS seen FROM ({rules}) GROUP BY 1, 2)
    QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n DESC, seen) = 1) v ON v.group_id = g.group_id
-LEFT JOIN (SELECT group_id, word, count(*) AS n, min((position, spot)) AS seen FROM (
-     SELECT group_id, position, unnest(words) AS word, generate_subscripts(words, 1) AS spot FROM {p}pl) GROUP BY 1, 2
+LEFT JOIN (SELECT * FROM (SELECT group_id, word, count(*) AS n, min((position, spot)) AS seen FROM (
+     SELECT group_id, position, word, min(spot) AS spot FROM (
+       SELECT group_id, position, unnest(words) AS word, generate_subscripts(words, 1) AS spot FROM {p}pl) GROUP BY ALL) GROUP BY 1, 2)
    QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n DESC, seen) = 1) w ON w.group_id = g.group_id""")
     define(f"{p}conf", [f"{p}pl"], f"""
 SELECT *, CASE WHEN similarity >= 0.6e0 THEN 'low' WHEN similarity >= 0.4e0 THEN 'medium' ELSE 'high' END AS severity FROM (
