@@ -58,7 +58,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log: one row per conversation turn."""
-    turns = spread(read_table(spark, sf_dir, "conversations"))
+    return events_of_turns(spread(read_table(spark, sf_dir, "conversations")))
+
+
+def events_of_turns(turns: DataFrame) -> DataFrame:
+    """The same for any (batch or streaming) table of turns."""
     conv, turn = F.col("conv_id"), F.col("turn")
     sentence = F.get(F.array(*[F.lit(t) for t in TEMPLATES]),
                      ((conv * 7 + turn * 5) % len(TEMPLATES)).cast("int"))

@@ -40,7 +40,7 @@ def job_attempts(events: DataFrame) -> DataFrame:
             "idempotency_key"),
         _pick(0, "string").alias("error_name"), _pick(1, "string").alias("error_code"),
         _pick(2, "int").alias("error_status"), _pick(3, "string").alias("error_message"),
-        (F.col("value") / 100).alias("duration_s"), "ts")
+        (F.col("value") / 100).alias("duration_s"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def requests(events: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def requests(events: DataFrame) -> DataFrame:
         F.concat(F.lit("c"), "user_id").alias("client_id"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
         (k >= 60).alias("cache_hit"), (k % 17).alias("result_count"),
-        (F.col("value") / 100).alias("duration_s"), "ts")
+        (F.col("value") / 100).alias("duration_s"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def read_events_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,21 +19,25 @@ def rate_violations(requests: DataFrame, limit: int = 30, window_seconds: int =
     """Requests above ``limit`` within a window that starts at a client's first request.
 
     Output: ``client_id, ts, request_count`` for each request over the limit.
-    The stream is first counted per client and second, so a flooding client
-    reaches its state as a few rows; rows over the limit are reported per
-    second with the count reached.
+    Requests are first counted per client and second inside each Arrow batch,
+    so a flooding client reaches its state as a few rows; a row over the limit
+    carries the count reached in its second.
     """
-    per_second = (requests.withWatermark(ts, lateness)
-                  .groupBy(F.window(ts, "1 second").alias("w"), F.col(client).alias("client_id"))
-                  .agg(F.count("*").alias("n"))
-                  .select("client_id", F.unix_seconds(F.col("w.start").cast("timestamp")).alias("second"), "n",
-                          F.col("w.end").cast("timestamp").alias("at")))
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.groupby(["client_id", "at"], as_index=False).agg(n=("n", "sum"))
+
+    rows = requests.select(F.col(client).alias("client_id"), F.date_trunc("second", F.col(ts)).alias("at"),
+                           F.lit(1).cast("bigint").alias("n"))
+    per_second = rows.mapInPandas(combine, "client_id string, at timestamp, n bigint").withColumn(
+        "second", F.unix_seconds("at"))
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, total = state.get if state.exists else (None, 0)
         out = []
-        rows = pd.concat(list(batches)).sort_values("second") if not state.hasTimedOut else pd.DataFrame()
-        for row in rows.itertuples(index=False):
+        rows = [] if state.hasTimedOut else pd.concat(list(batches)).groupby(
+            "second", as_index=False).agg(n=("n", "sum")).itertuples(index=False)
+        for row in rows:
             if start is None or row.second >= start + window_seconds:
                 start, total = int(row.second), 0
             total += int(row.n)
