@@ -41,13 +41,17 @@ def append_events(df: DataFrame, path: str) -> None:
 
 # -- memories --------------------------------------------------------------------
 
-def read_memories(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
-    """A memory table; a session filter also prunes to the session's bucket."""
+def read_memories(spark: SparkSession, path: str, session: str | None = None,
+                  buckets: int | None = None) -> DataFrame:
+    """A memory table, or one session of it.
+
+    With the table's number of buckets only the session's folder is read.
+    """
     df = spark.read.parquet(path)
     if session is None:
         return df
-    if "session_bucket" in df.columns:
-        df = df.where(F.col("session_bucket") == session_bucket(F.lit(session)))
+    if buckets is not None:
+        df = df.where(F.col("session_bucket") == session_bucket(F.lit(session), buckets))
     return df.where(F.col("session_id") == session)
 
 
