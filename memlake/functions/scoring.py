@@ -248,7 +248,8 @@ def is_storable(text: Column, role: Column, kind: Column) -> Column:
     canned = matches(plain, lx.DEMO_REPLY_PATTERN) | F.contains(
         plain, F.lit(lx.FALLBACK_REPLY_NOTICE))
     keep = (F.when(role == "assistant", ~canned & contains_any(plain, lx.ASSISTANT_KEEP_TERMS))
-            .when(kind == "semantic", F.length(plain) > 24).otherwise(True))
+            # the type (many patterns) is only needed for short texts
+            .otherwise((F.length(plain) > 24) | (kind != "semantic")))
     return ~is_low_signal(text) & ~question & keep
 
 

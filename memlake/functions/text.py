@@ -133,8 +133,14 @@ def count_matching(text: Column, patterns: list[str]) -> Column:
 
 
 def query_overlap(query_tokens: Column, content_token_list: Column) -> Column:
-    """Query terms, repeats included, present among the content terms."""
-    return F.size(F.filter(query_tokens, lambda t: F.array_contains(content_token_list, t)))
+    """Query terms, repeats included, present among the content terms.
+
+    Both sides should be plain columns.  The size test refers to the content
+    column a second time, which keeps the optimizer from moving its definition
+    into the lambda, where it would run once per query term.
+    """
+    shared = F.size(F.filter(query_tokens, lambda t: F.array_contains(content_token_list, t)))
+    return F.when(F.size(content_token_list) > 0, shared).otherwise(0)
 
 
 def keyword_score(query_tokens: Column, content_token_list: Column) -> Column:

@@ -38,8 +38,9 @@ def memory_entities(df: DataFrame, config: GraphConfig = DEFAULTS) -> DataFrame:
     placed = F.transform("entities", lambda e, i: F.struct(
         F.lower(F.trim(e["type"])).alias("type"), F.trim(e["value"]).alias("value"), i.alias("pos")))
     usable = F.filter(placed, lambda e: (F.length(e["value"]) >= 3) & ~e["type"].isin(lx.NOISY_ENTITY_TYPES))
+    df = df.select("id", "session_id", usable.alias("usable"))
     same = lambda a, b: (a["type"] == b["type"]) & (F.lower(a["value"]) == F.lower(b["value"]))
-    first = F.filter(usable, lambda e: ~F.exists(usable, lambda o: same(o, e) & (o["pos"] < e["pos"])))
+    first = F.filter("usable", lambda e: ~F.exists("usable", lambda o: same(o, e) & (o["pos"] < e["pos"])))
     return df.select("id", "session_id", F.explode(F.slice(first, 1, config.max_entities)).alias("e")).select(
         "id", "session_id", "e.type", "e.value")
 
@@ -313,7 +314,8 @@ def extract_graph_entities(memories: DataFrame, limit: int = 12) -> DataFrame:
     # a word that is part of, or equal to, an entity seen so far is not a person
     seen = lambda n: F.exists("__ids", lambda i: F.endswith(i, F.concat(F.lit(":"), F.lower(n)))
                               | F.contains(i, F.concat(F.lit(" "), F.lower(n))))
-    people = F.filter(single, lambda n: ~seen(n))
+    # (the size test keeps the definition of __ids out of the lambda)
+    people = F.when(F.size("__ids") >= 0, F.filter(single, lambda n: ~seen(n)))
     late = lambda p, t, s: F.transform(phrases(p, True), lambda n: entry(t, _squeeze(n), s))
     df = df.withColumn("__all", F.concat(
         F.col("__early"), F.transform(people, lambda n: entry("person", n, "single_proper")),

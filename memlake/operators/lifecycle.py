@@ -192,21 +192,27 @@ def _block_pairs(left: DataFrame, right: DataFrame, keys: str, lowest: float) ->
 
     A pair sharing several entries is produced once, at its first shared entry.
     """
-    cols = ["user_id", "claim", "memory_type", "category", "tokens"]
-    cols += [keys] if keys not in cols else []
-    a = left.select(*cols).withColumn("key", F.explode(keys)).alias("a")
-    b = right.select(*cols).withColumn("key", F.explode(keys)).alias("b")
+    hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t))
+
+    def keyed(side: DataFrame) -> DataFrame:
+        slim = side.select("user_id", "claim", "memory_type", "category",
+                           hashed("tokens").alias("tokens"), hashed(keys).alias("keys"))
+        return slim.withColumn("key", F.explode("keys"))
+
+    a, b = keyed(left).alias("a"), keyed(right).alias("b")
     categories = F.coalesce(F.col("a.category") == F.col("b.category"), F.lit(True))
     shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
     union = F.size("a.tokens") + F.size("b.tokens") - shared
     # outside the band whatever the character part adds
     short = (F.size("a.tokens") < 3) | (F.size("b.tokens") < 3)
-    reachable = short | (shared >= union * (lowest - 0.005))
+    small, large = F.least(F.size("a.tokens"), F.size("b.tokens")), F.greatest(
+        F.size("a.tokens"), F.size("b.tokens"))
+    reachable = short | ((small >= large * (lowest - 0.005)) & (shared >= union * (lowest - 0.005)))
     condition = (
         (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.key") == F.col("b.key"))
         & (F.col("a.claim") != F.col("b.claim")) & categories
-        & _types_fit("a.memory_type", "b.memory_type") & reachable
-        & (F.element_at(F.array_intersect(f"a.{keys}", f"b.{keys}"), 1) == F.col("a.key")))
+        & _types_fit("a.memory_type", "b.memory_type")
+        & (F.element_at(F.array_intersect("a.keys", "b.keys"), 1) == F.col("a.key")) & reachable)
     return a.join(b, condition).select(
         F.col("a.user_id").alias("user_id"), F.col("a.claim").alias("claim"),
         F.col("b.claim").alias("other_claim"))

@@ -112,10 +112,13 @@ def vector_topk(queries: DataFrame, memories: DataFrame, as_of, k: int | None =
         F.col("query_id").cast("string").alias("query_id"),
         F.col("session_id").alias("query_session_id"),
         tokenize(F.col("query_text")).alias("query_tokens")), "query_id")
+    hits = hits.withColumn("tokens", tokenize(_shown_text()))
     hits = hits.withColumn("lexical_score", query_overlap(
-        F.col("query_tokens"), tokenize(_shown_text()))).drop("query_tokens")
-    scored = hybrid_score(hits, as_of, config).where(F.col("score") > config.min_score)
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
+        F.col("query_tokens"), F.col("tokens"))).drop("query_tokens", "tokens")
+    # the score bound keeps a prefix of the ranking, so it may follow the cut; in front of it
+    # the optimizer would push a second copy of the whole score below the projections
+    best = top_k(hybrid_score(hits, as_of, config), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return best.where(F.col("score") > config.min_score)
 
 
 def keyword_topk(queries: DataFrame, memories: DataFrame, as_of, k: int | None = None, *,
@@ -224,8 +227,8 @@ def rank_memories(candidates: DataFrame, as_of, k: int | None = None, *,
     df = df.withColumn("reason", explain_reason(
         F.col("vector_score"), F.col("keyword_score"), F.col("blended_importance"),
         F.col("recency_score"), F.col("graph_score"), F.col("sources")))
-    kept = df.where(F.col("final_score") > min_score)
-    return top_k(kept, ["query_id"], [F.desc("final_score"), F.asc("id")], k or DEFAULTS.top_k)
+    best = top_k(df, ["query_id"], [F.desc("final_score"), F.asc("id")], k or DEFAULTS.top_k)
+    return best.where(F.col("final_score") > min_score)
 
 
 def graph_enrich(candidates: DataFrame, neighbours: DataFrame, context: DataFrame | None,
@@ -263,11 +266,11 @@ def graph_enrich(candidates: DataFrame, neighbours: DataFrame, context: DataFram
     fresh = top_k(fresh, ["query_id", "id"], [F.asc("position")], 1, rank="__first").drop("__first", "position")
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"),
                            tokenize(F.col("query_text")).alias("query_tokens"))
-    extra = fresh.join(asked, "query_id").withColumns({
+    extra = fresh.join(asked, "query_id").withColumn("tokens", tokenize(_shown_text())).withColumns({
         "vector_score": F.lit(0.0),
-        "keyword_score": keyword_score(F.col("query_tokens"), tokenize(_shown_text())),
+        "keyword_score": keyword_score(F.col("query_tokens"), F.col("tokens")),
         "graph_score": F.least(F.lit(1.0), F.coalesce("importance", F.lit(0.0)) * 0.4 + 0.6),
-        "sources": F.array(F.lit("graph"))}).drop("query_tokens")
+        "sources": F.array(F.lit("graph"))}).drop("query_tokens", "tokens")
     return scored.drop("position").unionByName(extra, allowMissingColumns=True)
 
 
