@@ -36,7 +36,7 @@ from memlake.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 _EPS = 1e-9
-_FLOWN = "id {id}, source string, size long, block long, whole int, p double"
+_FLOWN = "id string, source string, size long, block long, whole int, p double"
 
 
 def size_in_words(text: Column) -> Column:
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """Per document ``doc_id, source, size, source_size, target, copies, taken``."""
     spark = docs.sparkSession
     slim = materialize(docs.select(
-        F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"),
+        F.col(doc_id).cast("string").alias("id"), F.col(source).cast("string").alias("source"),
         size_in_words(whole_text(text)).alias("size")), "mix-sizes")
     targets = materialize(source_targets(slim, weights=weights, share=share, max_repeat=max_repeat), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -148,12 +148,11 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
         F.ceil(F.col("documents") / block_rows).cast("long").alias("blocks"))
     rows = slim.join(ready, F.col("source").eqNullSafe(F.col("s"))).select(
         "id", "source", "size", F.pmod(F.xxhash64("id", "size"), F.col("blocks")).alias("block"), "whole", "p")
-    schema = _FLOWN.format(id=slim.schema["id"].dataType.simpleString())
     widest = targets.agg(F.max("documents")).first()[0] or 0
     blocks, level, decided = math.ceil(widest / block_rows), 0, []
     while True:
         last = blocks <= 1
-        flown = rows.groupBy("source", "block").applyInPandas(_flight(seed, level, last, attempts, tolerance), schema)
+        flown = rows.groupBy("source", "block").applyInPandas(_flight(seed, level, last, attempts, tolerance), _FLOWN)
         rows = materialize(flown, "mix-flown")
         undecided = (F.col("p") > 0) & (F.col("p") < 1)
         decided.append(rows.where(~undecided))
@@ -167,5 +166,5 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     copies = F.col("whole") + F.col("p").cast("int")
     known = targets.select(F.col("source").alias("s"), "source_size", "target")
     return done.join(known, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias("doc_id"), "source", "size", "source_size", "target",
+        F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "source", "size", "source_size", "target",
         copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))

@@ -15,17 +15,17 @@ null ids first; a lone document is its own next one.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import whole_text
-from memlake.session import materialize
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _U32 = np.uint64(32)
@@ -99,9 +99,9 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             marks = [winnow(points(t), k, w) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["id"], "positions": [m[0] for m in marks],
                                 "hashes": [m[1].astype(np.int64) for m in marks]})
-    rows = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, positions array<long>, hashes array<long>")
+    rows = docs.select(F.col(doc_id).cast("string").alias("id"), whole_text(text).alias("text"))
+    return rows.mapInPandas(run, "doc_id string, positions array<long>, hashes array<long>").withColumn(
+        "doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
 def packed(mark: tuple[np.ndarray, np.ndarray]) -> str:
@@ -117,71 +117,70 @@ def _compared(doc_id, text: str, mark, after: str, after_mark, k: int, w: int) -
             packed(edited_mark), likeness(mark[1], edited_mark[1]), likeness(mark[1], after_mark[1]))
 
 
-_RESULT = ("{id}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-           "near_edited double, near_next double")
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_RESULT = ("doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+           "near_edited double, near_next double")
+
+
+def _key(doc_id, tie: int) -> tuple:
+    """Sorts null ids first."""
+    return (False, tie) if doc_id is None else (True, doc_id, tie)
+
+
+def _placed(bounds: list[tuple]):
+    """Per (id, tie): its bucket, and the bucket before if the row opens its own, else null."""
+    def place(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        keys = [_key(i, t) for i, t in zip(ids.to_pylist(), ties.to_pylist())]
+        at = [max(0, bisect.bisect_right(bounds, k) - 1) for k in keys]
+        before = [(b - 1) % len(bounds) if bounds[b] == k else None for b, k in zip(at, keys)]
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(before, pa.int32())], ["own", "before"])
+    return F.arrow_udf(place, "own int, before int")
 
 
 def _walk(k: int, w: int, rows_out: int = 512):
+    """Rows by (bucket, guest, id): each is compared with the one after it, the last of a bucket with its guest."""
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        names = [*_NAMES, "part", "edge", "edge_id", "edge_text"]
-        held, first, out = None, None, []
+        held, out = None, []
         for batch in batches:
-            for doc_id, text in zip(batch["id"].astype(object).where(batch["id"].notna(), None), batch["text"]):
+            for bucket, guest, doc_id, text in zip(batch["bucket"], batch["guest"], batch["id"], batch["text"]):
+                if guest and (held is None or held[0] != bucket):
+                    continue
                 mark = winnow(points(text), k, w)
-                if held is None:
-                    first = (doc_id, text)
-                else:
-                    out.append((*_compared(*held, text, mark, k, w), part, None, None, None))
+                if held is not None:
+                    out.append(_compared(*held[1:], text, mark, k, w))
                     if len(out) == rows_out:
-                        yield pd.DataFrame(out, columns=names)
+                        yield pd.DataFrame(out, columns=_NAMES)
                         out = []
-                held = (doc_id, text, mark)
-        if held is not None:
-            out.append((*[None] * len(_NAMES), part, "first", *first))
-            out.append((*[None] * len(_NAMES), part, "last", held[0], held[1]))
+                held = None if guest else (bucket, doc_id, text, mark)
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=_NAMES)
     return walk
 
 
-def _pairs(k: int, w: int):
-    def pairs(batches):
-        for batch in batches:
-            ids = batch["id"].astype(object).where(batch["id"].notna(), None)
-            rows = []
-            for doc_id, text, after in zip(ids, batch["text"], batch["after"]):
-                rows.append(_compared(doc_id, text, winnow(points(text), k, w), after, winnow(points(after), k, w), k, w))
-            yield pd.DataFrame(rows, columns=_NAMES)
-    return pairs
-
-
 def compare_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 24, w: int = 48,
-                      partitions: int | None = None) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """Fingerprints of every document, of its text edited with the next document, and their likeness.
 
-    Texts are dealt once, by ranges of ids, and walked in order; each range
-    hands over its first and last document, and these edges, two a range, are
-    paired afterwards.
+    Ids are cut into ranges first, whose lower bounds, one a range, are all that
+    reaches the driver.  Then each text moves once to its range, and the first
+    text of a range also to the range before it, where it follows the last one.
     """
     spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    rows = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), tie).sortWithinPartitions(
-        F.col("id").asc_nulls_first(), tie, "text")
-    result = _RESULT.format(id=f"doc_id {kind}")
-    walked = materialize(dealt.mapInPandas(
-        _walk(k, w), f"{result}, part int, edge string, edge_id {kind}, edge_text string"), "winnow")
-    edges = walked.where("edge IS NOT NULL").select("part", "edge", "edge_id", "edge_text")
-    # one row a range: bounded by the number of partitions
-    firsts = edges.where("edge = 'first'").select("part", F.col("edge_text").alias("first_text"))
-    order = Window.partitionBy(F.lit(0)).orderBy("part")
-    nexts = firsts.select("part").withColumn("next_part", F.coalesce(
-        F.lead("part").over(order), F.min("part").over(Window.partitionBy(F.lit(0)))))
-    paired = (edges.where("edge = 'last'").join(nexts, "part")
-              .join(firsts.withColumnRenamed("part", "next_part"), "next_part")
-              .select(F.col("edge_id").alias("id"), F.col("edge_text").alias("text"), F.col("first_text").alias("after")))
-    return walked.where("edge IS NULL").select(*_NAMES).unionByName(paired.mapInPandas(_pairs(k, w), result))
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    kind = rows.schema["id"].dataType
+    ranges = rows.select("id", "tie").repartitionByRange(buckets, F.col("id").asc_nulls_first(), "tie")
+    lowest = ranges.groupBy(F.spark_partition_id().alias("part")).agg(
+        F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")).alias("low")).collect()
+    bounds = sorted(_key(r["low"]["id"], r["low"]["tie"]) for r in lowest)
+    if not bounds:
+        return spark.createDataFrame([], _RESULT).withColumn("doc_id", F.col("doc_id").cast(kind))
+    placed = rows.withColumn("at", _placed(bounds)("id", "tie"))
+    visits = F.array_compact(F.array(
+        F.struct(F.col("at.own").alias("bucket"), F.lit(False).alias("guest")),
+        F.when(F.col("at.before").isNotNull(), F.struct(F.col("at.before").alias("bucket"), F.lit(True).alias("guest")))))
+    dealt = placed.select("id", "tie", "text", F.explode(visits).alias("v")).select("v.bucket", "v.guest", "id", "tie", "text")
+    walked = (dealt.repartition("bucket")
+              .sortWithinPartitions("bucket", "guest", F.col("id").asc_nulls_first(), "tie", "text")
+              .select("bucket", "guest", F.col("id").cast("string").alias("id"), "text").mapInPandas(_walk(k, w), _RESULT))
+    return walked.withColumn("doc_id", F.col("doc_id").cast(kind))
