@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import pii, secrets, spans
+from memlake.llm import pii, secret_scan, spans
 from memlake.llm.common import table
 
 
@@ -17,11 +17,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), repository=["source", "lang"], owner="source")
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), repository=["source", "lang"], owner="source")
     return found.select(
-        "doc_id", *[spans.count_of(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:secrets.BASE])],
-        spans.digest(F.col("base"), secrets.KINDS).alias("base_sha256"),
-        spans.listed(F.col("spans"), secrets.KINDS).alias("spans"),
+        "doc_id", *[spans.count_of(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:secret_scan.BASE])],
+        spans.digest(F.col("base"), secret_scan.KINDS).alias("base_sha256"),
+        spans.listed(F.col("spans"), secret_scan.KINDS).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"))
 

@@ -1,7 +1,7 @@
 """Personal data and secrets against plain Python."""
 
 import brute
-from memlake.llm import boosting, pii, queries_b, secrets, spans
+from memlake.llm import boosting, pii, queries_b, secret_scan, spans
 from memlake.llm.common import table
 from pyspark.sql import functions as F
 
@@ -38,16 +38,16 @@ def test_personal_data_of_near_misses(spark):
 
 def test_secrets_of_near_misses(spark):
     texts = brute.noisy_texts(2, 300)
-    rows = digests(secrets.scan(frame(spark, texts)), secrets.KINDS, secrets.KINDS[:3])
+    rows = digests(secret_scan.scan(frame(spark, texts)), secret_scan.KINDS, secret_scan.KINDS[:3])
     assert len(rows) == len(texts)
-    check_base(rows, texts, brute.secret, secrets.KINDS, secrets.KINDS[:3])
+    check_base(rows, texts, brute.secret, secret_scan.KINDS, secret_scan.KINDS[:3])
 
 
 def test_queries_on_the_tables(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
     check_base(queries_b.op4_pii(spark, sf).collect(), texts, brute.personal, pii.KINDS, pii.BASE_KINDS)
-    check_base(queries_b.op6_secrets(spark, sf).collect(), texts, brute.secret, secrets.KINDS, secrets.KINDS[:3])
+    check_base(queries_b.op6_secrets(spark, sf).collect(), texts, brute.secret, secret_scan.KINDS, secret_scan.KINDS[:3])
 
 
 def test_redaction_removes_base_spans_and_keeps_columns(spark):
@@ -63,14 +63,14 @@ def test_widely_copied_values_are_told_from_owned_ones(spark):
     copied, owned = "ghp_" + "A1b2" * 10, "ghp_" + "Z9y8" * 10
     rows = [(i, f"x {copied} y", "en", f"src{i}", 0) for i in range(5)] + [(9, f"x {owned}", "en", "src1", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    out = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
     assert [s["kind"] for s in out[9]] == [3] and out[9][0]["live"]
     assert all(out[i] == [] for i in range(5))
 
 
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).where("doc_id < 0")
-    assert pii.find(none).count() == 0 and secrets.scan(none).count() == 0 and pii.redact(none).count() == 0
+    assert pii.find(none).count() == 0 and secret_scan.scan(none).count() == 0 and pii.redact(none).count() == 0
 
 
 def test_trees_separate_counted_patterns():
