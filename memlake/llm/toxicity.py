@@ -6,9 +6,10 @@ the average of its words' rows, and a linear softmax of two classes reads the
 average.  Table and softmax are trained jointly in numpy, so an unseen
 misspelling falls among the words whose n-grams it shares.
 
-A document is cut into lines and these into pieces of ``piece_words`` words, so
+A document is cut into pieces of at most ``piece_words`` words, so
 that a few insults in a long text are not averaged away.  Its score is that of
-its most toxic pieces, calibrated by a logistic curve on the fitting rows.
+its most toxic pieces on a logistic curve that is even where the F measure is best on
+fitting rows kept for it.
 
 Fitting reads at most ``fit_docs`` labelled documents of either class, those
 with the smallest hash of their id; every other step covers all documents.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from xxhash import xxh32_intdigest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,118 +35,159 @@ from memlake.llm.language import fold
 
 WORDS = re.compile(r"[^\W_]+")
 GRAMS = (3, 4, 5)
-_WORDS_HELD = 200_000
+_WORDS_HELD = 500_000
 
 
-def _fnv(data: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for byte in data:
-        h = ((h ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h ^ (h >> 29)
-
-
-def word_buckets(word: str, buckets: int) -> np.ndarray:
+def word_buckets(word: str, buckets: int) -> list[int]:
     """Rows of a word: itself and its n-grams."""
     edged = f"<{word[:40]}>"
     bags = [word] + [edged[i:i + n] for n in GRAMS for i in range(len(edged) - n + 1)]
-    return np.array([_fnv(b.encode("utf-8", "surrogatepass")) % buckets for b in bags], dtype=np.int64)
+    return [xxh32_intdigest(b.encode("utf-8", "surrogatepass")) % buckets for b in bags]
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of the slices ``starts[i] : starts[i] + sizes[i]``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class SubwordSoftmax:
-    """Embeddings (buckets x dim) and softmax (dim x 2), and the curve from piece margins to scores."""
+    """Embeddings (buckets x dim) and softmax (dim x 2), and the curve from evidence to scores.
 
-    def __init__(self, dim: int = 8, buckets: int = 1 << 16, piece_words: int = 24, seed: int = 5):
-        self.dim, self.buckets, self.piece_words = dim, buckets, piece_words
-        rng = np.random.default_rng(seed)
-        self.table = rng.normal(0, 1.0 / dim, (buckets, dim))
+    Rows of n-grams seen in fewer than ``min_docs`` fitting documents stay zero
+    and say nothing.
+    """
+
+    def __init__(self, dim: int = 8, buckets: int = 1 << 18, piece_words: int = 24, min_docs: int = 3,
+                 epochs: int = 8, rate: float = 0.4, seed: int = 5):
+        self.dim, self.buckets, self.piece_words, self.min_docs = dim, buckets, piece_words, min_docs
+        self.epochs, self.rate, self.seed = epochs, rate, seed
+        self.table = np.zeros((buckets, dim), dtype=np.float32)
         self.softmax = np.zeros((dim, 2))
         self.bias = np.zeros(2)
         self.curve = (0.0, 0.0)
         self.share = 0.0
         self.trained = False
-        self._rows: dict[str, np.ndarray] = {}
-        self._margin: dict[str, float] = {}
+        self._forget()
 
     def __getstate__(self):
-        return {**self.__dict__, "_rows": {}, "_margin": {}}
+        return {**self.__dict__, "_margin": {}, "_sums": np.zeros((0, 2)), "_worth": None}
 
-    def rows(self, word: str) -> np.ndarray:
-        found = self._rows.get(word)
-        if found is None:
-            if len(self._rows) >= _WORDS_HELD:
-                self._rows.clear()
-            found = self._rows[word] = word_buckets(word, self.buckets)
-        return found
+    def _forget(self) -> None:
+        """Drop what was derived from the table: the row margins and the words met so far."""
+        self._margin: dict[str, int] = {}
+        self._sums, self._worth = np.zeros((0, 2)), None
 
-    def pieces(self, text: str) -> list[list[str]]:
-        words = WORDS.findall(text.lower())
-        n = max(1, -(-len(words) // self.piece_words))
-        size = -(-len(words) // n) if words else 1
-        return [words[i:i + size] for i in range(0, len(words), size)]
+    def pieces(self, count: int) -> np.ndarray:
+        """Starts of the pieces of a text of ``count`` words, of nearly equal length."""
+        n = -(-count // self.piece_words)
+        return np.arange(0, count, -(-count // n)) if count else np.empty(0, np.int64)
+
+    def train(self, texts: list[str], labels: list[int]) -> "SubwordSoftmax":
+        """Mini-batches of documents; a document's margin is a soft maximum over its pieces, sharper each round.
 
-    def train(self, texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.5) -> "SubwordSoftmax":
-        """Rounds over documents; a toxic document teaches with its most toxic pieces, a clean one with all."""
+        A fifth of the documents is kept for the curve.
+        """
         y = np.asarray(labels, dtype=int)
         self.share = float(y.mean()) if len(y) else 0.0
         if not len(y) or y.min() == y.max():
             return self
-        rng = np.random.default_rng(11)
-        bags = [[np.concatenate([self.rows(w) for w in p]) for p in self.pieces(t)] for t in texts]
-        sizes = [[len(p) for p in self.pieces(t)] for t in texts]
-        past = np.full(self.buckets, 1e-8)
-        weight = {1: 0.5 / max(self.share, 1e-6), 0: 0.5 / max(1 - self.share, 1e-6)}
+        index: dict[str, int] = {}
+        docs = [np.array([index.setdefault(w, len(index)) for w in WORDS.findall(t.lower())], dtype=np.int64) for t in texts]
+        rows = [word_buckets(w, self.buckets) for w in index]
+        sizes = np.array([len(r) for r in rows])
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        flat = np.array([b for r in rows for b in r], dtype=np.int64)
+        rng = np.random.default_rng(self.seed)
+        order = rng.permutation(len(y))
+        fit_on, curve_on = order[len(order) // 5:], order[:len(order) // 5]
+        if min(np.bincount(y[curve_on], minlength=2).min(), np.bincount(y[fit_on], minlength=2).min()) == 0:
+            fit_on = curve_on = order
+        seen = np.zeros(self.buckets, dtype=np.int32)
+        for d in fit_on:
+            words = np.unique(docs[d])
+            if len(words):
+                seen[np.unique(flat[_ragged(starts[words], sizes[words])])] += 1
+        live = seen >= self.min_docs
         self.softmax = rng.normal(0, 0.5, (self.dim, 2))
-        for epoch in range(epochs):
-            step = rate * (1 - epoch / epochs)
-            for d in rng.permutation(len(y)):
-                if not bags[d]:
+        past = np.full(self.buckets, 1e-6)
+        weight = np.array([0.5 / max(1e-6, 1 - self.share), 0.5 / max(1e-6, self.share)])
+        for epoch in range(self.epochs):
+            sharp = 1.0 + epoch * 0.5
+            for at in range(0, len(fit_on), 48):
+                if at == 0:
+                    rng.shuffle(fit_on)
+                batch = [d for d in fit_on[at:at + 48] if len(docs[d])]
+                if not batch:
                     continue
-                means = np.stack([self.table[b].mean(axis=0) for b in bags[d]])
-                logits = means @ self.softmax + self.bias
-                margin = logits[:, 1] - logits[:, 0]
-                # which pieces of a toxic document teach: first a random one, then those that stand out
-                if epoch == 0:
-                    chosen = range(len(bags[d])) if len(bags[d]) < 4 else rng.choice(len(bags[d]), 4, replace=False)
-                else:
-                    chosen = np.argsort(-margin)[:2]
-                for i in chosen:
-                    p = 1 / (1 + np.exp(-np.clip(margin[i], -30, 30)))
-                    error = (p - y[d]) * weight[int(y[d])]
-                    if abs(error) < 0.01:
-                        continue
-                    slope = self.softmax[:, 1] - self.softmax[:, 0]
-                    grad = error * slope / np.sqrt(sizes[d][i])
-                    bag = np.unique(bags[d][i])
-                    past[bag] += float(grad @ grad)
-                    self.table[bag] -= (step / np.sqrt(past[bag]))[:, None] * grad * 0.3
-                    move = 0.02 * step * error * means[i]
-                    self.softmax[:, 1] -= move
-                    self.softmax[:, 0] += move
-                    self.bias += 0.02 * step * error * np.array([1.0, -1.0])
+                words, where = np.unique(np.concatenate([docs[d] for d in batch]), return_inverse=True)
+                span = sizes[words]
+                bag = flat[_ragged(starts[words], span)]
+                edge = np.concatenate(([0], np.cumsum(span)[:-1]))
+                vectors = np.add.reduceat(self.table[bag], edge, axis=0)
+                cuts, piece_doc, begin = [], [], 0
+                for i, d in enumerate(batch):
+                    own = self.pieces(len(docs[d]))
+                    cuts.append(own + begin)
+                    piece_doc.append(np.full(len(own), i))
+                    begin += len(docs[d])
+                cuts, piece_doc = np.concatenate(cuts), np.concatenate(piece_doc)
+                lengths = np.diff(np.append(cuts, begin))
+                grams = np.add.reduceat(span[where], cuts)
+                means = np.add.reduceat(vectors[where], cuts, axis=0) / grams[:, None]
+                slope = self.softmax[:, 1] - self.softmax[:, 0]
+                margin = means @ slope + self.bias[1] - self.bias[0]
+                first = np.concatenate(([0], np.flatnonzero(np.diff(piece_doc)) + 1))
+                top = np.maximum.reduceat(margin, first)[piece_doc]
+                soft = np.exp(sharp * (margin - top))
+                soft /= np.add.reduceat(soft, first)[piece_doc]
+                pooled = np.add.reduceat(soft * margin, first)
+                label = y[batch]
+                error = (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - label) * weight[label]
+                push = error[piece_doc] * soft
+                each = np.repeat(push / grams, lengths)
+                total = np.bincount(where, weights=each, minlength=len(words))
+                touched, back = np.unique(bag, return_inverse=True)
+                spread = np.bincount(back, weights=np.repeat(total, span), minlength=len(touched))
+                grad = spread[:, None] * slope * live[touched][:, None]
+                past[touched] += (grad * grad).sum(axis=1)
+                self.table[touched] -= (self.rate * grad / np.sqrt(past[touched])[:, None]).astype(np.float32)
+                move = 0.05 * (push[:, None] * means).sum(axis=0)
+                self.softmax[:, 1] -= move
+                self.softmax[:, 0] += move
+                self.bias += 0.01 * push.sum() * np.array([1.0, -1.0])
         self.trained = True
-        self._margin.clear()
-        raw = np.array([self.evidence(t) for t in texts])
-        self.curve = _curve(raw, y)
+        self._forget()
+        self.curve = _curve(np.array([self.evidence(texts[d]) for d in curve_on]), y[curve_on])
         return self
 
-    def word_margin(self, word: str) -> float:
-        found = self._margin.get(word)
-        if found is None:
-            if len(self._margin) >= _WORDS_HELD:
-                self._margin.clear()
-            bag = word_buckets(word, self.buckets)
-            found = self._margin[word] = (float(self.table[bag].sum(axis=0) @ (self.softmax[:, 1] - self.softmax[:, 0])), len(bag))
-        return found
+    def _known(self, words: list[str]) -> np.ndarray:
+        """Places of the words in the table of margins, which holds words as they come up."""
+        if len(self._margin) + len(words) > max(_WORDS_HELD, len(words)):
+            self._margin, self._sums = {}, np.zeros((0, 2))
+        place, slope = self._margin, self.softmax[:, 1] - self.softmax[:, 0]
+        fresh = [w for w in dict.fromkeys(words) if w not in place]
+        if fresh:
+            bags = [word_buckets(w, self.buckets) for w in fresh]
+            sizes = np.array([len(b) for b in bags])
+            edge = np.cumsum(sizes) - sizes
+            worth = self.table @ slope if self._worth is None else self._worth
+            self._worth = worth
+            sums = np.add.reduceat(worth[[r for b in bags for r in b]], edge)
+            at = len(place)
+            if at + len(fresh) > len(self._sums):
+                self._sums = np.concatenate([self._sums, np.zeros((len(self._sums) + len(fresh) + 1024, 2))])
+            self._sums[at:at + len(fresh)] = np.stack([sums, sizes], axis=1)
+            place.update(zip(fresh, range(at, at + len(fresh))))
+        return np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
 
     def evidence(self, text: str) -> float:
         """Mean margin of the two most toxic pieces."""
         words = WORDS.findall(text.lower())
         if not words:
             return 0.0
-        pairs = np.array([self.word_margin(w) for w in words])
-        n = -(-len(words) // self.piece_words)
-        size = -(-len(words) // n)
-        sums = np.add.reduceat(pairs, np.arange(0, len(words), size), axis=0)
+        at = self._known(words)
+        sums = np.add.reduceat(self._sums[at], self.pieces(len(words)), axis=0)
         margin = np.sort(sums[:, 0] / sums[:, 1])[::-1] + float(self.bias[1] - self.bias[0])
         return float(margin[:2].mean())
 
@@ -156,7 +199,7 @@ class SubwordSoftmax:
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one number, by Newton's method, lightly penalised."""
+    """Slope and height of a logistic curve on one number, by Newton's method, lightly penalised."""
     scale = float(x.std()) or 1.0
     z = np.stack([x / scale, np.ones(len(x))], axis=1)
     w = np.zeros(2)
@@ -165,7 +208,16 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         grad = z.T @ (p - y) + np.array([0.1, 0.0]) * w
         hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([0.1, 1e-6])
         w -= np.clip(np.linalg.solve(hess, grad), -2, 2)
-    return max(float(w[0]), 0.0) / scale, float(w[1])
+    a, b = max(float(w[0]), 0.0) / scale, float(w[1])
+    # the even score is put where the F measure is greatest
+    best, cut = -1.0, 0.0
+    for t in np.unique(x):
+        chosen = x >= t
+        f = 2 * (y[chosen]).sum() / max(1, chosen.sum() + y.sum())
+        if f > best:
+            below = x[x < t]
+            best, cut = f, (t + below.max()) / 2 if len(below) else t - 1.0
+    return (a, -a * cut) if a > 0 else (a, b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text",
