@@ -180,14 +180,16 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
         "doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
-def accepted(docs: DataFrame, profiles: Profiles, *, text: str = "text", min_score: float = 0.0) -> DataFrame:
-    """Rows of ``docs`` whose language can be told: not ``und`` and scored at least ``min_score``."""
-    columns = docs.columns
+def accepted(docs: DataFrame, profiles: Profiles, *, text: str = "text", min_score: float = 0.25) -> DataFrame:
+    """Rows of ``docs`` with a letter and, if there are profiles, a language scored at least ``min_score``.
 
-    def run(batches):
-        for batch in batches:
-            found = [profiles.predict("" if t is None else t) for t in batch[text]]
-            keep = [name != UNKNOWN and score >= min_score for name, score in found]
-            yield batch[np.array(keep, dtype=bool)][columns]
-
-    return docs.mapInPandas(run, docs.schema)
+    A text far from every profile is in none of the languages.
+    """
+    def accept(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            name, score = profiles.predict("" if t is None else t)
+            out.append(name != UNKNOWN and score >= min_score if profiles.names else bool(len(coded(t or ""))))
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(F.pandas_udf(accept, "boolean")(F.col(text)))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import whole_text
+from memlake.llm.common import bounded_broadcast, whole_text
 from memlake.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -168,3 +168,21 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     return done.join(known, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "source", "size", "source_size", "target",
         copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+          broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """``docs`` that the mix takes, with ``copies`` and ``taken`` words; rows alike in id and text are told apart by order."""
+    columns = [c for c in docs.columns if c not in ("copies", "taken")]
+    key = F.to_json(F.struct(F.col(doc_id).alias("i"), F.xxhash64(whole_text(text)).alias("h")))
+    keyed = docs.withColumn("__key", key)
+    chosen = materialize(mix(keyed, doc_id="__key", text=text, source=source, **options).select(
+        F.col("doc_id").alias("__of"), "copies", "taken"), "mix-chosen")
+    if chosen.groupBy("__of").count().where("count > 1").limit(1).count():
+        order = Window.partitionBy("__of").orderBy(F.desc("copies"))
+        chosen = chosen.withColumn("__of", F.concat_ws("/", "__of", F.row_number().over(order)))
+        keyed = keyed.withColumn("__key", F.concat_ws("/", "__key", F.row_number().over(
+            Window.partitionBy("__key").orderBy(F.lit(0)))))
+    taken = chosen.where("copies > 0")
+    small = bounded_broadcast(taken, taken.count(), broadcast_rows)
+    return keyed.join(small, F.col("__key") == F.col("__of")).select(*columns, "copies", "taken")

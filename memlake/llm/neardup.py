@@ -113,7 +113,7 @@ def _sign(n: int, bands: int, rows: int):
                     sig = signatures([sets[i] for i in full], bands, rows)
                     for row, i in enumerate(full):
                         digest[i], found[i] = set_digest(sets[i]), sig[row]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "digest": digest, "bands": found})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "h": part["h"].to_numpy(), "digest": digest, "bands": found})
     return sign
 
 
@@ -212,13 +212,14 @@ def _verify(threshold: float):
     return run
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8,
-            recall: float = 0.9995, rows: int = 5, block_texts: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``doc_id, class_id, links`` of every document: its class, and how many other documents it links to."""
+def _classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8,
+             recall: float = 0.9995, rows: int = 5, block_texts: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Per row ``id``, hash ``h`` of the text, ``digest`` of its set, class ``comp`` and ``class_id``, ``links``."""
     kind = docs.schema[doc_id].dataType
     slim = docs.select(F.col(doc_id).cast("string").alias("id"), whole_text(text).alias("text"))
+    slim = slim.withColumn("h", F.xxhash64("text"))
     signed = materialize(slim.mapInPandas(
-        _sign(n, bands_for(threshold, recall, rows), rows), "id string, digest binary, bands array<long>")
+        _sign(n, bands_for(threshold, recall, rows), rows), "id string, h long, digest binary, bands array<long>")
         .withColumn("id", F.col("id").cast(kind)), "minhash")
     texts = materialize(signed.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "minhash-texts")
@@ -249,20 +250,38 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
         "comp", F.coalesce("comp", "digest")).join(links, "digest", "left")
     smallest = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
     final = named.join(smallest, "comp").select(
-        "digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"))
-    return signed.select("id", "digest").join(final, "digest", "left").select(
-        F.col("id").alias("doc_id"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        "digest", "comp", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"))
+    return signed.select("id", "h", "digest").join(final, "digest", "left").select(
+        "id", "h", "digest", "comp", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, class_id, links`` of every document: its class, and how many other documents it links to."""
+    return _classes(docs, **options).select(F.col("id").alias("doc_id"), "class_id", "links")
+
+
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000,
                 **options) -> DataFrame:
-    """``docs`` with one row of each class, the one named by it; rows with null ids stay, repeated rows go."""
-    found = materialize(classes(docs, doc_id=doc_id, text=text, broadcast_rows=broadcast_rows, **options), "minhash-classes")
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    repeated = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").drop("count")
-    kept = docs.join(bounded_broadcast(gone, gone.count(), broadcast_rows), F.col(doc_id) == F.col("__gone"), "left_anti")
-    if repeated.limit(1).count() == 0:
-        return kept
-    twice = kept.join(repeated, F.col(doc_id) == F.col("__again"), "left_semi").dropDuplicates([doc_id])
-    return kept.join(repeated, F.col(doc_id) == F.col("__again"), "left_anti").unionByName(twice)
+    """``docs`` with one row of each class, that of the smallest id; rows without a word all stay.
+
+    Rows are known by id and text, so rows that share an id but not their text
+    are told apart; of rows alike in both one stays.
+    """
+    columns = docs.columns
+    found = materialize(_classes(docs, doc_id=doc_id, text=text, broadcast_rows=broadcast_rows, **options)
+                        .where("digest IS NOT NULL").select("id", "h", "comp"), "minhash-classes")
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "h")).alias("first"))
+    chosen = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    gone = materialize(found.join(first, "comp").where(~chosen).select(
+        F.col("id").alias("__id"), F.col("h").alias("__gone")).distinct(), "minhash-gone")
+    again = materialize(found.groupBy(F.col("id").alias("__id"), F.col("h").alias("__again")).count().where("count > 1")
+                        .drop("count"), "minhash-again")
+    marked = docs.withColumn("__h", F.xxhash64(whole_text(text)))
+    same = F.col(doc_id).eqNullSafe(F.col("__id"))
+    kept = marked.join(bounded_broadcast(gone, gone.count(), broadcast_rows), same & (F.col("__h") == F.col("__gone")), "left_anti")
+    if not again.limit(1).count():
+        return kept.select(*columns)
+    repeated = same & (F.col("__h") == F.col("__again"))
+    once = kept.join(again, repeated, "left_semi").dropDuplicates([doc_id, "__h"])
+    return kept.join(again, repeated, "left_anti").unionByName(once).select(*columns)

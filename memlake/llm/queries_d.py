@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memlake.llm import decontaminate, neardup
+from memlake.llm import decontaminate, neardup, repeats
 from memlake.llm.common import table
 
 
@@ -16,7 +17,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op8_decontaminate": op8_decontaminate}
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("bytes").alias("n_bytes"), (F.col("bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op8_decontaminate": op8_decontaminate, "op9_repeats": op9_repeats}
 
 
 def _seed_sql(source: str, key: str) -> str:
