@@ -31,7 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import bounded_broadcast, whole_text
@@ -117,23 +118,46 @@ def pieces(data: np.ndarray, a, low, high, block: int, length: int = LENGTH) ->
             "whole": _WHOLE.of(whole, a - high, a + length - low, high * 1024 + low)}
 
 
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def _data(column: pa.Array) -> list[np.ndarray]:
+    """Views of the values of a binary column."""
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], dtype=width)[column.offset:column.offset + len(column) + 1]
+    values = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    return [values[s:e] for s, e in zip(offsets[:-1], offsets[1:])]
 
 
-def _rows(block: int, opened: bool, length: int, reach: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    return [values[s:e] for s, e in zip(offsets[:-1], offsets[1:])]
+
+
+def _packed(keys: pa.RecordBatch, rows: list[int], found: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+    ends = pa.array(np.cumsum([0] + [len(f["a"]) for f in found]), pa.int32())
+    kinds = {"a": np.int32, "low": np.int32, "high": np.int32, "core": np.int64, "whole": np.int64}
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[c] for f in found]).astype(kind)))
+             for c, kind in kinds.items()]
+    at = pa.array(rows)
+    return pa.RecordBatch.from_arrays([keys.column("id").take(at), keys.column("h").take(at), *lists], names=["id", "h", *kinds])
+
+
+def _rows(block: int, opened: bool, length: int, reach: int, held: int = 200_000):
+    """One row a text with its pieces in lists; a batch goes out once it holds ``held`` of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                out = []
-                for r in batch.iloc[at:at + 256].itertuples(index=False):
-                    data = _bytes(r.text)
-                    named = ([np.asarray(x, dtype=np.int64) for x in (r.a, r.low, r.high)] if opened
-                             else anchors(data, length, reach))
-                    if len(named[0]):
-                        out.append({"id": r.id, "h": r.h, **pieces(data, *named, block, length)})
-                if out:
-                    yield pd.DataFrame(out)
+            rows, out, size = [], [], 0
+            named = [_lists(batch.column(c)) for c in ("a", "low", "high")] if opened else None
+            for i, data in enumerate(_data(batch.column("data"))):
+                own = [c[i] for c in named] if opened else anchors(data, length, reach)
+                if not len(own[0]):
+                    continue
+                rows.append(i)
+                out.append(pieces(data, *own, block, length))
+                size += len(out[-1]["a"])
+                if size >= held:
+                    yield _packed(batch, rows, out)
+                    rows, out, size = [], [], 0
+            if out:
+                yield _packed(batch, rows, out)
     return run
 
 
@@ -143,17 +167,20 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
     kind = docs.schema[doc_id].dataType
     texts = docs.select(F.col(doc_id).cast("string").alias("id"), whole_text(text).alias("text")).withColumn(
         "h", F.xxhash64("text")).where(F.octet_length("text") >= length)
+    data = texts.select("id", "h", F.col("text").cast("binary").alias("data"))
     settled, opened = None, None
     for block in blocks:
-        if opened is None:
-            source = texts.select("id", "h", "text")
-        else:
-            per = opened.groupBy("id", "h").agg(*[F.collect_list(F.struct("a", "low", "high")).alias("p")])
-            per = per.select("id", "h", *[F.col(f"p.{c}").alias(c) for c in ("a", "low", "high")])
-            per = bounded_broadcast(per, opened.count(), broadcast_rows)
-            source = texts.join(per, texts["h"].eqNullSafe(per["h"]) & texts["id"].eqNullSafe(per["id"])).select(
-                texts["id"], texts["h"], "text", "a", "low", "high")
-        found = source.mapInPandas(_rows(block, opened is not None, length, reach), f"id string, h long, {_PIECES}")
+        source = data
+        if opened is not None:
+            keys = opened.select("id", "h").distinct()
+            if block == blocks[1]:  # the texts that are still open, once for all further levels
+                keys = materialize(keys, "repeat-keys")
+                small = bounded_broadcast(keys, keys.count(), broadcast_rows)
+                data = materialize(data.join(small, _same(data, small), "left_semi"), "repeat-open")
+            per = opened.groupBy("id", "h").agg(F.collect_list(F.struct("a", "low", "high")).alias("p"))
+            source = data.join(per, _same(data, per)).select(
+                data["id"], data["h"], "data", *[F.col(f"p.{c}").alias(c) for c in ("a", "low", "high")])
+        found = source.mapInArrow(_rows(block, opened is not None, length, reach), f"id string, h long, {_PIECES}")
         rows = materialize(found.select("id", "h", F.inline(F.arrays_zip("a", "low", "high", "core", "whole"))), "repeat-rows")
         shared = materialize(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "repeat-cores")
         left = materialize(rows.join(bounded_broadcast(shared, shared.count(), broadcast_rows), "core"), "repeat-left")
@@ -173,6 +200,10 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
         "id", F.col("id").cast(kind))
 
 
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return (a["h"] == b["h"]) & a["id"].eqNullSafe(b["id"])
+
+
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Overlapping and touching intervals of each text joined, as they pass by in order."""
     key, start, end = None, 0, 0

@@ -57,6 +57,7 @@ def test_redaction_removes_base_spans_and_keeps_columns(spark):
     assert out[2]["text"] == "mail [email] or [ip]" and out[2]["n_chars"] == len(out[2]["text"])
     assert out[3]["text"] == "nothing here" and out[4]["text"] == "[phone]é [card]"
     assert pii.redact(frame(spark, texts)).columns == frame(spark, texts).columns
+    assert all((r["base"], r["spans"], r["candidates"]) == ("b", "s", 1) for r in out.values())
 
 
 def test_widely_copied_values_are_told_from_owned_ones(spark):
