@@ -432,7 +432,7 @@ def graph_context(edges: DataFrame, ids: DataFrame | None = None, max_entities:
     with the edge table on both ends at once.
     """
     links = edges.where(F.col("rel") == "mentioned_in").select(
-        F.substring("to_id", len("memory:") + 1, 1_000).alias("id"), F.col("from_id").alias("entity_id"),
+        F.substr("to_id", F.lit(len("memory:") + 1)).alias("id"), F.col("from_id").alias("entity_id"),
         "confidence")
     if ids is not None:
         links = links.join(ids.select("id").distinct(), "id", "left_semi")
@@ -453,7 +453,7 @@ def context_relationships(edges: DataFrame, ids: DataFrame, max_entities: int =
                           max_relationships: int = 30) -> DataFrame:
     """The relationships counted by :func:`graph_context`, at most 30 per memory."""
     links = edges.where(F.col("rel") == "mentioned_in").select(
-        F.substring("to_id", len("memory:") + 1, 1_000).alias("id"), F.col("from_id").alias("entity_id"),
+        F.substr("to_id", F.lit(len("memory:") + 1)).alias("id"), F.col("from_id").alias("entity_id"),
         "confidence").join(ids.select("id").distinct(), "id", "left_semi")
     held = top_k(links, ["id"], [F.desc("confidence"), F.asc("entity_id")], max_entities, rank="__rn")
     sets = held.groupBy("id").agg(F.collect_list("entity_id").alias("es"))

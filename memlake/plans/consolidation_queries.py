@@ -130,14 +130,15 @@ def _arrivals(spark, sf_dir):
     split = F.lit("2024-04-01 00:00:00").cast("timestamp")
     from memlake.operators.dedup import dedup_fingerprint
 
-    return dedup_fingerprint(df.where(F.col("created_at") < split)), df.where(F.col("created_at") >= split)
+    old, new = dedup_fingerprint(df.where(F.col("created_at") < split)), df.where(F.col("created_at") >= split)
+    return tables.stamped(old), tables.stamped(new)
 
 
 def s04_upsert_memories(spark, sf_dir):
     old, new = _arrivals(spark, sf_dir)
     return tables.upsert_memories(old, new).select(
-        "session_id", "fingerprint", "id", "event_id", "content", "importance",
-        F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+        "session_id", "fingerprint", "id", "event_id", "content", "importance", "confidence",
+        F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
 def s05_route_memories(spark, sf_dir):
@@ -153,6 +154,27 @@ def s06_write_tiered(spark, sf_dir):
     return tables.read_all_tiers(spark, path).groupBy("tier").agg(F.count("*").alias("memories"))
 
 
+def s06_write_tiered_twice(spark, sf_dir):
+    """Three writes at different times: all rows, a third of them a year on, then an eighth deleted."""
+    from memlake.session import scratch_dir
+
+    path, m = scratch_dir(spark, "tiers"), inputs.stored(spark, sf_dir)
+    tables.write_tiered(m, path, inputs.AS_OF, 8)
+    tables.write_tiered(m.where("vec_id % 3 = 0"), path, "2025-06-01 00:00:00", 8)
+    tables.remove_tiered(spark, path, m.where("vec_id % 8 = 1"), 8)
+    return tables.read_all_tiers(spark, path).select("id", "tier")
+
+
+def s10_remove_sessions(spark, sf_dir):
+    """What a stored table holds after the sessions of saved rows are deleted from it."""
+    from memlake.session import scratch_dir
+
+    path, m = scratch_dir(spark, "memories"), inputs.stored(spark, sf_dir)
+    tables.write_upsert(m, path, 8)
+    tables.remove_sessions(spark, path, m.where("saved"), 8)
+    return tables.read_memories(spark, path).select("session_id", "fingerprint")
+
+
 def s07_read_all_tiers(spark, sf_dir):
     """Every user's memories from the three tiers with their place by importance."""
     from memlake.operators.windows import numbered

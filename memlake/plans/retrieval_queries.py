@@ -19,7 +19,7 @@ def asked(spark, sf_dir):
     turns = inputs.chat_events(spark, sf_dir).where("role = 'user'")
     latest = turns.groupBy("session_id").agg(F.max_by(
         F.struct("event_id", "user_id", "content"), F.struct("created_at", "event_id")).alias("q"))
-    conv = F.substring("session_id", 2, 20).cast("long")
+    conv = F.substr("session_id", F.lit(2)).cast("long")
     turn = F.substring_index("event_id", "-", -1).cast("long")
     rows = latest.select("session_id", "q.*").select(
         F.col("event_id").alias("query_id"), "event_id", "session_id", "user_id",

@@ -18,18 +18,26 @@ def table_stream(spark, sf_dir, name):
 
 
 def run_to_end(stream, mode: str = "append"):
-    """Write a stream to the shared folder until its input is used up."""
+    """Write a stream to the shared folder until its input is used up.
+
+    In update mode every micro-batch stays, numbered by ``batch``; in complete
+    mode the last one, with what was still open at the end.
+    """
     spark = stream.sparkSession
     out, checkpoint = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-checkpoint")
     schema = stream.schema
     if mode == "append":
         query = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
-    else:
-        query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(
-            lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        return spark.read.schema(schema).parquet(out)
+    name = "complete" if mode == "complete" else "batch={}"
+    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(
+        lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{name.format(i)}")).trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(out if mode == "append" else f"{out}/batch=*")
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(f"{out}/complete")
+    return spark.read.parquet(out)
 
 
 def x01_stream_extract(spark, sf_dir):
@@ -42,7 +50,7 @@ def x01_stream_extract(spark, sf_dir):
 
 def x02_drop_duplicate_jobs(spark, sf_dir):
     attempts = logs.job_attempts(table_stream(spark, sf_dir, "events"))
-    return run_to_end(jobs.drop_duplicate_jobs(attempts)).select("idempotency_key")
+    return run_to_end(jobs.drop_duplicate_jobs(attempts)).select("idempotency_key", "job_id", "attempt")
 
 
 def _queue(spark, sf_dir):
@@ -72,7 +80,8 @@ def x04_stream_rate_violations(spark, sf_dir):
 def x05_stream_session_state(spark, sf_dir):
     events = corpus.events_of_turns(table_stream(spark, sf_dir, "conversations"))
     rows = run_to_end(state.session_state(events, ttl_hours=24 * 365), "update")
-    return rows.select("session_id", "assistant_turns", "current_topic", "mode", F.size("recent").alias("turns"))
+    last = rows.groupBy("session_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "session_id"]), "batch").alias("r"))
+    return last.select("session_id", "r.*").select("session_id", "assistant_turns", "current_topic", "mode", F.size("recent").alias("turns"))
 
 
 def x06_stream_dedup_upsert(spark, sf_dir):
@@ -106,19 +115,19 @@ def _requests(spark, sf_dir):
 
 
 def x08_stream_metrics(spark, sf_dir):
-    rows = run_to_end(jobs.stream_metrics(_requests(spark, sf_dir), window="1 hour"))
+    rows = run_to_end(jobs.stream_metrics(_requests(spark, sf_dir), window="1 hour"), "complete")
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "route", "requests",
                        "errors", "hits", round6(F.col("duration_sum")).alias("duration_sum"), "le_7")
 
 
 def x08_stream_event_rate(spark, sf_dir):
-    rows = run_to_end(jobs.stream_event_rate(_requests(spark, sf_dir), ["route"], window="1 hour", slide="20 minutes"))
+    rows = run_to_end(jobs.stream_event_rate(_requests(spark, sf_dir), ["route"], window="1 hour", slide="20 minutes"), "complete")
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "route", "events",
                        round6(F.col("per_second")).alias("per_second"))
 
 
 def x09_session_activity(spark, sf_dir):
-    rows = run_to_end(jobs.session_activity(_requests(spark, sf_dir), "6 hours", key="client_id"))
+    rows = run_to_end(jobs.session_activity(_requests(spark, sf_dir), "6 hours", key="client_id"), "complete")
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return rows.select("client_id", shown("started_at"), shown("expires_at"), "events")
 

@@ -80,7 +80,7 @@ def events_of_turns(turns: DataFrame) -> DataFrame:
 
 def with_usage(memories: DataFrame) -> DataFrame:
     """Access, saved-by-user and lifecycle columns derived from session and turn."""
-    conv = F.substring("session_id", 2, 20).cast("long")
+    conv = F.substr("session_id", F.lit(2)).cast("long")
     turn = F.substring_index("event_id", "-", -1).cast("long")
     accessed = F.least(F.lit(AS_OF).cast("timestamp"),
                        F.col("created_at") + F.make_dt_interval(((conv * 13) % 40).cast("int")))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions.text import as_timestamp
 from memlake.operators.lifecycle import tier_of
 from memlake.session import materialize
 
@@ -59,35 +58,48 @@ def session_bucket(session: Column, buckets: int = TABLE_BUCKETS) -> Column:
     return F.pmod(F.hash(session), buckets)
 
 
+#: columns that an upsert never changes
+FIRST_COLUMNS = ["id", "user_id", "memory_type", "role", "created_at"]
+
+
 def upsert_memories(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Merge on (session_id, fingerprint).
 
-    The id and creation columns of the stored row stay; content, summary,
-    source event and time come from the latest row; importance is the greatest.
+    Id, owner, type and creation time of the first row stay; everything else
+    comes from the latest row, and importance is the greatest.  A table with
+    ``updated_at`` gets the time of the latest row there.
     """
     keys = ["session_id", "fingerprint"]
     columns = existing.columns
     both = existing.withColumn("__new", F.lit(0)).unionByName(
         incoming.select(*columns).withColumn("__new", F.lit(1)))
-    latest = ["content", "summary", "event_id", "created_at"]
-    rest = [c for c in columns if c not in {*keys, *latest, "importance"}]
-    arrival = F.struct("__new", "created_at", "id")
+    first = [c for c in columns if c in FIRST_COLUMNS]
+    rest = [c for c in columns if c not in {*keys, *first, "importance"}]
+    arrival = F.struct("__new", F.col("updated_at" if "updated_at" in columns else "created_at"), "id")
     merged = both.groupBy(*keys).agg(
-        F.max_by(F.struct(*latest), arrival).alias("l"), F.min_by(F.struct(*rest), arrival).alias("r"),
+        F.max_by(F.struct(*rest), arrival).alias("l"), F.min_by(F.struct(*first), arrival).alias("r"),
         F.max(F.coalesce("importance", F.lit(0.0))).alias("importance"))
     return merged.select(*keys, "l.*", "r.*", "importance").select(*columns)
 
 
+def stamped(df: DataFrame) -> DataFrame:
+    """With ``updated_at``, the creation time where it is not set."""
+    if "updated_at" in df.columns:
+        return df.withColumn("updated_at", F.coalesce("updated_at", "created_at"))
+    return df.withColumn("updated_at", F.col("created_at"))
+
+
 def write_upsert(incoming: DataFrame, path: str, buckets: int = TABLE_BUCKETS) -> None:
     """Upsert into a table partitioned by session bucket, rewriting touched buckets only.
 
-    A hot session makes its bucket large but never funnels through one task:
-    rows are merged by (session, fingerprint).
+    Rows of one batch that share a key are merged as well, also in the first
+    write.  A hot session makes its bucket large but never funnels through one
+    task: rows are merged by (session, fingerprint).
     """
     spark = incoming.sparkSession
-    fresh = incoming.withColumn("session_bucket", session_bucket(F.col("session_id"), buckets))
-    if not _exists(spark, path):
-        fresh.write.partitionBy("session_bucket").parquet(path)
+    fresh = stamped(incoming).withColumn("session_bucket", session_bucket(F.col("session_id"), buckets))
+    if not _complete(spark, path):
+        upsert_memories(fresh.where(F.lit(False)), fresh).write.mode("overwrite").partitionBy("session_bucket").parquet(path)
         return
     fresh = materialize(fresh, "upsert-in")
     touched = fresh.select("session_bucket").distinct()
@@ -101,9 +113,34 @@ def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _location(spark: SparkSession, path: str):
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+    return location, location.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    location, store = _location(spark, path)
+    return store.exists(location)
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end; a first write that failed is not one."""
+    return _exists(spark, f"{path}/_SUCCESS")
+
+
+def _replace(stored: DataFrame, rows: DataFrame, path: str, by: list[str]) -> None:
+    """Put ``rows`` in place of ``stored``, which holds whole partitions of the table at ``path``.
+
+    Partitions that come out empty are removed after the others are written.
+    ``stored`` has few partitions, and only their names reach the driver.
+    """
+    spark = stored.sparkSession
+    rows = materialize(rows, "rewrite")
+    emptied = stored.select(*by).distinct().join(rows.select(*by).distinct(), by, "left_anti").collect()
+    overwrite_partitions(rows, path, by)
+    for r in emptied:
+        location, store = _location(spark, "/".join([path, *[f"{c}={r[c]}" for c in by]]))
+        store.delete(location, True)
 
 
 # -- routes and tiers ------------------------------------------------------------
@@ -125,14 +162,53 @@ def write_routed(df: DataFrame, path: str) -> None:
     route_memories(df).write.mode("append").partitionBy("route").parquet(path)
 
 
-def write_tiered(df: DataFrame, path: str, as_of) -> None:
-    """Save into the tier each row belongs to, whatever tier it came with."""
-    overwrite_partitions(df.withColumn("tier", tier_of(as_of)), path, ["tier"])
+TIER_KEYS = ["tier", "id_bucket"]
+
+
+def _id_bucket(buckets: int) -> Column:
+    return F.pmod(F.hash("id"), F.lit(buckets))
+
+
+def write_tiered(df: DataFrame, path: str, as_of, buckets: int = TABLE_BUCKETS) -> None:
+    """Save into the tier each row belongs to, whatever tier it came with.
+
+    Rows replace stored rows of the same id in any tier, so nothing is kept
+    twice when a row moves; of rows alike in id the latest counts.  The table is
+    partitioned by tier and bucket of the id, and touched buckets are rewritten.
+    """
+    spark = df.sparkSession
+    placed = df.withColumns({"tier": tier_of(as_of), "id_bucket": _id_bucket(buckets)})
+    columns = placed.columns
+    latest = placed.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("created_at", F.xxhash64(*columns))).alias("r"))
+    fresh = latest.select("r.*")
+    if not _complete(spark, path):
+        fresh.write.mode("overwrite").partitionBy(*TIER_KEYS).parquet(path)
+        return
+    fresh = materialize(fresh, "tiers-in")
+    stored = spark.read.parquet(path).join(fresh.select("id_bucket").distinct(), "id_bucket", "left_semi")
+    kept = stored.join(fresh.select("id"), "id", "left_anti")
+    _replace(stored, kept.select(*columns).unionByName(fresh.select(*columns)), path, TIER_KEYS)
+
+
+def remove_tiered(spark: SparkSession, path: str, ids: DataFrame, buckets: int = TABLE_BUCKETS) -> None:
+    """Delete rows by id from whatever tier holds them."""
+    gone = ids.select("id").distinct()
+    touched = gone.select(_id_bucket(buckets).alias("id_bucket")).distinct()
+    stored = spark.read.parquet(path).join(touched, "id_bucket", "left_semi")
+    _replace(stored, stored.join(gone, "id", "left_anti"), path, TIER_KEYS)
+
+
+def remove_sessions(spark: SparkSession, path: str, sessions: DataFrame, buckets: int = TABLE_BUCKETS) -> None:
+    """Delete all memories of the given sessions from a table written by ``write_upsert``."""
+    gone = sessions.select("session_id").distinct()
+    touched = gone.select(session_bucket(F.col("session_id"), buckets).alias("session_bucket")).distinct()
+    stored = spark.read.parquet(path).join(touched, "session_bucket", "left_semi")
+    _replace(stored, stored.join(gone, "session_id", "left_anti"), path, ["session_bucket"])
 
 
 def read_all_tiers(spark: SparkSession, path: str, user: str | None = None) -> DataFrame:
     """All tiers, most important first."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).drop("id_bucket")
     if user is not None:
         df = df.where(F.col("user_id") == user)
     return df.orderBy(F.desc(F.coalesce("importance", F.lit(0.0))), F.asc("id"))
@@ -190,7 +266,7 @@ def record_access(memories: DataFrame, hits: DataFrame) -> DataFrame:
     joined = memories.join(used, "id", "left")
     return joined.withColumns({
         "access_count": (F.coalesce("access_count", F.lit(0)) + F.coalesce("__hits", F.lit(0))).cast("bigint"),
-        "last_accessed_at": F.coalesce("__last", "last_accessed_at")}).drop("__hits", "__last")
+        "last_accessed_at": F.greatest("__last", "last_accessed_at")}).drop("__hits", "__last")
 
 
 # -- consolidated facts ----------------------------------------------------------------
@@ -217,6 +293,3 @@ def find_consolidated(df: DataFrame, *, user: str | None = None, topic: str | No
         return df.where(F.array_contains("source_ids", source_id)).orderBy(F.desc("updated_at"), F.asc("id"))
     return df.orderBy(F.desc("importance"), F.desc("updated_at"), F.asc("id"))
 
-
-def stamped(df: DataFrame, as_of) -> DataFrame:
-    return df.withColumn("updated_at", as_timestamp(as_of))

@@ -15,7 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from memlake.functions import lexicon as lx
 from memlake.operators import consolidate, dedup, extract, monitor
+from memlake.session import materialize
 from memlake.sources import tables
+from memlake.streaming import state
 
 
 def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str,
@@ -36,16 +38,19 @@ def stream_extract(events: DataFrame, path: str, checkpoint: str, as_of: Callabl
     return _start(events, batch, checkpoint, available_now)
 
 
-def drop_duplicate_jobs(jobs: DataFrame, ts: str = "ts", lifetime: str = "7 days") -> DataFrame:
-    """Skip a job whose idempotency key was seen within ``lifetime``.
+def drop_duplicate_jobs(jobs: DataFrame, ts: str = "ts", lifetime_days: int = 7,
+                        failed: str = "error_message IS NOT NULL") -> DataFrame:
+    """Skip an attempt whose idempotency key was completed within ``lifetime_days``.
 
+    Only a completed attempt marks its key, so retries of failed attempts run.
     ``jobs`` have ``job_type, session_id, event_id, content`` or a ready
-    ``idempotency_key``.  State is dropped once the watermark passes a key.
+    ``idempotency_key``; ``failed`` tells whether an attempt failed (false where
+    null).  Attempts of one micro-batch are taken in the order of ``ts``.
     """
     if "idempotency_key" not in jobs.columns:
         jobs = jobs.withColumn("idempotency_key", monitor.idempotency_key(
             F.col("job_type"), F.col("session_id"), F.col("event_id"), F.col("content")))
-    return jobs.withWatermark(ts, lifetime).dropDuplicatesWithinWatermark(["idempotency_key"])
+    return state.skip_completed(jobs, F.coalesce(F.expr(failed), F.lit(False)), "idempotency_key", ts, lifetime_days)
 
 
 def is_valid_job() -> Column:
@@ -74,7 +79,7 @@ def stream_dedup_upsert(candidates: DataFrame, table: str, checkpoint: str, *, b
     """
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        if tables._exists(spark, table):
+        if tables._complete(spark, table):
             stored = tables.read_memories(spark, table).join(
                 rows.select("session_id").distinct(), "session_id", "left_semi")
             rows = dedup.dedup_candidates(rows, stored)
@@ -85,26 +90,31 @@ def stream_dedup_upsert(candidates: DataFrame, table: str, checkpoint: str, *, b
 
 
 def stream_sweeps(new_memories: DataFrame, table: str, facts: str, checkpoint: str, as_of, *,
-                  available_now: bool = False) -> StreamingQuery:
-    """Consolidate again for the users that received memories in a batch."""
+                  buckets: int = 64, available_now: bool = False) -> StreamingQuery:
+    """Consolidate again for the users that received memories in a batch.
+
+    Facts are partitioned by a bucket of the user, so user ids keep their type
+    and a batch rewrites the buckets of its users only.
+    """
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("user_bucket", F.pmod(F.hash("user_id"), F.lit(buckets)))
+
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        touched = rows.select("user_id").distinct()
+        touched = materialize(rows.select("user_id").distinct(), "touched")
         memories = tables.read_memories(spark, table).join(touched, "user_id", "left_semi")
         if "lifecycle_state" not in memories.columns:
             memories = memories.withColumn("lifecycle_state", F.lit("active"))
-        have = tables._exists(spark, facts)
-        existing = spark.read.parquet(facts) if have else None
-        if existing is None:
+        if not tables._complete(spark, facts):
             built = consolidate.consolidate(consolidate.group_candidates(memories), as_of)
-            built.drop("group_id", "has_active").write.partitionBy("user_id").parquet(facts)
+            placed(built.drop("group_id", "has_active")).write.mode("overwrite").partitionBy("user_bucket").parquet(facts)
             return
-        mine = existing.join(touched, "user_id", "left_semi")
+        existing = spark.read.parquet(facts).join(placed(touched).select("user_bucket").distinct(), "user_bucket", "left_semi")
+        existing = materialize(existing, "facts-before")
+        mine = existing.drop("user_bucket").join(touched, "user_id", "left_semi")
         changes, _ = consolidate.consolidation_sweep(memories, mine, as_of)
-        merged = tables.upsert_consolidated(mine, changes.select(*mine.columns))
-        from memlake.session import materialize
-
-        tables.overwrite_partitions(materialize(merged, "facts"), facts, ["user_id"])
+        merged = tables.upsert_consolidated(existing, placed(changes).select(*existing.columns))
+        tables.overwrite_partitions(materialize(merged, "facts"), facts, ["user_bucket"])
     return _start(new_memories, batch, checkpoint, available_now)
 
 

@@ -6,10 +6,11 @@ by event time.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -56,12 +57,46 @@ def rate_violations(requests: DataFrame, limit: int = 30, window_seconds: int =
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def skip_completed(jobs: DataFrame, failed: Column, key: str, ts: str, lifetime_days: int,
+                   lateness: str = "7 days") -> DataFrame:
+    """Rows of ``jobs`` that no earlier completed attempt of their key makes superfluous."""
+    columns = jobs.columns
+    rows = jobs.withWatermark(ts, lateness).select(
+        F.col(key).alias("__key"), F.col(ts).alias("__ts"), F.unix_micros(ts).alias("__at"), failed.alias("__failed"),
+        F.to_json(F.struct(*columns)).alias("__row"))
+    lifetime = lifetime_days * 86_400_000_000
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            yield pd.DataFrame(columns=["row"])
+            return
+        done, out = held.get[0] if held.exists else None, []
+        attempts = sorted((int(at), row, bool(bad)) for b in batches for at, row, bad in zip(b["__at"], b["__row"], b["__failed"]))
+        for at, row, bad in attempts:
+            if done is not None and done <= at < done + lifetime:
+                continue
+            out.append(row)
+            if not bad:
+                done = at
+        if done is not None:
+            held.update((done,))
+            held.setTimeoutTimestamp(max((done + lifetime) // 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"row": out})
+
+    kept = rows.groupBy("__key").applyInPandasWithState(
+        run, "row string", "done bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(F.from_json("row", jobs.schema).alias("r")).select("r.*")
+
+
 def session_state(events: DataFrame, turns: int = 12, ttl_hours: int = 24, ts: str = "created_at",
                   lateness: str = "1 hour") -> DataFrame:
     """Latest topic, intent and mode of each session with its last turns.
 
-    One row per session and micro-batch in which it saw events.  A session
-    idle for ``ttl_hours`` starts again from nothing.
+    One row per session and micro-batch in which it saw events.  Turns are put
+    in the order of (time, event id), also late ones; a late turn never replaces
+    a newer topic.  A session idle for ``ttl_hours`` starts again from nothing,
+    and turns from before the break are left out.
     """
     from memlake.functions import scoring as sc
 
@@ -80,27 +115,34 @@ def session_state(events: DataFrame, turns: int = 12, ttl_hours: int = 24, ts: s
             state.remove()
             yield pd.DataFrame(columns=_SESSION_COLUMNS)
             return
-        last, replies, topic, intent, mode, recent = state.get if state.exists else (None, 0, None, None, None, [])
-        recent = list(recent)
+        (last, replies, asked_at, asked_id, topic, intent, mode, ats, ids, lines) = state.get if state.exists else (
+            None, 0, None, None, None, None, None, [], [], [])
+        recent = list(zip(ats, ids, lines))
         for batch in batches:
             for row in batch.sort_values(["at", "event_id"]).itertuples(index=False):
-                if last is not None and row.at - last > idle:
-                    replies, topic, intent, mode, recent = 0, None, None, None, []
-                last = int(row.at)
-                if row.role == "user":
-                    topic, intent, mode = row.topic, row.intent, row.mode
+                at = int(row.at)
+                if last is not None and at - last > idle:
+                    replies, asked_at, asked_id, topic, intent, mode, recent = 0, None, None, None, None, None, []
+                elif last is not None and last - at > idle:
+                    continue
+                last = at if last is None else max(last, at)
+                if row.role == "user" and (asked_at is None or (at, row.event_id) >= (asked_at, asked_id)):
+                    asked_at, asked_id, topic, intent, mode = at, row.event_id, row.topic, row.intent, row.mode
                 elif row.role == "assistant":
                     replies += 1
-                recent = (recent + [f"{row.role}: {row.text}"])[-turns:]
-        state.update((last, replies, topic, intent, mode, recent))
+                bisect.insort(recent, (at, row.event_id, f"{row.role}: {row.text}"))
+                recent = recent[-turns:]
+        ats, ids, lines = ([r[i] for r in recent] for i in range(3))
+        state.update((last, replies, asked_at, asked_id, topic, intent, mode, ats, ids, lines))
         state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], last, replies, topic, intent, mode, recent)], columns=_SESSION_COLUMNS)
+        yield pd.DataFrame([(key[0], last, replies, topic, intent, mode, lines)], columns=_SESSION_COLUMNS)
 
     return rows.groupBy("session_id").applyInPandasWithState(
         update,
         "session_id string, last_activity_ms bigint, assistant_turns bigint, current_topic string, "
         "last_user_intent string, mode string, recent array<string>",
-        "last bigint, replies bigint, topic string, intent string, mode string, recent array<string>",
+        "last bigint, replies bigint, asked_at bigint, asked_id string, topic string, intent string, mode string, "
+        "ats array<bigint>, ids array<string>, recent array<string>",
         "update", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -106,13 +106,19 @@ SQL["s03_read_memories"] = with_ctes("stored") + "SELECT session_id, count(*) AS
 SQL["s04_upsert_memories"] = with_ctes("mem") + """
 , old AS (SELECT * FROM mem WHERE created_at < TIMESTAMP '2024-04-01' QUALIFY row_number() OVER (PARTITION BY session_id, fingerprint ORDER BY created_at, id) = 1)
 , rows AS (SELECT *, 0 AS n FROM old UNION ALL SELECT *, 1 FROM mem WHERE created_at >= TIMESTAMP '2024-04-01')
-, w AS (SELECT *, first_value(id) OVER f AS first_id, max(importance) OVER (PARTITION BY session_id, fingerprint) AS imp,
+, w AS (SELECT *, first_value(id) OVER f AS first_id, first_value(created_at) OVER f AS first_at,
+    max(importance) OVER (PARTITION BY session_id, fingerprint) AS imp,
     row_number() OVER (PARTITION BY session_id, fingerprint ORDER BY n DESC, created_at DESC, id DESC) AS back FROM rows
     WINDOW f AS (PARTITION BY session_id, fingerprint ORDER BY n, created_at, id))
-SELECT session_id, fingerprint, first_id AS id, event_id, content, imp AS importance, strftime(created_at, '%Y-%m-%d') AS day FROM w WHERE back = 1"""
+SELECT session_id, fingerprint, first_id AS id, event_id, content, imp AS importance, confidence,
+  strftime(first_at, '%Y-%m-%d') AS created, strftime(created_at, '%Y-%m-%d') AS updated FROM w WHERE back = 1"""
 SQL["s05_route_memories"] = with_ctes("stored") + """
 SELECT CASE WHEN memory_type = 'factual' THEN 'relational' ELSE 'vector' END AS route, memory_type, count(*) AS memories FROM stored GROUP BY 1, 2"""
 SQL["s06_write_tiered"] = with_ctes("stored") + f"SELECT {tier(NOW)} AS tier, count(*) AS memories FROM stored GROUP BY 1"
+SQL["s06_write_tiered_twice"] = with_ctes("stored") + f"""
+SELECT id, CASE WHEN vec_id % 3 = 0 THEN {tier("TIMESTAMP '2025-06-01 00:00:00'")} ELSE {tier(NOW)} END AS tier FROM stored WHERE vec_id % 8 <> 1"""
+SQL["s10_remove_sessions"] = with_ctes("stored") + """
+SELECT session_id, fingerprint FROM stored WHERE session_id NOT IN (SELECT session_id FROM stored WHERE saved)"""
 SQL["s07_read_all_tiers"] = with_ctes("stored") + f"""
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS rank, id, {tier(NOW)} AS tier FROM stored"""
 SQL["s08_upsert_consolidated"] = with_ctes("n_fact", "o_fact") + """
@@ -129,7 +135,7 @@ SELECT to_state AS lifecycle_state, CASE WHEN from_state <> to_state AND to_stat
 FROM sweep GROUP BY 1, 2"""
 define("hits", ["stored"], "SELECT s.id, e.ts FROM events e JOIN stored s ON s.session_id = 's' || e.user_id")
 SQL["s12_record_access"] = with_ctes("hits") + """
-SELECT s.id, access_count + coalesce(n, 0) AS access_count, strftime(coalesce(h.last, last_accessed_at), '%Y-%m-%d %H:%M:%S') AS last_accessed_at
+SELECT s.id, access_count + coalesce(n, 0) AS access_count, strftime(coalesce(greatest(h.last, last_accessed_at), h.last, last_accessed_at), '%Y-%m-%d %H:%M:%S') AS last_accessed_at
 FROM stored s LEFT JOIN (SELECT id, count(*) AS n, max(ts) AS last FROM hits GROUP BY 1) h USING (id)"""
 SQL["s12_usage_rows"] = with_ctes("hits") + """
 SELECT h.id, count(*) AS hits, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_used_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_used_at,

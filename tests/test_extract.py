@@ -28,11 +28,11 @@ def extracted(spark, *rows):
 
 def test_identity_statement(spark):
     (row,) = extracted(spark, (
-        "user", "My name is Vinod and I prefer precise metadata for the capstone project.", "2026-04-21 10:00:00"))
+        "user", "My name is Orlaith and I prefer tidy records for the orchard project.", "2026-04-21 10:00:00"))
     assert row.memory_type == "factual" and row.domain == "identity"
     assert row.confidence > 0.7 and row.importance > 0.7
     assert "identity" in row.tags and "preference" in row.tags
-    assert {"type": "name_or_title", "value": "Vinod"} in [e.asDict() for e in row.entities]
+    assert {"type": "name_or_title", "value": "Orlaith"} in [e.asDict() for e in row.entities]
     assert row.schema_version == 3
 
 

@@ -133,3 +133,41 @@ def test_upsert_is_idempotent_and_keeps_greatest_importance(spark, tmp_path):
     rows = tables.read_memories(spark, path, "s", buckets=4).collect()
     assert rows == tables.read_memories(spark, path, "s").collect()
     assert len(rows) == 1 and (rows[0].id, rows[0].content, rows[0].importance, rows[0].event_id) == ("a", "new", 0.9, "e2")
+
+
+def test_tiered_writes_merge_and_move(spark, tmp_path):
+    def rows(*items):
+        return spark.createDataFrame(items, "id string, importance double, created_at string, last_accessed_at string").withColumns(
+            {c: F.col(c).cast("timestamp") for c in ("created_at", "last_accessed_at")})
+
+    path, day = str(tmp_path / "tiers"), "2024-01-01"
+    five = [(f"m{i}", 0.1 * i, day, day) for i in range(5)]
+    tables.write_tiered(rows(*five), path, "2024-01-02", 4)
+    tables.write_tiered(rows(("m9", 0.9, day, day), ("m9", 0.8, "2024-01-02", day)), path, "2024-01-02", 4)
+    assert tables.read_all_tiers(spark, path).count() == 6 and {r.tier for r in tables.read_all_tiers(spark, path).collect()} == {"hot"}
+    tables.write_tiered(rows(*five), path, "2024-09-01", 4)
+    out = {r.id: r.tier for r in tables.read_all_tiers(spark, path).collect()}
+    assert out == {"m0": "cold", "m1": "cold", "m2": "cold", "m3": "cold", "m4": "warm", "m9": "hot"}
+    assert [r.importance for r in tables.read_all_tiers(spark, path).collect() if r.id == "m9"] == [0.8]
+    tables.remove_tiered(spark, path, rows(("m9", None, None, None), ("m0", None, None, None)), 4)
+    assert sorted(r.id for r in tables.read_all_tiers(spark, path).collect()) == ["m1", "m2", "m3", "m4"]
+
+
+def test_access_times_do_not_move_back(spark):
+    memories = spark.sql("select 'a' id, 3L access_count, timestamp'2024-05-01' last_accessed_at")
+    hits = spark.sql("select 'a' memory_id, timestamp'2024-04-01' ts")
+    row = tables.record_access(memories, hits).first()
+    assert row.access_count == 4 and str(row.last_accessed_at).startswith("2024-05-01")
+
+
+def test_scratch_folder_must_be_shared(spark):
+    from memlake.session import scratch_dir
+
+    class Bare:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+    with pytest.raises(ValueError):
+        scratch_dir(Bare, "x")
+    assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))

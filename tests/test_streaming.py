@@ -53,9 +53,37 @@ def test_session_state_counts_turns(spark, tmp_path):
     assert seen[-1].current_topic == "please item number8"
 
 
-def test_duplicate_jobs_are_dropped_across_batches(spark, tmp_path):
-    rows = [("process-event", "s", f"e{i % 4}", "text", i, i // 4) for i in range(8)]
-    df = spark.createDataFrame(rows, "job_type string, session_id string, event_id string, content string, n int, part int")
-    df = df.select("job_type", "session_id", "event_id", "content", F.timestamp_seconds("n").alias("ts"), "part")
-    stream = in_files(spark, df, str(tmp_path / "in"), 2)
-    assert run_to_end(jobs.drop_duplicate_jobs(stream)).count() == 4
+def test_late_turns_do_not_turn_a_session_back(spark, tmp_path):
+    rows = [("s1", "e5", "user", "please discuss newest thing", 1000, 0), ("s1", "e2", "user", "earlier matter entirely", 400, 1),
+            ("s1", "e3", "assistant", "a reply between", 700, 1)]
+    df = spark.createDataFrame(rows, "session_id string, event_id string, role string, content string, n int, part int")
+    df = df.select("session_id", "event_id", "role", "content", F.timestamp_seconds("n").alias("created_at"), "part")
+    out = run_to_end(state.session_state(in_files(spark, df, str(tmp_path / "in"), 2)), "update")
+    row = max(out.collect(), key=lambda r: r.batch)
+    assert row.last_activity_ms == 1_000_000 and row.current_topic == "please discuss newest thing" and row.assistant_turns == 1
+    assert row.recent == ["user: earlier matter entirely", "assistant: a reply between", "user: please discuss newest thing"]
+
+
+def test_only_completed_jobs_block_their_key(spark, tmp_path):
+    day = 86_400
+    rows = [("k1", 1, "timeout", 0, 0), ("k1", 2, None, 60, 1), ("k1", 3, None, 120, 1), ("k1", 4, None, 180, 2),
+            ("k2", 1, None, 5, 0), ("k2", 2, None, 6, 1), ("k3", 1, "a", 7, 1), ("k3", 2, "b", 8, 2), ("k2", 3, None, 5 + 7 * day, 2)]
+    df = spark.createDataFrame(rows, "idempotency_key string, attempt int, error_message string, n int, part int")
+    df = df.select("idempotency_key", "attempt", "error_message", F.timestamp_seconds(F.col("n") + 1_700_000_000).alias("ts"), "part")
+    got = run_to_end(jobs.drop_duplicate_jobs(in_files(spark, df, str(tmp_path / "in"), 3))).collect()
+    assert {(r.idempotency_key, r.attempt) for r in got} == {("k1", 1), ("k1", 2), ("k2", 1), ("k2", 3), ("k3", 1), ("k3", 2)}
+
+
+def test_sweeps_keep_numeric_looking_users_apart_in_several_batches(spark, tmp_path):
+    from memlake.plans import inputs
+    from memlake.sources import tables
+
+    m = inputs.stored(spark, "/root/testdata/sf0.001").withColumn("user_id", F.concat(F.lit("00"), F.substr("user_id", F.lit(2))))
+    table, facts = str(tmp_path / "memories"), str(tmp_path / "facts")
+    tables.write_upsert(m, table, 4)
+    for part in range(2):
+        m.select("id", "user_id").coalesce(1).write.mode("append").parquet(str(tmp_path / f"new/p={part}"))
+    stream = spark.readStream.schema("id string, user_id string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "new/p=*"))
+    jobs.stream_sweeps(stream, table, facts, str(tmp_path / "cp"), inputs.AS_OF, buckets=4, available_now=True).awaitTermination()
+    out = spark.read.parquet(facts).collect()
+    assert out and len({r.id for r in out}) == len(out) and all(r.user_id.startswith("00") for r in out)
