@@ -143,21 +143,6 @@ def fit(docs: DataFrame, labelled: Column, *, doc_id: str = "doc_id", text: str
     return Profiles({k: g["gram"].to_numpy(np.int64) for k, g in best.groupby("lang")}, size)
 
 
-def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
-    names = {"lang_pred", "score"} & set(docs.columns)
-    if names:
-        raise ValueError(f"the table already has {sorted(names)}")
-
-    def run(batches):
-        for batch in batches:
-            found = [profiles.predict("" if t is None else t) for t in batch[text]]
-            yield batch.assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
-
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return docs.mapInPandas(run, schema)
-
-
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts)), F.lit(0))

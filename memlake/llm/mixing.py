@@ -172,17 +172,20 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
           broadcast_rows: int = 1_000_000, **options) -> DataFrame:
-    """``docs`` that the mix takes, with ``copies`` and ``taken`` words; rows alike in id and text are told apart by order."""
+    """``docs`` that the mix takes, with ``copies`` and ``taken`` words in place of columns of these names.
+
+    Rows alike in id and text each keep a decision of their own.
+    """
     columns = [c for c in docs.columns if c not in ("copies", "taken")]
     key = F.to_json(F.struct(F.col(doc_id).alias("i"), F.xxhash64(whole_text(text)).alias("h")))
-    keyed = docs.withColumn("__key", key)
-    chosen = materialize(mix(keyed, doc_id="__key", text=text, source=source, **options).select(
-        F.col("doc_id").alias("__of"), "copies", "taken"), "mix-chosen")
-    if chosen.groupBy("__of").count().where("count > 1").limit(1).count():
-        order = Window.partitionBy("__of").orderBy(F.desc("copies"))
-        chosen = chosen.withColumn("__of", F.concat_ws("/", "__of", F.row_number().over(order)))
-        keyed = keyed.withColumn("__key", F.concat_ws("/", "__key", F.row_number().over(
-            Window.partitionBy("__key").orderBy(F.lit(0)))))
+    keyed = docs.select(F.struct(*columns).alias("row"), key.alias("key"))
+    sized = docs.select(key.alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
+    chosen = materialize(mix(sized, doc_id="key", **options).select(F.col("doc_id").alias("of"), "copies", "taken"), "mix-chosen")
+    if chosen.groupBy("of").count().where("count > 1").limit(1).count():
+        order = Window.partitionBy("of").orderBy(F.desc("copies"))
+        chosen = chosen.withColumn("of", F.concat_ws("/", "of", F.row_number().over(order)))
+        keyed = keyed.withColumn("key", F.concat_ws("/", "key", F.row_number().over(
+            Window.partitionBy("key").orderBy(F.lit(0)))))
     taken = chosen.where("copies > 0")
     small = bounded_broadcast(taken, taken.count(), broadcast_rows)
-    return keyed.join(small, F.col("__key") == F.col("__of")).select(*columns, "copies", "taken")
+    return keyed.join(small, F.col("key") == F.col("of")).select("row.*", "copies", "taken")
