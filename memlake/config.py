@@ -66,7 +66,7 @@ class ConsolidationConfig:
     conflict_similarity_low: float = 0.25
     reconsolidate_fraction: float = 0.30
     stale_fraction: float = 0.60
-    #: rows of one bucket that a single task may order and group
+    #: rows of a connected component that are ordered and grouped together
     task_rows: int = 50_000
 
 

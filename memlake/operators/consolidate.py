@@ -103,20 +103,23 @@ def token_components(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _stretches(rows: DataFrame, size: int) -> DataFrame:
-    """Number stretches of about ``size`` rows in (importance, id) order within each component.
+    """Number the stretches of ``size`` rows of each component, in (importance, id) order.
 
-    Range partitioning splits a large component over many tasks; the
-    running position inside a partition gives the stretch, so no task needs
-    the whole component.
+    Positions are exact: rows are range-sorted, which splits a large component
+    over many tasks, and what lies in the ranges before is added up.  They do
+    not depend on where the ranges are cut.
     """
     from pyspark.sql import Window
 
-    ranged = rows.repartitionByRange("component", "neg_importance", "id")
-    ranged = ranged.withColumn("__part", F.spark_partition_id())
+    ranged = rows.repartitionByRange("component", "neg_importance", "id").withColumn("__part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    counts = ranged.groupBy("component", "__part").agg(F.count("*").alias("__rows"))
+    earlier = Window.partitionBy("component").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("component", "__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
     order = Window.partitionBy("__part", "component").orderBy("neg_importance", "id")
-    local = F.floor((F.row_number().over(order) - 1) / size).cast("int")
-    # partition and local number together name a stretch
-    return ranged.withColumn("stretch", F.col("__part").cast("long") * 100_000 + local).drop("__part")
+    placed = ranged.withColumn("__spot", F.row_number().over(order) - 1).join(before, ["component", "__part"])
+    return placed.withColumn("stretch", F.floor((F.col("__before") + F.col("__spot")) / size).cast("long")).drop(
+        "__part", "__spot", "__before")
 
 
 def group_candidates(df: DataFrame, config: ConsolidationConfig = DEFAULTS, *,
@@ -124,11 +127,11 @@ def group_candidates(df: DataFrame, config: ConsolidationConfig = DEFAULTS, *,
     """Members of every candidate group: the memory columns plus ``group_id``.
 
     Memories of one user, type and domain are grouped when they share a
-    content word, up to ``max_sources`` per group.  Buckets of at most
-    ``task_rows`` rows are grouped by one task each, in order.  A larger bucket
-    is first split into its connected components — exact, since groups never
-    span two — and only a component above ``task_rows`` is cut into stretches
-    of that many rows in bucket order, each grouped on its own.
+    content word, up to ``max_sources`` per group.  The rule goes through the
+    rows in order, each step depending on all before it, so it is applied to
+    stretches: the first ``task_rows`` rows of a connected component in bucket
+    order, the next ones, and so on.  The result depends on the rows alone.
+    Buckets that are one stretch anyway are not split into components first.
     """
     rows = eligible(df, include_archived).withColumns({
         "memory_type": F.coalesce("memory_type", F.lit("unknown")),

@@ -177,14 +177,19 @@ def test_large_buckets_split_into_components_exactly(spark):
     assert key(whole) == key(parts)
 
 
-def test_oversized_component_keeps_every_row_in_one_group(spark):
+def test_long_component_is_grouped_in_exact_stretches(spark):
     rows = [(f"m{i:03d}", "u", "semantic", f"shared word{i}", 0.5, i / 1000, 1) for i in range(200)]
-    out = consolidate.group_candidates(memories(spark, rows), ConsolidationConfig(max_sources=20, task_rows=50)).collect()
-    assert len(out) == len({r.id for r in out})
+    config, found = ConsolidationConfig(max_sources=20, task_rows=50), []
+    for partitions in (3, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        out = consolidate.group_candidates(memories(spark, rows), config).collect()
+        found.append({r.id: r.group_id for r in out})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
     sizes = {}
-    for r in out:
-        sizes[r.group_id] = sizes.get(r.group_id, 0) + 1
-    assert max(sizes.values()) <= 20 and sum(sizes.values()) >= 195
+    for group in found[0].values():
+        sizes[group] = sizes.get(group, 0) + 1
+    assert found[0] == found[1] and len(found[0]) == 200
+    assert sorted(sizes.values()) == [10] * 4 + [20] * 8
 
 
 def test_similar_memories_with_a_hot_signature(spark):
