@@ -15,16 +15,21 @@ def _entity_graph(spark, sf_dir):
     return graph.upsert_graph(entities, graph.extract_relationships(m, entities), m)
 
 
+def _gated(spark, sf_dir):
+    """Memories that enter the metadata graph."""
+    return graph.graph_gate(inputs.stored(spark, sf_dir))
+
+
 def g01_graph_gate(spark, sf_dir):
     return graph.graph_gate(inputs.stored(spark, sf_dir)).select("id", "importance", "confidence")
 
 
 def g02_memory_keywords(spark, sf_dir):
-    return graph.memory_keywords(inputs.stored(spark, sf_dir))
+    return graph.memory_keywords(_gated(spark, sf_dir))
 
 
 def g03_memory_entities(spark, sf_dir):
-    return graph.memory_entities(inputs.stored(spark, sf_dir))
+    return graph.memory_entities(_gated(spark, sf_dir))
 
 
 def g04_graph_edges(spark, sf_dir):
@@ -39,11 +44,11 @@ def g04_graph_nodes(spark, sf_dir):
 
 
 def g05_keyword_frequency(spark, sf_dir):
-    return graph.keyword_frequency(graph.memory_keywords(inputs.stored(spark, sf_dir)))
+    return graph.keyword_frequency(graph.memory_keywords(_gated(spark, sf_dir)))
 
 
 def g05_entity_occurrences(spark, sf_dir):
-    return graph.entity_occurrences(graph.memory_entities(inputs.stored(spark, sf_dir)))
+    return graph.entity_occurrences(graph.memory_entities(_gated(spark, sf_dir)))
 
 
 def g06_extract_graph_entities(spark, sf_dir):
@@ -78,49 +83,49 @@ def _similar(members, edges):
 
 def g09_similar_by_keywords(spark, sf_dir):
     """Keyword sets sharing two keywords or more, with the memory links they stand for."""
-    return _similar(*graph.similar_by_keywords(graph.memory_keywords(inputs.stored(spark, sf_dir))))
+    return _similar(*graph.similar_by_keywords(graph.memory_keywords(_gated(spark, sf_dir))))
 
 
 def g10_similar_by_domain(spark, sf_dir):
-    return graph.similar_by_domain(inputs.stored(spark, sf_dir), 3)
+    return graph.similar_by_domain(_gated(spark, sf_dir), 3)
 
 
 def g11_similar_by_tags(spark, sf_dir):
-    return _similar(*graph.similar_by_tags(graph.memory_tags(inputs.stored(spark, sf_dir))))
+    return _similar(*graph.similar_by_tags(graph.memory_tags(_gated(spark, sf_dir))))
 
 
 def g12_keyword_cooccurrence(spark, sf_dir):
-    return graph.keyword_cooccurrence(graph.memory_keywords(inputs.stored(spark, sf_dir)))
+    return graph.keyword_cooccurrence(graph.memory_keywords(_gated(spark, sf_dir)))
 
 
 def g13_memories_by_domain(spark, sf_dir):
-    m = inputs.stored(spark, sf_dir)
+    m = _gated(spark, sf_dir)
     return graph.memories_by_domain(m, m.select("session_id", "domain").distinct(), 2).select(
         "session_id", "domain", "rank", "id")
 
 
 def g13_memories_by_keyword(spark, sf_dir):
-    m = inputs.stored(spark, sf_dir)
+    m = _gated(spark, sf_dir)
     bridge = graph.memory_keywords(m)
     return graph.memories_by_keyword(m, bridge, bridge.select("session_id", "keyword").distinct(), 2).select(
         "session_id", "keyword", "rank", "id")
 
 
 def g13_memories_by_entity(spark, sf_dir):
-    m = inputs.stored(spark, sf_dir)
+    m = _gated(spark, sf_dir)
     bridge = graph.memory_entities(m)
     return graph.memories_by_entity(m, bridge, bridge.select("session_id", "value").distinct(), 2).select(
         "session_id", "value", "rank", "id", "entity_type")
 
 
 def g14_similar_memories(spark, sf_dir):
-    m = inputs.stored(spark, sf_dir)
+    m = _gated(spark, sf_dir)
     members, edges = graph.similar_by_keywords(graph.memory_keywords(m))
     return graph.similar_memories(members, edges, m)
 
 
 def g15_graph_stats(spark, sf_dir):
-    m = inputs.stored(spark, sf_dir)
+    m = _gated(spark, sf_dir)
     return graph.graph_stats(m, graph.memory_keywords(m), graph.memory_entities(m))
 
 
@@ -149,19 +154,19 @@ def g18_remove_relationships(spark, sf_dir):
 
 
 def g19_entity_cooccurrence(spark, sf_dir):
-    return graph.entity_cooccurrence(graph.memory_entities(inputs.stored(spark, sf_dir)))
+    return graph.entity_cooccurrence(graph.memory_entities(_gated(spark, sf_dir)))
 
 
 def g19_domain_counts(spark, sf_dir):
-    return graph.domain_counts(inputs.stored(spark, sf_dir))
+    return graph.domain_counts(_gated(spark, sf_dir))
 
 
 def g19_shared_keyword_clusters(spark, sf_dir):
-    return graph.shared_keyword_clusters(graph.memory_keywords(inputs.stored(spark, sf_dir)))
+    return graph.shared_keyword_clusters(graph.memory_keywords(_gated(spark, sf_dir)))
 
 
 def g19_mention_counts(spark, sf_dir):
-    return graph.mention_counts(graph.memory_entities(inputs.stored(spark, sf_dir)))
+    return graph.mention_counts(graph.memory_entities(_gated(spark, sf_dir)))
 
 
 QUERIES = {name: fn for name, fn in list(globals().items()) if name[:1] == "g" and name[1:3].isdigit()}

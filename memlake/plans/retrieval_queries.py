@@ -40,7 +40,7 @@ def _pairs(spark, sf_dir):
 
 
 def _neighbours(spark, sf_dir):
-    m = inputs.stored(spark, sf_dir)
+    m = graph.graph_gate(inputs.stored(spark, sf_dir))
     members, edges = graph.similar_by_keywords(graph.memory_keywords(m))
     found = graph.similar_memories(members, edges, m, limit=5)
     shown = m.select(F.col("id").alias("neighbour_id"), "importance", "content", "summary", "created_at", "access_count")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -35,7 +36,24 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_scratch)
+    _written.append((spark, path))
+    return path
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove_scratch() -> None:
+    """Remove this driver's scratch folders when it ends; a session that is already stopped keeps them."""
+    for spark, path in _written:
+        try:
+            location = spark._jvm.org.apache.hadoop.fs.Path(path)
+            location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+        except Exception:  # noqa: BLE001  the session is gone
+            return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -270,5 +270,6 @@ SELECT *, conv_id % 2 AS odd,
   ({_STATE})[(conv_id + turn) % {len(STATES)} + 1] AS lifecycle_state, (conv_id * 8 + turn) % 500 AS vec_id
 FROM (SELECT *, row_number() OVER (PARTITION BY session_id, fingerprint ORDER BY created_at, id) AS rn FROM mem)
 WHERE rn = 1""")
-define("skw", ["stored"], keyword_cte("stored"))
+define("gm", ["stored"], "SELECT * FROM stored WHERE importance >= 0.45e0 AND confidence >= 0.55e0")
+define("skw", ["gm"], keyword_cte("gm"))
 LN2 = math.log(2)

@@ -8,19 +8,18 @@ from oracle import retrieval_sql
 
 SQL: dict[str, str] = {}
 
-define("sen", ["stored"], f"""
+define("sen", ["gm"], f"""
 SELECT id, session_id, type, value, pos FROM (
   SELECT id, session_id, split_part(e, ':', 1) AS type, trim(substr(e, strpos(e, ':') + 1)) AS value, pos FROM (
-    SELECT id, session_id, unnest(ents) AS e, generate_subscripts(ents, 1) AS pos FROM stored)
+    SELECT id, session_id, unnest(ents) AS e, generate_subscripts(ents, 1) AS pos FROM gm)
   WHERE split_part(e, ':', 1) NOT IN {in_list(lx.NOISY_ENTITY_TYPES)} AND len(trim(substr(e, strpos(e, ':') + 1))) >= 3
   QUALIFY row_number() OVER (PARTITION BY id, type, lower(value) ORDER BY pos) = 1)
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) <= 6""")
-define("stg", ["stored"], "SELECT DISTINCT id, session_id, unnest(tags) AS tag FROM stored")
+define("stg", ["gm"], "SELECT DISTINCT id, session_id, unnest(tags) AS tag FROM gm")
 _GATE = "importance >= 0.45e0 AND confidence >= 0.55e0"
 SQL["g01_graph_gate"] = with_ctes("stored") + f"SELECT id, importance, confidence FROM stored WHERE {_GATE}"
 SQL["g02_memory_keywords"] = with_ctes("skw") + "SELECT id, session_id, position, term AS keyword FROM skw JOIN stored USING (id)"
 SQL["g03_memory_entities"] = with_ctes("sen") + "SELECT id, session_id, type, value FROM sen"
-define("gm", ["stored"], f"SELECT * FROM stored WHERE {_GATE}")
 _N = "NULL::INT AS position, NULL::DOUBLE AS confidence"
 define("ge", ["gm", "skw", "sen", "ev"], f"""
 SELECT 'Session:' || session_id AS src, 'HAS_MEMORY' AS rel, 'Memory:' || id AS dst, {_N} FROM gm
@@ -120,9 +119,9 @@ UNION ALL SELECT array_to_string(items, '|'), array_to_string(items, '|'), len(i
 
 SQL["g09_similar_by_keywords"] = similar("kset")
 SQL["g11_similar_by_tags"] = similar("tset")
-SQL["g10_similar_by_domain"] = with_ctes("stored") + """
+SQL["g10_similar_by_domain"] = with_ctes("gm") + """
 SELECT a.id, b.id AS neighbour_id, row_number() OVER (PARTITION BY a.id ORDER BY b.importance DESC, b.id) AS rank
-FROM stored a JOIN stored b ON a.domain = b.domain AND a.id <> b.id QUALIFY rank <= 3"""
+FROM gm a JOIN gm b ON a.domain = b.domain AND a.id <> b.id QUALIFY rank <= 3"""
 SQL["g12_keyword_cooccurrence"] = with_ctes("skw") + """
 SELECT a.term AS keyword_a, b.term AS keyword_b, count(*) AS cooccurrences FROM skw a JOIN skw b ON a.id = b.id AND a.term < b.term GROUP BY 1, 2"""
 
@@ -132,15 +131,15 @@ def best(keys: str, source: str, extra: str = "", tie: str = "") -> str:
 SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY importance DESC, created_at DESC, id{tie}) AS rank, id{extra} FROM {source} QUALIFY rank <= 2"""
 
 
-SQL["g13_memories_by_domain"] = with_ctes("stored") + best("session_id, domain", "stored")
-SQL["g13_memories_by_keyword"] = with_ctes("skw") + best("session_id, keyword", "(SELECT s.*, term AS keyword FROM stored s JOIN skw USING (id))")
+SQL["g13_memories_by_domain"] = with_ctes("gm") + best("session_id, domain", "gm")
+SQL["g13_memories_by_keyword"] = with_ctes("skw") + best("session_id, keyword", "(SELECT s.*, term AS keyword FROM gm s JOIN skw USING (id))")
 SQL["g13_memories_by_entity"] = with_ctes("sen") + best(
-    "session_id, value", "(SELECT s.*, e.value, e.type AS entity_type FROM stored s JOIN sen e USING (id))", ", entity_type", ", entity_type")
+    "session_id, value", "(SELECT s.*, e.value, e.type AS entity_type FROM gm s JOIN sen e USING (id))", ", entity_type", ", entity_type")
 SQL["g14_similar_memories"] = with_ctes("nbr") + """
 SELECT id, neighbour_id, row_number() OVER (PARTITION BY id ORDER BY importance DESC, created_at DESC, neighbour_id) AS rank FROM nbr"""
 SQL["g15_graph_stats"] = with_ctes("skw", "sen") + """
 SELECT s.session_id, count(*) AS memories, count(DISTINCT domain) AS domains, coalesce(any_value(k), 0) AS keywords, coalesce(any_value(e), 0) AS entities
-FROM stored s LEFT JOIN (SELECT session_id, count(DISTINCT term) AS k FROM skw JOIN stored USING (id) GROUP BY 1) kk ON kk.session_id = s.session_id
+FROM gm s LEFT JOIN (SELECT session_id, count(DISTINCT term) AS k FROM skw JOIN gm USING (id) GROUP BY 1) kk ON kk.session_id = s.session_id
 LEFT JOIN (SELECT session_id, count(DISTINCT (type, value)) AS e FROM sen GROUP BY 1) ee ON ee.session_id = s.session_id GROUP BY 1"""
 SQL["g16_related_entities"] = with_ctes("gedge", "gnode") + f"""
 SELECT from_id, to_id, n.name, n.type, rel, {r6('confidence')} AS confidence, row_number() OVER (PARTITION BY from_id ORDER BY e.confidence DESC, to_id, rel) AS rank
@@ -160,7 +159,7 @@ UNION ALL SELECT 'edge:' || rel, count(*) FROM gedge WHERE from_id NOT IN (FROM
 SQL["g18_remove_relationships"] = with_ctes("gedge") + "SELECT rel, count(*) AS n FROM gedge WHERE confidence >= 0.5e0 GROUP BY 1"
 SQL["g19_entity_cooccurrence"] = with_ctes("sen") + """
 SELECT a.value AS value_a, b.value AS value_b, count(*) AS cooccurrences FROM sen a JOIN sen b ON a.id = b.id AND a.value < b.value GROUP BY 1, 2"""
-SQL["g19_domain_counts"] = with_ctes("stored") + "SELECT domain, count(*) AS memories FROM stored GROUP BY 1"
+SQL["g19_domain_counts"] = with_ctes("gm") + "SELECT domain, count(*) AS memories FROM gm GROUP BY 1"
 SQL["g19_shared_keyword_clusters"] = with_ctes("skw") + """
 SELECT a.term AS keyword, count(DISTINCT a.id) + count(DISTINCT b.id) AS memory_count FROM skw a JOIN skw b ON a.term = b.term AND a.id < b.id GROUP BY 1"""
 SQL["g19_mention_counts"] = with_ctes("sen") + "SELECT type, value, count(id) AS mentions FROM sen GROUP BY 1, 2"
