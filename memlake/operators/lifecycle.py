@@ -13,6 +13,7 @@ from memlake.functions.text import (
     as_timestamp, conflict_tokens, hours_between, matches, normalize_text, tokenize,
     with_rounded, with_similarity,
 )
+from memlake.session import materialize
 
 DEFAULTS = LifecycleConfig()
 
@@ -163,13 +164,18 @@ def conflict_topics(norm: Column) -> Column:
         F.when(matches(norm, pattern), F.lit(topic)) for topic, pattern in lx.CONFLICT_TOPICS]))
 
 
+def _claim_id() -> Column:
+    """256-bit name of a user's statement."""
+    return F.sha2(F.to_json(F.struct("user_id", F.coalesce("memory_type", F.lit("")).alias("t"),
+                                     F.coalesce("category", F.lit("")).alias("c"), "content")), 256)
+
+
 def _claims(df: DataFrame) -> DataFrame:
     """Distinct statements of a user: copies of a text share one row."""
     keys = ["user_id", "memory_type", "category", "content"]
     claims = df.select(*keys).distinct()
     claims = claims.withColumns({
-        "claim": F.xxhash64("user_id", F.coalesce("memory_type", F.lit("")),
-                            F.coalesce("category", F.lit("")), "content"),
+        "claim": _claim_id(),
         "norm": normalize_text(F.col("content")), "words": conflict_tokens(F.col("content"))})
     return claims.withColumns({
         "tokens": F.array_distinct(tokenize(F.col("norm"))), "topics": conflict_topics(F.col("norm"))})
@@ -218,7 +224,8 @@ def _block_pairs(left: DataFrame, right: DataFrame, keys: str, lowest: float) ->
         F.col("b.claim").alias("other_claim"))
 
 
-def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS) -> DataFrame:
+def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS,
+                        claims: DataFrame | None = None) -> DataFrame:
     """Pairs of claims worth comparing: ``user_id, claim, other_claim``.
 
     Same user, fitting types, equal category where both have one, and a shared
@@ -230,7 +237,7 @@ def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS) -> Da
     lowest = config.conflict_similarity
     if lowest < 0.21:
         raise ValueError("trigram blocking needs a similarity band that starts at 0.21 or above")
-    claims = _claims(with_category(df))
+    claims = materialize(_claims(with_category(df)), "claims") if claims is None else claims
     worded = claims.where(F.size("words") > 0)
     pairs = _block_pairs(worded, worded, "words", lowest)
     wordless = claims.where(F.size("words") == 0)
@@ -254,9 +261,12 @@ def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS) -> Da
 
 
 def claim_conflicts(df: DataFrame, config: LifecycleConfig = DEFAULTS) -> DataFrame:
-    """Claim pairs in the similarity band, with similarity and shared topics."""
-    claims = _claims(with_category(df)).select("claim", "norm", "tokens", "topics")
-    pairs = conflict_candidates(df, config)
+    """Claim pairs in the similarity band, with similarity and shared topics.
+
+    Claims and scored pairs are written once; everything that follows reads them.
+    """
+    claims = materialize(_claims(with_category(df)), "claims")
+    pairs = conflict_candidates(df, config, claims)
     for side, key in (("a", "claim"), ("b", "other_claim")):
         pairs = pairs.join(claims.select(
             F.col("claim").alias(key), F.col("norm").alias(f"norm_{side}"),
@@ -268,8 +278,8 @@ def claim_conflicts(df: DataFrame, config: LifecycleConfig = DEFAULTS) -> DataFr
     scored = scored.withColumn("shared_topics", shared)
     scored = scored.withColumn("topic_match", (F.size("shared_topics") > 0) & (F.col("similarity") < 0.88))
     scored = with_rounded(scored, band=(F.col("similarity") - 0.35) / F.lit(0.88 - 0.35))
-    return scored.select("user_id", "claim", "other_claim", "similarity", "shared_topics",
-                         "topic_match", "band")
+    return materialize(scored.select("user_id", "claim", "other_claim", "similarity", "shared_topics",
+                                     "topic_match", "band"), "claim-pairs")
 
 
 def _conflict_score(best_confidence: Column, times_differ: Column) -> Column:
@@ -279,8 +289,7 @@ def _conflict_score(best_confidence: Column, times_differ: Column) -> Column:
 
 def _members(df: DataFrame) -> DataFrame:
     return with_category(df).select(
-        "id", "user_id", F.xxhash64("user_id", F.coalesce("memory_type", F.lit("")),
-                         F.coalesce("category", F.lit("")), "content").alias("claim"),
+        "id", "user_id", _claim_id().alias("claim"),
         F.coalesce("confidence", F.lit(0.5)).alias("conf"),
         F.coalesce("confidence", F.lit(0.0)).alias("conf0"), F.col("created_at").alias("at"))
 
@@ -350,7 +359,8 @@ def conflict_counts(df: DataFrame, config: LifecycleConfig = DEFAULTS) -> DataFr
     grid = with_rounded(grid, apart=_conflict_score(best, F.lit(True)),
                         together=_conflict_score(best, F.lit(False)))
     limit = config.conflict_confidence_min
-    grid = grid.where(F.col("apart") >= limit).withColumn("timed_only", F.col("together") < limit)
+    grid = materialize(grid.where(F.col("apart") >= limit).withColumn("timed_only", F.col("together") < limit),
+                       "conflict-grid")
     # every member of the other claim counts …
     full = grid.groupBy("claim", "conf").agg(F.sum("n").alias("n_all"))
     # … but where the time bonus decides, those of the same time or without one do not

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.operators.windows import top_k
+from memlake.session import materialize
 
 _GROUP = ["scope_key", "item_block", "query_block"]
 
@@ -74,6 +75,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, *, scope: list[str],
         F.col(item_id).cast("string").alias("item_id"), key.alias("scope_key"),
         F.col(vector).alias("vector"))
 
+    # written once: counts, blocks and the search itself read them
+    q, it = materialize(q, "search-queries"), materialize(it, "search-items")
+
     def hot(df: DataFrame, limit: int, out: str) -> DataFrame:
         return (df.groupBy("scope_key").count().where(F.col("count") > limit)
                 .select("scope_key", F.ceil(F.col("count") / limit).cast("int").alias(out)))

@@ -13,7 +13,7 @@ from memlake.sources import corpus
 AS_OF = corpus.AS_OF
 
 
-def _planned_once(build):
+def planned_once(build):
     """Build once per application and table directory."""
     plans: dict = {}
 
@@ -30,17 +30,17 @@ def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.conversation_events(spark, sf_dir).drop("conv_id", "turn")
 
 
-@_planned_once
+@planned_once
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.with_tokens(extract.segment_events(chat_events(spark, sf_dir)))
 
 
-@_planned_once
+@planned_once
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_candidates(chat_events(spark, sf_dir), AS_OF)
 
 
-@_planned_once
+@planned_once
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored memory table: one row per (session, fingerprint), plus usage columns.
 
@@ -51,6 +51,6 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(rows, "stored-memories")
 
 
-@_planned_once
+@planned_once
 def stored_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.with_embeddings(spark, sf_dir, stored(spark, sf_dir))

@@ -9,6 +9,7 @@ from memlake.functions import vectors
 from memlake.functions.text import keyword_score, query_overlap, round6, tokenize
 from memlake.operators import consolidate, extract, graph, retrieval
 from memlake.plans import inputs
+from memlake.session import materialize
 from memlake.sources import corpus
 
 PENALTY = RetrievalConfig(penalty=TopicalPenalty(enabled=True))
@@ -39,19 +40,23 @@ def _pairs(spark, sf_dir):
         "vector_score": round6(vectors.cosine(F.col("query_vector"), F.col("embedding")))})
 
 
+@inputs.planned_once
 def _neighbours(spark, sf_dir):
+    """Stored graph table: the nearest memories of each memory by shared keywords."""
     m = graph.graph_gate(inputs.stored(spark, sf_dir))
     members, edges = graph.similar_by_keywords(graph.memory_keywords(m))
     found = graph.similar_memories(members, edges, m, limit=5)
     shown = m.select(F.col("id").alias("neighbour_id"), "importance", "content", "summary", "created_at", "access_count")
-    return found.join(shown, "neighbour_id").drop("rank")
+    return materialize(found.join(shown, "neighbour_id").drop("rank"), "graph-neighbours")
 
 
+@inputs.planned_once
 def _context(spark, sf_dir):
+    """Stored graph table: the entities around each memory."""
     m = inputs.stored(spark, sf_dir)
     entities = graph.extract_graph_entities(m)
     _, edges = graph.upsert_graph(entities, graph.extract_relationships(m, entities), m)
-    return graph.graph_context(edges)
+    return materialize(graph.graph_context(edges), "graph-context")
 
 
 def r01_vector_topk(spark, sf_dir):
