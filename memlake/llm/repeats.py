@@ -185,8 +185,9 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
         shared = materialize(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "repeat-cores")
         left = materialize(rows.join(bounded_broadcast(shared, shared.count(), broadcast_rows), "core"), "repeat-left")
         one = F.xxhash64("id", "h", "a", "low")
-        kinds = left.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(one).alias("first"))
-        undecided = kinds.groupBy("core").agg(F.max(F.col("n") == 1).alias("open"))
+        # written before the join, so that Spark can split the rows of a frequent class over tasks
+        kinds = materialize(left.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(one).alias("first")), "repeat-kinds")
+        undecided = materialize(kinds.groupBy("core").agg(F.max(F.col("n") == 1).alias("open")), "repeat-undecided")
         judged = materialize(left.join(kinds, ["core", "whole"]).join(undecided, "core").select(
             "id", "h", "a", "low", "high", (F.col("n") > 1).alias("settled"),
             (F.col("open") & ((F.col("n") == 1) | (F.col("first") == one))).alias("open")), "repeat-judged")
