@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round is two aggregations and two joins of the edges, which shrink to one
-edge a node; rounds grow with the logarithm of the longest path.  Each round is
-a written table, so lost executors cost one round at most, and only a count and
+edge a node; rounds grow with the logarithm of the longest path.  Each step is
+a written table, so lost executors cost one step at most, and only a count and
 a checksum of the edges reach the driver.
 """
 
@@ -27,9 +27,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while before[0]:
         both = at.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             at.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        # minima are written before their join, so that Spark can split the edges of a large star over tasks
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
+        large = materialize(both.where("v > u").join(low, "u").select(
+            F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "stars")
+        least = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), "stars")
         joined = large.join(least, "hi")
         small = joined.select("hi", F.col("m").alias("lo")).unionByName(
             joined.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()

@@ -225,7 +225,9 @@ def _classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n:
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "minhash-texts")
 
     band = texts.select("digest", F.explode("bands").alias("band"))
-    buckets = band.groupBy("band").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1")
+    # written before the join, so that Spark can split the rows of a large bucket over tasks
+    buckets = materialize(band.groupBy("band").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1"),
+                          "minhash-buckets")
     stars = band.join(buckets, "band").where("digest != head").select("digest", "head").distinct()
     comp = components(materialize(stars, "minhash-stars"), "digest", "head")
 
