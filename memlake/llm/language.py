@@ -7,7 +7,8 @@ the sum, over the document's n-grams, of the difference of ranks, or of the
 profile's length where the n-gram is missing there.
 
 Profiles are fitted on at most ``fit_docs`` documents a language, those with the
-smallest hash of their id, and counted in parallel; the counts of a part of the
+smallest hash of their id out of a range of hashes that holds about twice as many,
+and counted in parallel; the counts of a part of the
 corpus are merged by addition.  Languages are few, so profiles go to the tasks
 with the code.
 
@@ -129,10 +130,14 @@ def fit(docs: DataFrame, labelled: Column, *, doc_id: str = "doc_id", text: str
     Only ``size`` rows a language reach the driver.
     """
     rows = docs.where(labelled & F.col(lang).isNotNull())
+    keyed = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"),
+                        F.xxhash64(F.col(doc_id).cast("string")).alias("h"))
+    # a hash range that holds about twice the sample, so that a frequent language is not ordered whole
+    share = F.lit(2.0 * fit_docs) / F.col("documents")
+    sized = keyed.join(keyed.groupBy("lang").agg(F.count("*").alias("documents")), "lang").where(
+        F.pmod("h", F.lit(1 << 40)) <= share * F.lit(float(1 << 40)))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = (rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"),
-                          F.xxhash64(F.col(doc_id).cast("string")).alias("h"))
-              .withColumn("n", F.row_number().over(first)).where(F.col("n") <= fit_docs).select("doc_id", "lang"))
+    chosen = sized.withColumn("n", F.row_number().over(first)).where(F.col("n") <= fit_docs).select("doc_id", "lang")
     texts = rows.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     sample = chosen.distinct().join(texts, "doc_id").select("lang", "text")
     counts = sample.mapInPandas(_count_part, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
