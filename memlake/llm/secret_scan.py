@@ -77,7 +77,9 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", reposit
     slim = materialize(propose(docs, doc_id=doc_id, text=text, repository=repository or [owner], owner=owner), "secrets")
     each = slim.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("s")).select(
         "row", "repository", "owner", "s.*")
-    judged = each.join(ownership(each), "hash").withColumn("live", F.col("owners") < example_owners)
+    # written before the join, so that Spark can split the rows of a widely copied value over tasks
+    owned = materialize(ownership(each), "secret-owners")
+    judged = each.join(owned, "hash").withColumn("live", F.col("owners") < example_owners)
     back = judged.groupBy("row").agg(F.collect_list(F.struct(
         "start", "end", "kind", "repositories", "owners", "live")).alias("judged"))
     out = slim.select("doc_id", "row").join(back, "row", "left")
