@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.session import materialize
+
 CRAWLED_AT = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
@@ -45,9 +47,10 @@ def decide(pages: DataFrame, *, page_id: str, url: str, payload: str, min_bytes:
         F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload")).withColumns({
             "payload_bytes": F.octet_length("payload").cast("long"),
             "payload_digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    firsts = (rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
-              .agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-              .where("copies > 1 AND first_id IS NOT NULL").drop("copies"))
+    # written before the join, so that Spark can split the rows of a frequent payload over tasks
+    firsts = materialize(rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
+                         .agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+                         .where("copies > 1 AND first_id IS NOT NULL").drop("copies"), "warc-firsts")
     joined = rows.join(firsts, "payload_digest", "left")
     return joined.withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
                              ).drop("first_id")
