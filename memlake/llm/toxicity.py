@@ -4,7 +4,10 @@ A word is the bag of its character n-grams (three to five, with borders) and of
 itself, hashed into ``buckets`` rows of an embedding table; a piece of text is
 the average of its words' rows, and a linear softmax of two classes reads the
 average.  Table and softmax are trained jointly in numpy, so an unseen
-misspelling falls among the words whose n-grams it shares.
+misspelling falls among the words whose n-grams it shares.  A run of more than
+``LONGEST`` letters and digits is read as consecutive words of ``PART``
+characters that overlap by the longest n-gram but one, so every n-gram of the
+run counts, wherever it stands.
 
 A document is cut into pieces of at most ``piece_words`` words, so
 that a few insults in a long text are not averaged away.  Its score is that of
@@ -35,12 +38,27 @@ from memlake.llm.language import fold
 
 WORDS = re.compile(r"[^\W_]+")
 GRAMS = (3, 4, 5)
+#: characters of the longest word read as one, and of the words that longer runs are cut into
+LONGEST, PART = 40, 12
 _WORDS_HELD = 500_000
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a text; only the ends of a run are borders, so inner parts of a long one are marked with ``_``."""
+    out = []
+    for run in WORDS.findall(text.lower()):
+        if len(run) <= LONGEST:
+            out.append(run)
+            continue
+        last = len(run) - PART
+        starts = [*range(0, last, PART - max(GRAMS) + 1), last]
+        out += [("_" if at else "") + run[at:at + PART] + ("_" if at < last else "") for at in starts]
+    return out
+
+
 def word_buckets(word: str, buckets: int) -> list[int]:
-    """Rows of a word: itself and its n-grams."""
-    edged = f"<{word[:40]}>"
+    """Rows of a word: itself and its n-grams, with borders where it is not cut (``_``)."""
+    edged = ("" if word[:1] == "_" else "<") + word.strip("_") + ("" if word[-1:] == "_" else ">")
     bags = [word] + [edged[i:i + n] for n in GRAMS for i in range(len(edged) - n + 1)]
     return [xxh32_intdigest(b.encode("utf-8", "surrogatepass")) % buckets for b in bags]
 
@@ -93,7 +111,7 @@ class SubwordSoftmax:
         if not len(y) or y.min() == y.max():
             return self
         index: dict[str, int] = {}
-        docs = [np.array([index.setdefault(w, len(index)) for w in WORDS.findall(t.lower())], dtype=np.int64) for t in texts]
+        docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int64) for t in texts]
         rows = [word_buckets(w, self.buckets) for w in index]
         sizes = np.array([len(r) for r in rows])
         starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -183,7 +201,7 @@ class SubwordSoftmax:
 
     def evidence(self, text: str) -> float:
         """Mean margin of the two most toxic pieces."""
-        words = WORDS.findall(text.lower())
+        words = words_of(text)
         if not words:
             return 0.0
         at = self._known(words)

@@ -107,6 +107,23 @@ def test_words_share_subwords_with_their_misspellings():
     assert all(0 <= model.score(t) <= 1 for t in ("", "!!", "é", "x" * 100_000))
 
 
+def test_a_toxic_term_counts_anywhere_in_a_long_run():
+    for run in ("abcdefghij" * 8 + "dreadful" + "klmnopqrst" * at for at in (0, 3, 40)):
+        edged = f"<{run}>"
+        grams = {edged[i:i + n] for n in toxicity.GRAMS for i in range(len(edged) - n + 1)}
+        seen = {b for w in toxicity.words_of(run) for b in toxicity.word_buckets(w, 1 << 40)}
+        assert {toxicity.xxh32_intdigest(g) for g in grams} <= seen
+        longest = max(len(toxicity.word_buckets(w, 9)) for w in toxicity.words_of(run))
+        assert longest < 130
+    rng = random.Random(3)
+    texts = [prose(rng, 60) + (" dreadful" if i % 4 == 0 else "") for i in range(400)]
+    model = toxicity.SubwordSoftmax(min_docs=2, epochs=10).train(texts, [int(i % 4 == 0) for i in range(400)])
+    for before in (30, 45, 61, 200):
+        pad = ("zq" * before)[:before]
+        assert model.evidence(pad + "dreadful" + pad) > model.evidence(pad + pad) + 0.5, before
+        assert model.score(pad + "dreadful" + pad) > 0.5 > model.score(prose(rng, 60)), before
+
+
 def test_toxicity_without_labels_and_with_awkward_rows(spark):
     rows = awkward()
     docs = frame(spark, rows)
