@@ -12,7 +12,7 @@ run counts, wherever it stands.
 A document is cut into pieces of at most ``piece_words`` words, so
 that a few insults in a long text are not averaged away.  Its score is that of
 its most toxic pieces on a logistic curve that is even where the F measure is best on
-fitting rows kept for it.
+fitting rows kept for it, each class weighted to its share of all labels to learn from.
 
 Fitting reads at most ``fit_docs`` labelled documents of either class, those
 with the smallest hash of their id; every other step covers all documents.
@@ -101,10 +101,11 @@ class SubwordSoftmax:
         n = -(-count // self.piece_words)
         return np.arange(0, count, -(-count // n)) if count else np.empty(0, np.int64)
 
-    def train(self, texts: list[str], labels: list[int]) -> "SubwordSoftmax":
+    def train(self, texts: list[str], labels: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> "SubwordSoftmax":
         """Mini-batches of documents; a document's margin is a soft maximum over its pieces, sharper each round.
 
-        A fifth of the documents is kept for the curve.
+        A fifth of the documents is kept for the curve, where a document of class
+        y counts as the ``stands_for[y]`` labelled documents that it was drawn from.
         """
         y = np.asarray(labels, dtype=int)
         self.share = float(y.mean()) if len(y) else 0.0
@@ -176,7 +177,8 @@ class SubwordSoftmax:
                 self.bias += 0.01 * push.sum() * np.array([1.0, -1.0])
         self.trained = True
         self._forget()
-        self.curve = _curve(np.array([self.evidence(texts[d]) for d in curve_on]), y[curve_on])
+        self.curve = _curve(np.array([self.evidence(texts[d]) for d in curve_on]), y[curve_on],
+                            np.asarray(stands_for, dtype=float)[y[curve_on]])
         return self
 
     def _known(self, words: list[str]) -> np.ndarray:
@@ -216,22 +218,23 @@ class SubwordSoftmax:
         return float(1 / (1 + np.exp(-np.clip(a * self.evidence(text) + b, -30, 30))))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and height of a logistic curve on one number, by Newton's method, lightly penalised."""
-    scale = float(x.std()) or 1.0
+    mean = np.average(x, weights=weight)
+    scale = float(np.sqrt(np.average((x - mean) ** 2, weights=weight))) or 1.0
     z = np.stack([x / scale, np.ones(len(x))], axis=1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + np.array([0.1, 0.0]) * w
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([0.1, 1e-6])
+        grad = z.T @ (weight * (p - y)) + np.array([0.1, 0.0]) * w
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([0.1, 1e-6])
         w -= np.clip(np.linalg.solve(hess, grad), -2, 2)
     a, b = max(float(w[0]), 0.0) / scale, float(w[1])
     # the even score is put where the F measure is greatest
-    best, cut = -1.0, 0.0
+    best, cut, toxic = -1.0, 0.0, (weight * y).sum()
     for t in np.unique(x):
         chosen = x >= t
-        f = 2 * (y[chosen]).sum() / max(1, chosen.sum() + y.sum())
+        f = 2 * (weight * y)[chosen].sum() / max(1, weight[chosen].sum() + toxic)
         if f > best:
             below = x[x < t]
             best, cut = f, (t + below.max()) / 2 if len(below) else t - 1.0
@@ -240,10 +243,11 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text",
         label: str = "toxic", fit_docs: int = 3_000, **model) -> SubwordSoftmax:
-    """A model of at most ``fit_docs`` documents of either class, in the share the classes have in the corpus."""
+    """A model of at most ``fit_docs`` documents of either class; the even score is put by the share of the classes in ``labels``."""
     known = labels.where(learn & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(
         F.max(label).cast("int").alias("y"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     by_hash = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     chosen = None
     for y in (0, 1):
@@ -251,7 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, doc_id: str = "doc
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = texts.join(F.broadcast(chosen.select("doc_id", "y", "h")), "doc_id").toPandas()
     rows = rows.sort_values(["h", "doc_id", "text"]).reset_index(drop=True)
-    return SubwordSoftmax(**model).train(rows["text"].tolist(), rows["y"].astype(int).tolist())
+    stands_for = tuple(max(1.0, counts.get(y, 0) / fit_docs) for y in (0, 1))
+    return SubwordSoftmax(**model).train(rows["text"].tolist(), rows["y"].astype(int).tolist(), stands_for)
 
 
 def rate(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 from corpus import EN, FR, awkward, frame, prose
 from memlake.llm import language, toxicity
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -124,6 +125,19 @@ def test_a_toxic_term_counts_anywhere_in_a_long_run():
         assert model.score(pad + "dreadful" + pad) > 0.5 > model.score(prose(rng, 60)), before
 
 
+def test_the_even_score_does_not_depend_on_how_many_rows_are_kept(spark):
+    rng = random.Random(4)
+    kinds = [("murky", 0)] * 300 + [("murky", 1)] * 50 + [("dreadful", 1)] * 50 + [("plain", 0)] * 700
+    rows = [(i, prose(rng, 12) + f" {word}") for i, (word, _) in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(kinds)], "doc_id long, toxic int")
+    for kept in (2_000, 100):
+        model = toxicity.fit(docs, labels, F.lit(True), fit_docs=kept)
+        share = {w: np.mean([model.score(t) >= 0.5 for _, t in rows if t.endswith(w)]) for w in ("dreadful", "murky", "plain")}
+        assert share["dreadful"] > 0.9 and share["plain"] < 0.1, (kept, share)
+        assert share["murky"] < 0.3, (kept, share)  # one in seven is toxic, more than half of the 100 and 100 kept
+
+
 def test_toxicity_without_labels_and_with_awkward_rows(spark):
     rows = awkward()
     docs = frame(spark, rows)
