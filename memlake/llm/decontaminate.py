@@ -52,9 +52,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: Column, text: str = "te
           item_text: str = "text", masks=MASKS, window: int = WINDOW, share: float = SHARE,
           broadcast_rows: int = 2_000_000) -> DataFrame:
     """``key, item_id, matched, best``: per document and item the most equal words on a diagonal and in a window."""
-    items = materialize(benchmark.select(F.col(item_id).alias("item_id"), words_of(whole_text(item_text)).alias("words")),
-                        "leak-items")
-    seeds = materialize(_seeds(items, ["item_id"], masks).select("item_id", F.col("pos").alias("item_pos"), "hash",
+    # rows are told apart by a number, as ids may be null or repeated
+    items = materialize(benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col(item_id).alias("item_id"),
+                                         words_of(whole_text(item_text)).alias("words")), "leak-items")
+    seeds = materialize(_seeds(items, ["item_row"], masks).select("item_row", F.col("pos").alias("item_pos"), "hash",
                                                                  F.size("words").alias("item_words")), "leak-seeds")
     small = bounded_broadcast(seeds, seeds.count(), broadcast_rows)
     tokens = docs.select(key.alias("key"), words_of(whole_text(text)).alias("words"))
@@ -63,10 +64,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: Column, text: str = "te
     first = F.greatest(start, F.lit(0))
     last = F.least(start + F.col("item_words"), F.size("words"))
     piece = F.array_join(F.slice("words", first + 1, last - first), " ")
-    diagonals = hits.select("key", "item_id", (first - start).alias("skipped"), piece.alias("piece"),
+    diagonals = hits.select("key", "item_row", (first - start).alias("skipped"), piece.alias("piece"),
                             (last - first).alias("n")).distinct()
-    sized = items.select("item_id", F.col("words").alias("item"))
-    laid = diagonals.join(bounded_broadcast(sized, sized.count(), broadcast_rows // 20), "item_id")
+    sized = items.select("item_row", "item_id", F.col("words").alias("item"))
+    laid = diagonals.join(bounded_broadcast(sized, sized.count(), broadcast_rows // 20), "item_row")
     equal = F.zip_with(F.split("piece", " "), F.slice("item", F.col("skipped") + 1, F.col("n")),
                        lambda a, b: F.when(a == b, 1).otherwise(0))
     ends = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - window))

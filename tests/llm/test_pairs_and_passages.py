@@ -193,3 +193,15 @@ def test_empty_tables(spark):
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(frame(spark, awkward()), bench.where("false")).count() == 0
     assert decontaminate.without_leaks(frame(spark, awkward()), bench.where("false")).count() == len(awkward())
     assert repeats.without_repeats(none).count() == 0
+
+
+def test_leaks_of_items_with_null_or_repeated_ids(spark):
+    words = [f"word{i}" for i in range(60)]
+    texts = {None: " ".join(words[:20]), 7: " ".join(words[20:40])}
+    items = spark.createDataFrame([*texts.items(), (7, " ".join(words[40:]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {texts[None]} then"), (2, f"so {texts[7]} then"), (3, " ".join(words[40:])), (4, "so then")],
+                                 "doc_id long, text string")
+    for rows in (2_000_000, 0):
+        got = {tuple(r) for r in decontaminate.find(docs, items, broadcast_rows=rows).collect()}
+        assert got == {(1, None, 20, 16), (2, 7, 20, 16), (3, 7, 20, 16)}
+        assert [r["doc_id"] for r in decontaminate.without_leaks(docs, items, broadcast_rows=rows).collect()] == [4]
