@@ -1,10 +1,10 @@
 """Operator 11: exact top-k inner products by dual-tree search over a cover tree.
 
-1. A bounded sample (``sample_rows`` distinct rows by hash) gives the upper
-   levels of the tree: each node is split into children by farthest-first nets
-   until the net covers it at half its radius or has ``fan`` members, and nodes of
-   at most ``leaf`` sample rows are *cells*.  Only this skeleton comes from a
-   sample; every row is indexed.
+1. A bounded sample (the first ``sample_rows`` by hash) gives the upper levels of
+   the tree: each node is split into children by a farthest-first net, which ends
+   when it covers the node at half its radius or has ``fan`` members.  Nodes that
+   stand for at most ``data_rows`` rows are not split; they are the *cells*.  Only
+   this skeleton comes from a sample; every row is indexed.
 2. All rows, queries and data together, go to the cell of the nearest centre
    and are ordered by their distance from it.  Consecutive rows form blocks: the
    lower nodes, each a shell of its cell with its own leaves, centres and covering
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from memlake.llm.integer_vectors import Best, inner_products, packed, rows_of, top_cells, unpacked
 from memlake.session import materialize
 
-SAMPLE_ROWS, FAN, LEAF = 2_048, 16, 32
+SAMPLE_ROWS, FAN = 2_048, 16
 DATA_ROWS, QUERY_ROWS, BLOCK_LEAVES = 4_096, 1_024, 16
 _NONE = int(np.iinfo(np.int64).min)
 _SAFE = 2.0 ** 62  # products beyond it may wrap, so nothing is pruned there
@@ -71,7 +71,7 @@ def net(points: np.ndarray, first: int, most: int, cover: float) -> tuple[list[i
     return chosen, near, d
 
 
-def cells_of(points: np.ndarray, fan: int = FAN, leaf: int = LEAF) -> np.ndarray:
+def cells_of(points: np.ndarray, leaf: float, fan: int = FAN) -> np.ndarray:
     """Centres of the lowest nodes of the skeleton (rows of ``points``)."""
     if not len(points):
         return points
@@ -92,14 +92,14 @@ def cells_of(points: np.ndarray, fan: int = FAN, leaf: int = LEAF) -> np.ndarray
 class Skeleton:
     """Centres of all cells by vector length, and the sample rows that bound the kth scores."""
 
-    def __init__(self, sample: list[tuple[int, list[int]]], k: int):
+    def __init__(self, sample: list[tuple[int, list[int]]], k: int, leaf: float):
         self.k, self.ids, self.points, self.centres, self.base = k, {}, {}, {}, {}
         cells = 0
         for dim in sorted({len(v) for _, v in sample}):
             own = [(i, v) for i, v in sample if len(v) == dim]
             self.ids[dim] = np.array([i for i, _ in own], np.int64)
             self.points[dim] = np.array([v for _, v in own], np.int64).reshape(len(own), dim)
-            self.centres[dim] = cells_of(self.points[dim])
+            self.centres[dim] = cells_of(self.points[dim], leaf)
             self.base[dim] = cells
             cells += len(self.centres[dim])
 
@@ -283,9 +283,10 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 5, vec_id: str = "vec
         "id", "v", F.lit(False).alias("query"))
     members = materialize(data.unionByName(rows.where("query").select("id", "v", "query")), "cover-members")
     sample = members.where("NOT query").select("id", "v").orderBy(F.xxhash64("v"), "id").limit(sample_rows).collect()
-    skeleton = Skeleton([(r["id"], r["v"]) for r in sample], k)
+    total = members.count()
+    skeleton = Skeleton([(r["id"], r["v"]) for r in sample], k, data_rows * len(sample) / max(1, total))
 
-    tasks = max(spark.sparkContext.defaultParallelism, -(-members.count() // (4 * data_rows)))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // (4 * data_rows)))
     placed = materialize(members.mapInPandas(
         _assign(skeleton), "id long, query boolean, dim int, cell int, dist double, v binary"), "cover-placed")
     blocks = materialize(placed.repartitionByRange(tasks, "cell", "dim", "dist", "id").sortWithinPartitions(

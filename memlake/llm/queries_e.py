@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import cover_tree, four_russians
+from memlake.llm import cover_tree, four_russians, lexical
 from memlake.llm.common import table
 
 
@@ -13,12 +13,16 @@ def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return four_russians.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
-QUERIES = {"op11_cover_tree": op11_cover_tree, "op13_hard_negatives": op13_hard_negatives}
+QUERIES = {"op11_cover_tree": op11_cover_tree, "op12_term_pipeline": op12_term_pipeline, "op13_hard_negatives": op13_hard_negatives}
 
 _VECTORS = """
     usable AS (
@@ -27,6 +31,12 @@ _VECTORS = """
           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 """
 
+_TERMS = r"""
+    {name} AS (
+        SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM {table})
+"""
+
 SQL = {
     "op11_cover_tree": f"""
         WITH {_VECTORS},
@@ -37,6 +47,22 @@ SQL = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op12_term_pipeline": rf"""
+        WITH {_TERMS.format(key="doc_id", table="documents", name="d")},
+        {_TERMS.format(key="item_id", table="benchmark", name="i")},
+        total AS (SELECT sum(CASE WHEN len(w) > 0 THEN 1 ELSE 0 END)::BIGINT AS docs, sum(len(w))::BIGINT AS words FROM d),
+        entries AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM entries, total GROUP BY term, docs),
+        uses AS (SELECT DISTINCT item_id, unnest(w) AS term FROM i),
+        scored AS (
+            SELECT item_id, doc_id, sum(weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+            FROM uses JOIN entries USING (term) JOIN weights USING (term), total GROUP BY item_id, doc_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
     "op13_hard_negatives": f"""
         WITH {_VECTORS},
         rows AS (
