@@ -66,8 +66,8 @@ class ConsolidationConfig:
     conflict_similarity_low: float = 0.25
     reconsolidate_fraction: float = 0.30
     stale_fraction: float = 0.60
-    #: rows of a connected component that are ordered and grouped together
-    task_rows: int = 50_000
+    #: rows of a bucket that one task goes through at a time; groups don't depend on it
+    window_rows: int = 50_000
 
 
 @dataclass(frozen=True)

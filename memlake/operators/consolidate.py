@@ -2,13 +2,12 @@
 
 A *groups* table has one row per member: ``group_id, user_id, topic (later),
 position`` plus the memory columns; ``position`` is the member's place in its
-bucket (importance descending, id).  Groups have at most
+group (importance descending, id).  Groups have at most
 ``ConsolidationConfig.max_sources`` members, so per-group arrays are small.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,8 @@ from memlake.functions import lexicon as lx
 from memlake.functions.text import (
     as_timestamp, content_tokens, matches, normalize_text, tokenize, with_rounded, with_similarity,
 )
+from memlake.operators.grouping import token_groups
+from memlake.operators.ordered import with_position
 from memlake.operators.windows import numbered, top_k
 from memlake.session import materialize
 
@@ -32,143 +33,28 @@ def eligible(df: DataFrame, include_archived: bool = False) -> DataFrame:
 
 # -- grouping ------------------------------------------------------------------
 
-def greedy_groups(tokens: list, cap: int) -> list[int]:
-    """Group index of each row of one bucket, rows in bucket order.
-
-    Rows are taken in order; each is united with later rows it shares a token
-    with, in order, unless the united group would exceed ``cap``.  Posting
-    lists replace the scan over all pairs, and a full group stops its row.
-    """
-    postings: dict = {}
-    for i, words in enumerate(tokens):
-        for word in words:
-            postings.setdefault(word, []).append(i)
-    root = list(range(len(tokens)))
-    members = {i: [i] for i in root}
-    for i, words in enumerate(tokens):
-        if len(members[root[i]]) >= cap:
-            continue
-        later = sorted({j for word in words for j in postings[word] if j > i})
-        for j in later:
-            a, b = root[i], root[j]
-            if a == b or len(members[a]) + len(members[b]) > cap:
-                continue
-            if len(members[a]) < len(members[b]):
-                a, b = b, a
-            for m in members[b]:
-                root[m] = a
-            members[a] += members.pop(b)
-            if len(members[a]) >= cap:
-                break
-    first = {}
-    return [first.setdefault(r, i) for i, r in enumerate(root)]
-
-
-def _group_in_task(rows: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """``id, group_id`` by ordered greedy grouping inside each (bounded) key."""
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["neg_importance", "id"], kind="stable")
-        heads = greedy_groups([list(t) for t in pdf["words"]], cap)
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": pd.Series(list(ids), dtype=object),
-                             "group_id": pd.Series(list(ids[heads]), dtype=object)})
-    return rows.select(*keys, "id", "neg_importance", "words").groupBy(*keys).applyInPandas(
-        group, "id string, group_id string")
-
-
-def token_components(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Connected components of rows sharing tokens inside ``keys``: ``id, component``.
-
-    Labels travel over the row–token graph, whose edges grow with the text and
-    not with the number of pairs.  Each round is written to the shared folder,
-    which cuts the lineage and survives lost executors.
-    """
-    exploded = rows.select("id", *keys, F.explode("words").alias("word"))
-    edges = materialize(exploded.select("id", F.xxhash64(*keys, "word").alias("word")), "token-edges")
-    labels = materialize(rows.select("id", F.xxhash64("id").alias("label")), "labels")
-    while True:
-        by_word = edges.join(labels, "id").groupBy("word").agg(F.min("label").alias("label"))
-        reached = edges.join(by_word, "word").groupBy("id").agg(F.min("label").alias("near"))
-        step = labels.join(reached, "id", "left").select(
-            "id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # follow the label's own label as well, which halves long chains
-        holder = step.select(F.xxhash64("id").alias("old_key"), F.col("label").alias("jump"))
-        step = step.join(holder, step["label"] == holder["old_key"], "left").select(
-            "id", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        step = materialize(step, "labels")
-        changed = step.where(F.col("label") != F.col("old")).limit(1).count()
-        labels = step.select("id", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
-
-
-def _stretches(rows: DataFrame, size: int) -> DataFrame:
-    """Number the stretches of ``size`` rows of each component, in (importance, id) order.
-
-    Positions are exact: rows are range-sorted, which splits a large component
-    over many tasks, and what lies in the ranges before is added up.  They do
-    not depend on where the ranges are cut.
-    """
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange("component", "neg_importance", "id").withColumn("__part", F.spark_partition_id())
-    ranged = materialize(ranged, "ranged")
-    counts = ranged.groupBy("component", "__part").agg(F.count("*").alias("__rows"))
-    earlier = Window.partitionBy("component").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("component", "__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
-    order = Window.partitionBy("__part", "component").orderBy("neg_importance", "id")
-    placed = ranged.withColumn("__spot", F.row_number().over(order) - 1).join(before, ["component", "__part"])
-    return placed.withColumn("stretch", F.floor((F.col("__before") + F.col("__spot")) / size).cast("long")).drop(
-        "__part", "__spot", "__before")
-
-
 def group_candidates(df: DataFrame, config: ConsolidationConfig = DEFAULTS, *,
                      include_archived: bool = False) -> DataFrame:
-    """Members of every candidate group: the memory columns plus ``group_id``.
+    """Members of every candidate group: the memory columns plus ``group_id`` and ``n_members``.
 
     Memories of one user, type and domain are grouped when they share a
-    content word, up to ``max_sources`` per group.  The rule goes through the
-    rows in order, each step depending on all before it, so it is applied to
-    stretches: the first ``task_rows`` rows of a connected component in bucket
-    order, the next ones, and so on.  The result depends on the rows alone.
-    Buckets that are one stretch anyway are not split into components first.
+    content word, up to ``max_sources`` per group, in the order of importance
+    (descending) and id.  A group is named by the id of its first member.
     """
     rows = eligible(df, include_archived).withColumns({
         "memory_type": F.coalesce("memory_type", F.lit("unknown")),
         "domain": F.coalesce("domain", F.lit("general"))})
-    slim = rows.select(*BUCKET, "id", (-F.coalesce("importance", F.lit(0.0))).alias("neg_importance"),
+    slim = rows.select(F.to_json(F.struct(*BUCKET)).alias("bucket"), "id",
+                       (-F.coalesce("importance", F.lit(0.0))).alias("neg_importance"),
                        content_tokens(F.coalesce("content", F.lit(""))).alias("words"))
-    sizes = slim.groupBy(*BUCKET).count()
-    big = sizes.where(F.col("count") > config.task_rows).select(*BUCKET)
-    if big.limit(1).count() == 0:
-        grouped = _group_in_task(slim, BUCKET, config.max_sources)
-    else:
-        big = materialize(big, "big-buckets")
-        small_rows = slim.join(big, BUCKET, "left_anti")
-        big_rows = materialize(slim.join(big, BUCKET, "left_semi"), "big-rows")
-        parts = big_rows.join(token_components(big_rows, BUCKET), "id")
-        counts = parts.groupBy("component").agg(F.count("*").alias("n"))
-        parts = materialize(parts.join(counts, "component"), "components")
-        fits = parts.where(F.col("n") <= config.task_rows).withColumn("stretch", F.lit(0).cast("long"))
-        over = _stretches(parts.where(F.col("n") > config.task_rows), config.task_rows)
-        grouped = _group_in_task(small_rows, BUCKET, config.max_sources).unionByName(
-            _group_in_task(fits.unionByName(over.select(*fits.columns)), ["component", "stretch"],
-                           config.max_sources))
-    out = rows.join(grouped, "id")
-    kept = grouped.groupBy("group_id").agg(F.count("*").alias("n_members")).where(
-        F.col("n_members") >= config.min_sources)
-    return out.join(kept, "group_id")
-
-
-def chunk_groups(df: DataFrame, config: ConsolidationConfig = DEFAULTS) -> DataFrame:
-    """Groups made of consecutive rows of each bucket; a plain alternative to token overlap."""
-    rows = eligible(df)
-    placed = numbered(rows, BUCKET, [F.desc("importance"), F.asc("id")], "spot")
-    chunk = F.floor((F.col("spot") - 1) / config.max_sources)
-    placed = placed.withColumn("group_id", F.concat_ws("/", *BUCKET, chunk.cast("string"))).drop("spot")
-    kept = placed.groupBy("group_id").agg(F.count("*").alias("n_members")).where(
+    placed = materialize(with_position(slim, ["bucket"], ["neg_importance", "id"]), "group-order")
+    heads = token_groups(placed, config.max_sources, config.window_rows)
+    sizes = heads.groupBy("bucket", "head").agg(F.count("*").alias("n_members")).where(
         F.col("n_members") >= config.min_sources)
-    return placed.join(kept, "group_id")
+    first = placed.select("bucket", F.col("position").alias("head"), F.col("id").alias("group_id"))
+    grouped = heads.join(sizes.join(first, ["bucket", "head"]), ["bucket", "head"]).join(
+        placed.select("bucket", "position", "id"), ["bucket", "position"]).select("id", "group_id", "n_members")
+    return rows.join(grouped, "id")
 
 
 # -- per-group results -------------------------------------------------------------

@@ -9,22 +9,13 @@ from memlake.operators import consolidate, extract, lifecycle
 from memlake.plans import inputs
 from memlake.sources import corpus, logs, tables
 
-EARLIER = "2024-05-01 00:00:00"
-
-
-def _chunks(spark, sf_dir):
-    """Groups of consecutive rows, which plain SQL can form as well."""
-    return consolidate.chunk_groups(inputs.stored(spark, sf_dir))
-
 
 def _facts(spark, sf_dir):
-    return consolidate.consolidate(_chunks(spark, sf_dir), inputs.AS_OF)
+    return consolidate.consolidate(inputs.groups(spark, sf_dir), inputs.AS_OF)
 
 
 def _earlier_facts(spark, sf_dir):
-    """Facts built from the memories that existed a month before."""
-    old = inputs.stored(spark, sf_dir).where(F.col("created_at") < F.lit(EARLIER).cast("timestamp"))
-    return consolidate.consolidate(consolidate.chunk_groups(old), EARLIER)
+    return consolidate.consolidate(inputs.earlier_groups(spark, sf_dir), inputs.EARLIER)
 
 
 def c01_eligible(spark, sf_dir):
@@ -44,15 +35,15 @@ def c03_group_candidates(spark, sf_dir):
 
 
 def c04_infer_topic(spark, sf_dir):
-    return consolidate.infer_topic(_chunks(spark, sf_dir))
+    return consolidate.infer_topic(inputs.groups(spark, sf_dir))
 
 
 def c05_group_conflicts(spark, sf_dir):
-    return consolidate.group_conflicts(_chunks(spark, sf_dir))
+    return consolidate.group_conflicts(inputs.groups(spark, sf_dir))
 
 
 def c06_elect_source(spark, sf_dir):
-    return consolidate.elect_source(_chunks(spark, sf_dir), inputs.AS_OF).select("group_id", "id")
+    return consolidate.elect_source(inputs.groups(spark, sf_dir), inputs.AS_OF).select("group_id", "id")
 
 
 def c07_consolidate(spark, sf_dir):

@@ -5,12 +5,14 @@ from __future__ import annotations
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memlake.operators import dedup, extract
+from memlake.operators import consolidate, dedup, extract
 from memlake.session import materialize
 from memlake.sources import corpus
 
 AS_OF = corpus.AS_OF
+EARLIER = "2024-05-01 00:00:00"
 
 
 def planned_once(build):
@@ -54,3 +56,16 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @planned_once
 def stored_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.with_embeddings(spark, sf_dir, stored(spark, sf_dir))
+
+
+@planned_once
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the consolidation groups of all stored memories."""
+    return materialize(consolidate.group_candidates(stored(spark, sf_dir)), "groups")
+
+
+@planned_once
+def earlier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the groups of the memories that existed a month before."""
+    old = stored(spark, sf_dir).where(F.col("created_at") < F.lit(EARLIER).cast("timestamp"))
+    return materialize(consolidate.group_candidates(old), "earlier-groups")

@@ -176,7 +176,7 @@ def r16_lifecycle_rerank(spark, sf_dir):
 
 def r17_inject_consolidations(spark, sf_dir):
     ranked = retrieval.rank_memories(_graded(spark, sf_dir), inputs.AS_OF, 5)
-    facts = consolidate.consolidate(consolidate.chunk_groups(inputs.stored(spark, sf_dir)), inputs.AS_OF)
+    facts = consolidate.consolidate(inputs.groups(spark, sf_dir), inputs.AS_OF)
     return retrieval.inject_consolidations(ranked, facts, asked(spark, sf_dir)).select(
         "query_id", "position", "id", "kind")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from memlake.functions import lexicon as lx
 from memlake.sources.corpus import AS_OF, STATES, TEMPLATES
@@ -121,7 +122,9 @@ def with_ctes(*names: str) -> str:
 
     for name in names:
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_CTES[n][1]})" for n in order) + "\n"
+    recursive = {n for n in order if re.search(rf"\bFROM {n}\b", _CTES[n][1])}
+    parts = [f"{n} AS {'' if n in recursive else 'MATERIALIZED '}({_CTES[n][1]})" for n in order]
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
 
 # -- corpus ------------------------------------------------------------------

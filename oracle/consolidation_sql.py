@@ -12,9 +12,26 @@ EARLIER = "TIMESTAMP '2024-05-01 00:00:00'"
 
 def chunk_ctes(p: str, source: str, now: str) -> None:
     """CTEs with prefix ``p``: groups, topics, conflicts and facts of ``source``."""
-    define(f"{p}grp", ["stored"], f"""
-SELECT * FROM (SELECT *, user_id || '/' || memory_type || '/' || domain || '/' || ((spot - 1) // 20) AS group_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id, memory_type, domain ORDER BY importance DESC, id) AS spot FROM {source} WHERE lifecycle_state <> 'archived'))
+    define(f"{p}row", ["stored"], f"""
+SELECT *, user_id || '/' || memory_type || '/' || domain AS bucket,
+  row_number() OVER (PARTITION BY user_id, memory_type, domain ORDER BY importance DESC, id) AS spot,
+  list_filter(string_split_regex(regexp_replace(lower(content), '[^a-z0-9_]+', ' ', 'g'), ' +'),
+    lambda t: len(t) >= 3 AND t NOT IN {in_list(lx.CONSOLIDATION_STOP_WORDS)}) AS cw FROM {source} WHERE lifecycle_state <> 'archived'""")
+    # every pair of a bucket that shares a word, in order, is tried in one step of the recursion
+    define(f"{p}pair", [f"{p}row"], f"""
+SELECT a.bucket, a.spot AS i, b.spot AS j, row_number() OVER (PARTITION BY a.bucket ORDER BY a.spot, b.spot) AS step
+FROM {p}row a JOIN {p}row b ON a.bucket = b.bucket AND a.spot < b.spot AND list_has_any(a.cw, b.cw)""")
+    define(f"{p}walk", [f"{p}row", f"{p}pair"], f"""
+SELECT bucket, 0::BIGINT AS step, range(1, count(*) + 1) AS head FROM {p}row GROUP BY 1
+UNION ALL
+SELECT w.bucket, w.step + 1, CASE WHEN head[i] <> head[j] AND len(list_filter(head, lambda x: x = head[i] OR x = head[j])) <= 20
+  THEN list_transform(head, lambda x: CASE WHEN x = greatest(head[i], head[j]) THEN least(head[i], head[j]) ELSE x END) ELSE head END
+FROM {p}walk w JOIN {p}pair p ON p.bucket = w.bucket AND p.step = w.step + 1""")
+    define(f"{p}grp", [f"{p}row", f"{p}walk"], f"""
+SELECT *, count(*) OVER (PARTITION BY group_id) AS n_members FROM (
+  SELECT r.* EXCLUDE (bucket, cw), h.id AS group_id FROM {p}row r
+  JOIN (SELECT bucket, arg_max(head, step) AS head FROM {p}walk GROUP BY 1) l ON l.bucket = r.bucket
+  JOIN {p}row h ON h.bucket = r.bucket AND h.spot = l.head[r.spot])
 QUALIFY count(*) OVER (PARTITION BY group_id) >= 2""")
     define(f"{p}pl0", [f"{p}grp"], f"""
 SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY importance DESC, id) AS position, {normalized('content')} AS norm,
@@ -69,6 +86,7 @@ SQL["c05_group_conflicts"] = with_ctes("n_conf") + """
 SELECT group_id, id_a, id_b, similarity, severity, CASE severity WHEN 'low' THEN 'Slight phrasing difference' WHEN 'medium' THEN 'Factual disagreement detected'
   ELSE 'Direct contradiction suspected' END || ' (similarity ' || printf('%.2f', similarity) || ')' AS reason FROM n_conf"""
 SQL["c06_elect_source"] = with_ctes("n_best") + "SELECT group_id, id FROM n_best"
+SQL["c03_group_candidates"] = with_ctes("n_grp") + "SELECT group_id, id, user_id, memory_type, domain, n_members FROM n_grp"
 SQL["c04_infer_topic"] = with_ctes("n_topic") + "SELECT group_id, topic FROM n_topic"
 SQL["c07_consolidate"] = with_ctes("n_fact") + """
 , tg AS (SELECT group_id, string_agg(t, '|' ORDER BY position, p) || '|consolidated' AS tags FROM (
@@ -89,6 +107,9 @@ SELECT existing_id, group_id, {r6('new_fraction')} AS new_fraction, {_NEED} AS n
 SQL["c09_sweep_actions"] = with_ctes("rec") + f"""
 SELECT n.group_id, n.user_id, CASE WHEN existing_id IS NULL THEN 'created' WHEN {_NEED} THEN 'updated' ELSE 'skipped' END AS action, existing_id
 FROM n_fact n LEFT JOIN rec r USING (group_id)""".replace("has_active)", "r.has_active)")
+SQL["c09_consolidation_sweep"] = SQL["c09_sweep_actions"].replace("SELECT n.group_id", ", acts AS (SELECT n.group_id", 1) + """)
+SELECT user_id, count(*) FILTER (action = 'created') AS created, count(*) FILTER (action = 'updated') AS updated,
+  count(*) FILTER (action = 'skipped') AS skipped, count(*) AS groups FROM acts GROUP BY 1"""
 SQL["c10_update_consolidated"] = with_ctes("rec") + f"""
 SELECT existing_id AS id, 2 AS version, len(list_distinct(list_concat(old_ids, source_ids))) AS n_sources, confidence, importance, status FROM rec WHERE {_NEED}"""
 SQL["c11_provenance"] = with_ctes("n_fact") + """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.config import ConsolidationConfig
 from memlake.functions import text as tx
-from memlake.operators import consolidate, dedup, graph, lifecycle
+from memlake.operators import consolidate, dedup, graph, grouping, lifecycle, ordered
 from memlake.operators.vector_search import nearest
 
 NOW = "2024-06-01 00:00:00"
@@ -157,39 +157,55 @@ def naive_groups(rows, cap):
 @pytest.mark.parametrize("seed", range(6))
 def test_greedy_groups_match_all_pairs(seed):
     rows = [set(t.split()) for t in random_texts(60, seed, 1, 3)]
-    heads = consolidate.greedy_groups([sorted(r) for r in rows], 6)
+    heads = grouping.greedy_groups([sorted(r) for r in rows], 6)
     got = {}
     for i, h in enumerate(heads):
         got.setdefault(h, set()).add(i)
     assert {frozenset(g) for g in got.values()} == naive_groups(rows, 6)
 
 
-def test_large_buckets_split_into_components_exactly(spark):
-    # words of the two halves never mix, so the bucket has two components
-    left = [f"l{t}" for t in random_texts(30, 1, 2, 3)]
-    rows = [(f"m{i:02d}", "u", "semantic", " ".join(("l" if i % 2 else "r") + w for w in t.split()), 0.5, i / 100, 1)
-            for i, t in enumerate(random_texts(40, 2, 2, 3))]
-    df = memories(spark, rows)
-    assert left
-    whole = consolidate.group_candidates(df, ConsolidationConfig(max_sources=5))
-    parts = consolidate.group_candidates(df, ConsolidationConfig(max_sources=5, task_rows=30))
-    key = lambda d: sorted((r.group_id, r.id) for r in d.select("group_id", "id").collect())
-    assert key(whole) == key(parts)
+@pytest.mark.parametrize("window_rows, ahead", [(1, 5), (7, 5), (20, 16), (500, None)])
+def test_groups_do_not_depend_on_windows(spark, window_rows, ahead):
+    """Two words are in half of the rows each, so groups fill across windows; two buckets end at different rounds."""
+    texts = [t + (" common" if i % 2 else " usual") for i, t in enumerate(random_texts(45, 9, 1, 2))]
+    rows = [("b", i + 1, sorted(set(t.split()))) for i, t in enumerate(texts)] + [
+        ("c", i + 1, [f"w{i % 5}"]) for i in range(12)] + [("d", 1, [])]
+    df = spark.createDataFrame(rows, "bucket string, position long, words array<string>")
+    got = {}
+    for r in grouping.token_groups(df, 4, window_rows, ahead).collect():
+        got.setdefault((r.bucket, r.head), set()).add(r.position - 1)
+    for bucket in "bcd":
+        own = [set(w) for b, _, w in rows if b == bucket]
+        assert {frozenset(g) for (b, _), g in got.items() if b == bucket} == naive_groups(own, 4)
 
 
-def test_long_component_is_grouped_in_exact_stretches(spark):
+def test_groups_do_not_depend_on_partitions(spark):
     rows = [(f"m{i:03d}", "u", "semantic", f"shared word{i}", 0.5, i / 1000, 1) for i in range(200)]
-    config, found = ConsolidationConfig(max_sources=20, task_rows=50), []
-    for partitions in (3, 8):
+    found = []
+    for partitions, window_rows in ((4, 50), (7, 64), (7, 50_000)):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
-        out = consolidate.group_candidates(memories(spark, rows), config).collect()
+        out = consolidate.group_candidates(memories(spark, rows), ConsolidationConfig(window_rows=window_rows)).collect()
         found.append({r.id: r.group_id for r in out})
     spark.conf.set("spark.sql.shuffle.partitions", 4)
-    sizes = {}
-    for group in found[0].values():
-        sizes[group] = sizes.get(group, 0) + 1
-    assert found[0] == found[1] and len(found[0]) == 200
-    assert sorted(sizes.values()) == [10] * 4 + [20] * 8
+    order = [f"m{i:03d}" for i in range(199, -1, -1)]  # importance falls with the number
+    assert found[0] == found[1] == found[2] == {m: order[i - i % 20] for i, m in enumerate(order)}
+
+
+def test_positions_of_a_key_over_many_ranges(spark):
+    rows = [(None if i % 7 == 0 else "hot" if i % 5 else f"k{i % 3}", (i * 37) % 400) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    want = {}
+    for k in {k for k, _ in rows}:
+        for at, v in enumerate(sorted(v for x, v in rows if x == k), 1):
+            want[(k, v)] = (at, sum(w for x, w in rows if x == k and w <= v))
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    placed = ordered.with_position(df, ["k"], ["v"]).collect()
+    summed = ordered.with_running_sum(df, ["k"], ["v"], F.col("v"), "total").collect()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert {(r.k, r.v): r.position for r in placed} == {x: p for x, (p, _) in want.items()}
+    assert {(r.k, r.v): r.total for r in summed} == {x: t for x, (_, t) in want.items()}
 
 
 def test_similar_memories_with_a_hot_signature(spark):
