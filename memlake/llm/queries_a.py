@@ -12,7 +12,7 @@ from memlake.session import scratch_dir
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", "taken")
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
