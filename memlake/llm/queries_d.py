@@ -27,27 +27,24 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op8_decontaminate": op8_decontaminate, "op9_repeats": op9_repeats}
 
 
-def _seed_sql(source: str, key: str) -> str:
-    parts = []
-    for mask in decontaminate.MASKS:
-        words = ", ".join(f"w[p + {j + 1}]" for j, on in enumerate(mask) if on == "1")
-        parts.append(f"SELECT {key}, w, p, '{mask}' AS m, concat_ws(' ', {words}) AS seed FROM {source}_at")
-    span = max(map(len, decontaminate.MASKS))
-    return (f"{source}_at AS (SELECT {key}, w, unnest(range(0, len(w) - {span} + 1)) AS p FROM {source}_words "
-            f"WHERE len(w) >= {span}), {source}_seeds AS ({' UNION ALL '.join(parts)})")
-
-
+#: any 13 equal words of 16 hold four in a row, so runs of four (or of all words of a shorter item) find every diagonal
 SQL = {
-    "op8_decontaminate": rf"""
+    "op8_decontaminate": r"""
         WITH doc_words AS (
-            SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+            SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
         item_words AS (
-            SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark),
-        {_seed_sql("doc", "doc_id")},
-        {_seed_sql("item", "item_id")},
+            SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+        item_runs AS (
+            SELECT item_id, w, g, p, array_to_string(w[p + 1:p + g], ' ') AS run FROM (
+                SELECT item_id, w, least(4, len(w)) AS g, unnest(range(0, len(w) - least(4, len(w)) + 1)) AS p
+                FROM item_words WHERE len(w) > 0)),
+        doc_runs AS (
+            SELECT doc_id, w, g, p, array_to_string(w[p + 1:p + g], ' ') AS run FROM (
+                SELECT doc_id, w, g, unnest(range(0, len(w) - g + 1)) AS p
+                FROM doc_words, (SELECT DISTINCT g FROM item_runs) WHERE len(w) >= g)),
         diagonals AS (
             SELECT DISTINCT d.doc_id, i.item_id, d.w AS dw, i.w AS iw, d.p - i.p AS diag
-            FROM doc_seeds d JOIN item_seeds i ON d.m = i.m AND d.seed = i.seed),
+            FROM doc_runs d JOIN item_runs i ON d.g = i.g AND d.run = i.run),
         laid AS (
             SELECT doc_id, item_id, len(iw) AS n, list_transform(
                 range(greatest(0, -diag), least(len(iw), len(dw) - diag)),
@@ -55,11 +52,11 @@ SQL = {
             FROM diagonals),
         judged AS (
             SELECT doc_id, item_id, n, list_sum(eq) AS matched, list_max(list_transform(
-                range(0, greatest(0, len(eq) - {decontaminate.WINDOW}) + 1),
-                lambda s: list_sum(eq[s + 1:s + {decontaminate.WINDOW}]))) AS best
+                range(0, greatest(0, len(eq) - 16) + 1),
+                lambda s: list_sum(eq[s + 1:s + 16]))) AS best
             FROM laid)
         SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(best)::BIGINT AS best FROM judged
-        WHERE best >= ceil({decontaminate.SHARE} * least({decontaminate.WINDOW}, n))
+        WHERE best >= least(13, n)
         GROUP BY doc_id, item_id
     """,
 }

@@ -1,6 +1,8 @@
 """Near duplicates, leaks and repeated passages against brute force."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -113,23 +115,53 @@ def brute_leaks(rows, items, window=16, share=0.8):
         doc = re.findall(r"[^\W_]+", (text or "").lower())
         for item_id, item in items:
             words = re.findall(r"[^\W_]+", (item or "").lower())
-            if len(words) < 13:
+            if not words:
                 continue
             for diag in range(-len(words), len(doc)):
                 equal = [0 <= diag + i < len(doc) and doc[diag + i] == w for i, w in enumerate(words)]
                 inside = [e for i, e in enumerate(equal) if 0 <= diag + i < len(doc)]
                 best = max((sum(inside[s:s + window]) for s in range(max(1, len(inside) - window + 1))), default=0)
-                if best >= share * min(window, len(words)):
+                if best >= min(math.ceil(share * window), len(words)):
                     out.add((doc_id, item_id))
     return out
 
 
+@pytest.mark.parametrize("words, changed", [(16, 3), (15, 2), (14, 1), (13, 0)])
+def test_masks_meet_every_placement(words, changed):
+    """All overlaps that the rule accepts: 16 words or, at the end of a text, 13 to 15, of which 13 agree."""
+    for places in itertools.combinations(range(words), changed):
+        assert any(all(at + j not in places for j, on in enumerate(mask) if on == "1")
+                   for mask in decontaminate.MASKS for at in range(words - len(mask) + 1)), places
+
+
+def test_substituted_passages_in_long_texts(spark):
+    rng = random.Random(12)
+    item = [f"w{i}" for i in range(16)]
+    rows, want = [], set()
+    for d in range(60):
+        words, count = list(item), rng.randint(2, 4)
+        for at in rng.sample(range(16), count):
+            words[at] = "other"
+        filler = [rng.choice(item) for _ in range(3_000)]
+        rows.append((d, " ".join(filler + ["x"] * 16 + words + ["x"] * 16 + filler), "en", "s0"))
+        if count <= 3:
+            want.add(d)
+    rows += [(100 + n, " ".join(item[:n]), "en", "s0") for n in (11, 12, 13, 15)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    want |= {d for d, _ in brute_leaks([r for r in rows if r[0] >= 100], [(1, " ".join(item))])} | {113, 115}
+    for limit in (2_000_000, 0):
+        found = {r["doc_id"] for r in decontaminate.find(frame(spark, rows), bench, broadcast_rows=limit).collect()}
+        assert found == want
+
+
 @pytest.mark.parametrize("limit", [2_000_000, 0])
 def test_leaks(spark, limit):
     rng = random.Random(4)
     texts = [prose(rng, n) for n in (40, 60, 25, 13)]
     rows = [r for r in leak_rows(rng, texts) if r[1] is None or len(r[1]) < 5_000]
-    items = [*enumerate(texts), (10, "too short to tell"), (11, None), (12, ""), (None, prose(rng, 30))]
+    rows += [(400, "so A short Item of seven words here, then", "en", "s0"), (401, "a short item of six words here", "en", "s0")]
+    items = [*enumerate(texts), (10, "a short item of seven words here"), (11, None), (12, ""), (13, "Zyzzyva"),
+             (14, "one two three"), (None, prose(rng, 30))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find(frame(spark, rows), bench, broadcast_rows=limit).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == brute_leaks(rows, items)
