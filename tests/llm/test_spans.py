@@ -1,5 +1,7 @@
 """Personal data and secrets against plain Python."""
 
+import random
+
 import brute
 from memlake.llm import boosting, pii, queries_b, secret_scan, spans
 from memlake.llm.common import table
@@ -84,7 +86,6 @@ def test_trees_separate_counted_patterns():
 
 
 def test_checked_candidates_are_added_however_many_fail(spark):
-    import random
     rng = random.Random(6)
 
     def luhn(digits):
@@ -100,7 +101,38 @@ def test_checked_candidates_are_added_however_many_fail(spark):
         texts.append(f"pay {card} ssn {ssn}, left over")
         want.append(right)
     texts += ["account DE44 5001 0517 5407 3249 31 is new", "card 4111  1111  1111  1111 is doubled"]
-    rows = {r["doc_id"]: [k for s in r["spans"] if (k := pii.KINDS[s["kind"]]) != "phone"]  # groups of digits look like one
-            for r in pii.find(frame(spark, texts)).collect()}
+    rows = {r["doc_id"]: [pii.KINDS[s["kind"]] for s in r["spans"]] for r in pii.find(frame(spark, texts)).collect()}
     assert [sorted(rows[i]) for i in range(600)] == [["card", "ssn"] if right else [] for right in want]
     assert rows[600] == ["iban"] and rows[601] == ["card"]
+
+
+def kinds_of(found):
+    return {r["doc_id"]: [pii.KINDS[s["kind"]] for s in r["spans"]] for r in found.collect()}
+
+
+def test_trees_alone_let_unmarked_phones_in_and_turn_look_alikes_down(spark):
+    """No word tells what the last two numbers are; only their format does."""
+    rng = random.Random(3)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"please call ({d(3)}) {d(3)}-{d(4)} soon" for _ in range(120)]
+    texts += [f"your order {d(4)}.{d(3)}.{d(4)} went out" for _ in range(120)]
+    texts += ["we met (212) 555-0147 there", "we met 2125.550.1470 there"]
+    found = kinds_of(pii.find(frame(spark, texts)))
+    assert found[240] == ["phone"] and found[241] == []
+    assert all(found[i] == ["phone"] for i in range(120)) and not any(found[i] for i in range(120, 240))
+
+
+def test_trees_alone_let_spelled_out_mail_in_and_turn_look_alikes_down(spark):
+    rng = random.Random(4)
+    w = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7)))
+    texts = [f"contact {w()} (at) {w()} (dot) com today" for _ in range(120)]
+    texts += [f"{w()} x{w()}(at){w()}.{w()}zz and so on" for _ in range(120)]
+    texts += ["contact jane (at) home (dot) museum today", "we x(at)noon.sharpish and so on"]
+    found = kinds_of(pii.find(frame(spark, texts)))
+    assert found[240] == ["email"] and found[241] == []
+
+
+def test_account_numbers_leave_1_modulo_97(spark):
+    texts = ["DE89370400440532013000", "DE89370400440532013001", "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33",
+             "card 4111.1111.1111.1112 fails", "id 123-45-6789 12"]
+    assert kinds_of(pii.find(frame(spark, texts))) == {0: ["iban"], 1: [], 2: ["iban"], 3: [], 4: [], 5: ["ssn"]}
