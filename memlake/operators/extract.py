@@ -16,6 +16,7 @@ from memlake.functions.text import (
     as_timestamp, count_matching, fingerprint, round2, summarize_140, tokenize, trim_space,
     with_rounded,
 )
+from memlake.operators.ordered import with_running
 
 SCHEMA_VERSION = 3
 GENERATED_BY = "heuristic-metadata-v3"
@@ -226,7 +227,5 @@ def recent_turns(events: DataFrame, n: int = 12) -> DataFrame:
 
 def assistant_turn_numbers(events: DataFrame) -> DataFrame:
     """Running count of assistant turns per session."""
-    so_far = (Window.partitionBy("session_id").orderBy("created_at", "event_id")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return events.withColumn("assistant_turn", F.sum(
-        (F.col("role") == "assistant").cast("long")).over(so_far))
+    return with_running(events, ["session_id"], ["created_at", "event_id"],
+                        assistant_turn=(F.col("role") == "assistant").cast("long"))

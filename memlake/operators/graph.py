@@ -10,6 +10,7 @@ from memlake.functions import lexicon as lx
 from memlake.functions import scoring as sc
 from memlake.functions.text import matches
 from memlake.operators.windows import top_k
+from memlake.session import materialize
 
 DEFAULTS = GraphConfig()
 
@@ -155,6 +156,24 @@ def similar_by_tags(bridge: DataFrame, min_shared: int = 2) -> tuple[DataFrame,
     return members, similar_signatures(members, min_shared)
 
 
+def domain_links(memories: DataFrame) -> DataFrame:
+    """``id, domain, links``: the links of a shared domain without a row each.
+
+    All memories of a domain are linked to each other, so membership and the size
+    of the domain hold every link; ``expand_domains`` lists those of given ids.
+    """
+    rows = memories.where(F.col("domain").isNotNull()).select("id", "domain").distinct()
+    sizes = materialize(rows.groupBy("domain").agg((F.count("*") - 1).alias("links")), "domain-sizes")
+    return rows.join(sizes, "domain").select("id", "domain", "links")
+
+
+def expand_domains(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, neighbour_id``: every link of the given ids."""
+    asked = links.join(ids.select("id").distinct(), "id", "left_semi").select("domain", "id")
+    members = links.select("domain", F.col("id").alias("neighbour_id"))
+    return asked.join(members, "domain").where("id != neighbour_id").select("id", "neighbour_id")
+
+
 def similar_by_domain(memories: DataFrame, top_n: int = 5) -> DataFrame:
     """``id, neighbour_id, rank``: the most important other memories of the domain.
 

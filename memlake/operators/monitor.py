@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import lexicon as lx
 from memlake.functions.text import as_timestamp, contains_any
+from memlake.operators.ordered import with_running
 from memlake.operators.windows import top_k
+from memlake.session import materialize
 
 
 def session_overview(members: DataFrame, turns: DataFrame, ttl: DataFrame) -> DataFrame:
@@ -185,10 +191,11 @@ def event_rate(log: DataFrame, keys: list[str], ts: str = "ts", window: str = "5
 
 
 def error_rate(log: DataFrame, is_error: Column, ts: str = "ts", window: str = "5 minutes") -> DataFrame:
-    """Server errors per second in tumbling windows."""
+    """Server errors in tumbling windows: count, per second, and share of all requests."""
+    length = (F.unix_micros(F.col("w.end").cast("timestamp")) - F.unix_micros(F.col("w.start").cast("timestamp"))) / 1000000.0
     return log.groupBy(F.window(ts, window).alias("w")).agg(
         F.count_if(is_error).alias("errors"), F.count("*").alias("requests")).select(
-        F.col("w.start").alias("window_start"), "errors", "requests",
+        F.col("w.start").alias("window_start"), "errors", "requests", (F.col("errors") / length).alias("errors_per_second"),
         (F.col("errors") / F.col("requests")).alias("error_share"))
 
 
@@ -199,13 +206,47 @@ def cache_hit_ratio(log: DataFrame, is_hit: Column, ts: str = "ts", window: str
         (F.col("hits") / F.col("requests")).alias("hit_ratio"))
 
 
+def over_limit(at: np.ndarray, start: int | None, total: int, limit: int, length: int):
+    """Requests over the limit among sorted times: (start, total) of the open window, and times with their counts.
+
+    A window starts at the first request that no window holds, lasts ``length``, and counts every request.
+    """
+    found, i = [], 0
+    while i < len(at):
+        if start is None or at[i] >= start + length:
+            start, total = int(at[i]), 0
+        end = int(np.searchsorted(at, start + length))
+        low = max(i, i + limit - total)
+        if low < end:
+            found.append((at[low:end], np.arange(total + low - i + 1, total + end - i + 1)))
+        total, i = total + end - i, end
+    return start, total, found
+
+
 def rate_violations(log: DataFrame, limit: int = 30, window_seconds: int = 60, client: str = "client_id",
                     ts: str = "ts") -> DataFrame:
-    """Tumbling-window variant: requests per client above ``limit``."""
-    counts = log.groupBy(client, F.window(ts, f"{window_seconds} seconds").alias("w")).agg(
-        F.count("*").alias("requests"))
-    return counts.where(F.col("requests") > limit).select(
-        client, F.col("w.start").alias("window_start"), "requests")
+    """``client_id, ts, request_count`` of every request above ``limit`` in a window from a client's first request.
+
+    A client's requests pass by in order; only the open window is kept.
+    """
+    length = window_seconds * 1_000_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, start, total = None, None, 0
+        for batch in batches:
+            out = []
+            for name, own in batch.groupby("client_id", sort=False):
+                if name != held:
+                    held, start, total = name, None, 0
+                start, total, found = over_limit(own["at"].to_numpy(), start, total, limit, length)
+                out += [pd.DataFrame({"client_id": name, "at": a, "request_count": n}) for a, n in found]
+            if out:
+                yield pd.concat(out)
+
+    rows = log.select(F.col(client).alias("client_id"), F.unix_micros(ts).alias("at")).where("client_id IS NOT NULL AND at IS NOT NULL")
+    return rows.repartition("client_id").sortWithinPartitions("client_id", "at").mapInPandas(
+        run, "client_id string, at bigint, request_count bigint").select(
+        "client_id", F.timestamp_micros("at").alias("ts"), "request_count")
 
 
 # -- summaries ------------------------------------------------------------------------
@@ -220,16 +261,22 @@ SUMMARY_METADATA = {
 
 
 def summary_batches(events: DataFrame, every: int = 20, last: int = 40, least: int = 4) -> DataFrame:
-    """Transcripts to summarize: one whenever a session's assistant turns reach a multiple of ``every``."""
-    order = Window.partitionBy("session_id").orderBy("created_at", "event_id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    recent = order.rowsBetween(-(last - 1), Window.currentRow)
+    """Transcripts to summarize: one whenever a session's assistant turns reach a multiple of ``every``.
+
+    Sessions of any length are spread over tasks; event ids are unique.
+    """
     assistant = F.col("role") == "assistant"
     line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.col("content"))
-    df = events.withColumns({
-        "assistant_turn": F.sum(assistant.cast("long")).over(so_far),
-        "__lines": F.collect_list(line).over(recent)})
-    due = df.where(assistant & (F.col("assistant_turn") % every == 0) & (F.size("__lines") >= least))
+    placed = materialize(with_running(
+        events.select("session_id", "user_id", "event_id", "created_at", "role", line.alias("line")), ["session_id"],
+        ["created_at", "event_id"], position=F.lit(1).cast("long"), assistant_turn=assistant.cast("long")), "turns")
+    due = placed.where(assistant & (F.col("assistant_turn") % every == 0) & (F.least("position", F.lit(last)) >= least)).drop("line")
+    # only due turns gather lines: each asks for its ``last`` positions
+    first = F.greatest(F.lit(1), F.col("position") - (last - 1))
+    asked = due.select("event_id", "session_id", F.explode(F.sequence(first, F.col("position"))).alias("position"))
+    lines = asked.join(placed.select("session_id", "position", "line"), ["session_id", "position"]).groupBy("event_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda e: e["line"]).alias("__lines"))
+    due = due.join(lines, "event_id")
     fixed = {name: F.lit(value) for name, value in SUMMARY_METADATA.items() if name != "role"}
     return due.select("session_id", "user_id", "event_id", "created_at", "assistant_turn",
                       F.size("__lines").alias("turns"), F.array_join("__lines", "\n").alias("transcript"),

@@ -40,17 +40,16 @@ def _joined(ranged: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame
     return ranged.join(F.broadcast(carried), same, "left").drop(*[f"__k{i}" for i in range(len(keys))], "__at")
 
 
+def with_running(df: DataFrame, keys: list[str], order: list[str], **sums: Column) -> DataFrame:
+    """``df`` with the named sums over the rows of the key up to and including each row, by ascending ``order``."""
+    ranged = in_ranges(df.withColumns({f"__v_{n}": v for n, v in sums.items()}), keys, order)
+    joined = _joined(ranged, _carried(ranged, keys, {n: F.sum(f"__v_{n}") for n in sums}), keys)
+    so_far = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0)
+    return joined.withColumns({n: F.coalesce(f"__before_{n}", zero) + F.coalesce(F.sum(f"__v_{n}").over(so_far), zero) for n in sums}
+                              ).drop("__range", *[f"__before_{n}" for n in sums], *[f"__v_{n}" for n in sums])
+
+
 def with_position(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
     """``df`` with the place of each row among the rows of its key, from 1, by ascending ``order``."""
-    ranged = in_ranges(df, keys, order)
-    joined = _joined(ranged, _carried(ranged, keys, {"n": F.count("*")}), keys)
-    spot = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order))
-    return joined.withColumn(name, (F.coalesce("__before_n", F.lit(0)) + spot).cast("long")).drop("__before_n", "__range")
-
-
-def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows of the key up to and including this one."""
-    ranged = in_ranges(df.withColumn("__value", value), keys, order)
-    joined = _joined(ranged, _carried(ranged, keys, {"s": F.sum("__value")}), keys)
-    own = F.sum("__value").over(Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn(name, F.coalesce("__before_s", F.lit(0)) + F.coalesce(own, F.lit(0))).drop("__before_s", "__range", "__value")
+    return with_running(df, keys, order, **{name: F.lit(1).cast("long")})

@@ -22,6 +22,7 @@ from memlake.functions.text import (
 from memlake.operators.dedup import merge_by_id
 from memlake.operators.vector_search import nearest
 from memlake.operators.windows import numbered, top_k
+from memlake.session import materialize
 
 DEFAULTS = RetrievalConfig()
 
@@ -297,10 +298,11 @@ def hybrid_retrieve(queries: DataFrame, memories: DataFrame, neighbours: DataFra
             (F.col("lexical_part") / scale).alias("keyword_score"), F.lit(0.0).alias("graph_score"),
             F.lit("keyword").alias("source"), F.struct(F.lit(1).alias("c"), F.col("rank")).alias("channel")),
     ]
-    both = channels[0].unionByName(channels[1])
+    both = materialize(channels[0].unionByName(channels[1]), "hybrid-channels")
     seen = both.groupBy("query_id", "id").agg(F.min("channel").alias("seen"))
     merged = merge_by_id(both).join(seen, ["query_id", "id"])
-    placed = numbered(merged, ["query_id"], [F.asc("seen"), F.asc("id")], "position").drop("seen")
+    # written once: graph scores, new neighbours and what is already there all read these few rows a query
+    placed = materialize(numbered(merged, ["query_id"], [F.asc("seen"), F.asc("id")], "position").drop("seen"), "hybrid-candidates")
     enriched = graph_enrich(placed, neighbours, context, queries, k)
     return rank_memories(enriched, as_of, k, weights=weights,
                          half_life_hours=config.recency_half_life_hours)

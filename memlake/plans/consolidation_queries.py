@@ -98,6 +98,16 @@ def s01_read_events(spark, sf_dir):
     return tables.read_events(spark, path, 200).select("event_id", "session_id", "role")
 
 
+def s01_read_all_events(spark, sf_dir):
+    """The whole log in time order, numbered."""
+    from memlake.operators.ordered import with_position
+    from memlake.session import scratch_dir
+
+    path = scratch_dir(spark, "event-log")
+    tables.append_events(inputs.chat_events(spark, sf_dir), path)
+    return with_position(tables.read_events(spark, path), [], ["created_at", "event_id"]).select("position", "event_id", "session_id", "role")
+
+
 def s02_append_events(spark, sf_dir):
     from memlake.session import scratch_dir
 
@@ -136,6 +146,15 @@ def s05_route_memories(spark, sf_dir):
     return tables.route_counts(inputs.stored(spark, sf_dir))
 
 
+def s05_write_routed(spark, sf_dir):
+    """What the two targets hold after a routed write."""
+    from memlake.session import scratch_dir
+
+    path = scratch_dir(spark, "routed")
+    tables.write_routed(inputs.stored(spark, sf_dir), path)
+    return spark.read.parquet(path).select("id", "route")
+
+
 def s06_write_tiered(spark, sf_dir):
     """Rows per tier after a tiered write."""
     from memlake.session import scratch_dir
@@ -168,13 +187,13 @@ def s10_remove_sessions(spark, sf_dir):
 
 def s07_read_all_tiers(spark, sf_dir):
     """Every user's memories from the three tiers with their place by importance."""
-    from memlake.operators.windows import numbered
+    from memlake.operators.ordered import with_position
     from memlake.session import scratch_dir
 
     path = scratch_dir(spark, "tiers")
     tables.write_tiered(inputs.stored(spark, sf_dir), path, inputs.AS_OF)
-    return numbered(spark.read.parquet(path), ["user_id"], [F.desc("importance"), F.asc("id")]).select(
-        "user_id", "rank", "id", "tier")
+    rows = spark.read.parquet(path).select("user_id", "id", "tier", (-F.col("importance")).alias("less"))
+    return with_position(rows, ["user_id"], ["less", "id"], "rank").select("user_id", "rank", "id", "tier")
 
 
 def s08_upsert_consolidated(spark, sf_dir):

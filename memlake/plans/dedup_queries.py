@@ -148,6 +148,18 @@ def l04_revive(spark, sf_dir):
     return lifecycle.revive(df, archived, inputs.AS_OF).select("id", "lifecycle_state", "tier")
 
 
+def l04_mark_stale(spark, sf_dir):
+    """Unused rows of little importance, marked by id."""
+    df = inputs.stored(spark, sf_dir)
+    return lifecycle.mark_stale(df, df.where("importance < 0.5 AND NOT saved"), inputs.AS_OF).select("id", "lifecycle_state", "tier")
+
+
+def l04_archive(spark, sf_dir):
+    """Stale rows, archived by id."""
+    df = inputs.stored(spark, sf_dir)
+    return lifecycle.archive(df, df.where("lifecycle_state = 'stale'"), inputs.AS_OF).select("id", "lifecycle_state", "tier")
+
+
 def l04_mark_conflicted(spark, sf_dir):
     df = inputs.stored(spark, sf_dir)
     records = lifecycle.detect_conflicts(df, inputs.AS_OF)

@@ -90,6 +90,16 @@ def g10_similar_by_domain(spark, sf_dir):
     return graph.similar_by_domain(_gated(spark, sf_dir), 3)
 
 
+def g10_domain_links(spark, sf_dir):
+    return graph.domain_links(_gated(spark, sf_dir))
+
+
+def g10_expand_domains(spark, sf_dir):
+    """All domain links of the memories that are saved."""
+    m = _gated(spark, sf_dir)
+    return graph.expand_domains(graph.domain_links(m), m.where("saved"))
+
+
 def g11_similar_by_tags(spark, sf_dir):
     return _similar(*graph.similar_by_tags(graph.memory_tags(_gated(spark, sf_dir))))
 

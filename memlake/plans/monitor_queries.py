@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from memlake.functions import lexicon as lx
@@ -74,7 +75,8 @@ def m06_event_rate(spark, sf_dir):
 
 def m06_error_rate(spark, sf_dir):
     return monitor.error_rate(_requests(spark, sf_dir), F.col("status") >= 500, window="1 hour").select(
-        shown("window_start"), "errors", "requests", round6(F.col("error_share")).alias("error_share"))
+        shown("window_start"), "errors", "requests", round6(F.col("errors_per_second")).alias("errors_per_second"),
+        round6(F.col("error_share")).alias("error_share"))
 
 
 def m07_cache_hit_ratio(spark, sf_dir):
@@ -100,6 +102,12 @@ def m10_dead_letters(spark, sf_dir):
         "job_id", "attempt", "category", "error_message", shown("ts"))
 
 
+def m10_list_dead_letters(spark, sf_dir):
+    """The newest 50 dead letters."""
+    letters = monitor.dead_letters(_attempts(spark, sf_dir), LOG_NOW)
+    return monitor.list_dead_letters(letters).select("job_id", "job_type", "attempt", shown("ts"))
+
+
 def m10_requeue(spark, sf_dir):
     letters = monitor.dead_letters(_attempts(spark, sf_dir), LOG_NOW)
     transient = letters.where(F.col("category") != "permanent")
@@ -112,9 +120,27 @@ def m11_summary_batches(spark, sf_dir):
                      F.sha2("transcript", 256).alias("transcript_digest"), "importance", "confidence")
 
 
+def m11_summary_memories(spark, sf_dir):
+    """Summary rows with a caller's function for the text; here the opening of the transcript."""
+    @F.pandas_udf("string")
+    def opening(transcript: pd.Series) -> pd.Series:
+        return transcript.str.slice(0, 200)
+
+    batches = monitor.summary_batches(inputs.chat_events(spark, sf_dir), every=4)
+    return monitor.summary_memories(batches, opening).select(
+        "session_id", "event_id", "assistant_turn", "content", "summary", "memory_type", "importance")
+
+
+def r19_unexpired(spark, sf_dir):
+    """Working sets whose newest memory is younger than their lifetime."""
+    members, turns = _sets(spark, sf_dir)
+    return retrieval.unexpired(retrieval.working_set_ttl(members, turns, inputs.AS_OF), "2024-06-01 00:00:00").select(
+        "session_id", "ttl_seconds")
+
+
 def x04_rate_violations(spark, sf_dir):
     return monitor.rate_violations(_requests(spark, sf_dir), limit=2, window_seconds=3600).select(
-        "client_id", shown("window_start"), "requests")
+        "client_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "request_count")
 
 
 QUERIES = {name: fn for name, fn in list(globals().items())

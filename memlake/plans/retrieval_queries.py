@@ -1,4 +1,4 @@
-"""Registered queries for retrieval; the latest user turn of every session is the query."""
+"""Registered queries for retrieval; every user turn is a query."""
 
 from __future__ import annotations
 
@@ -15,17 +15,16 @@ from memlake.sources import corpus
 PENALTY = RetrievalConfig(penalty=TopicalPenalty(enabled=True))
 
 
+@inputs.planned_once
 def asked(spark, sf_dir):
-    """One query per session, with a vector."""
+    """Table of queries with vectors: every user turn is one."""
     turns = inputs.chat_events(spark, sf_dir).where("role = 'user'")
-    latest = turns.groupBy("session_id").agg(F.max_by(
-        F.struct("event_id", "user_id", "content"), F.struct("created_at", "event_id")).alias("q"))
     conv = F.substr("session_id", F.lit(2)).cast("long")
     turn = F.substring_index("event_id", "-", -1).cast("long")
-    rows = latest.select("session_id", "q.*").select(
+    rows = turns.select(
         F.col("event_id").alias("query_id"), "event_id", "session_id", "user_id",
         F.col("content").alias("query_text"), ((conv * 8 + turn + 1) % 500).alias("vec_id"))
-    return corpus.with_embeddings(spark, sf_dir, rows)
+    return materialize(corpus.with_embeddings(spark, sf_dir, rows), "queries")
 
 
 def _pairs(spark, sf_dir):

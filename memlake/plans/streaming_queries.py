@@ -74,7 +74,8 @@ def x03_quarantine_invalid(spark, sf_dir):
 def x04_stream_rate_violations(spark, sf_dir):
     stream = logs.requests(table_stream(spark, sf_dir, "events")).select(
         "client_id", F.col("ts").cast("timestamp").alias("ts"))
-    return run_to_end(state.rate_violations(stream, limit=2, window_seconds=3600))
+    return run_to_end(state.rate_violations(stream, limit=2, window_seconds=3600)).select(
+        "client_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "request_count")
 
 
 def x05_stream_session_state(spark, sf_dir):

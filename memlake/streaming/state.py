@@ -9,52 +9,44 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from memlake.operators.monitor import over_limit
+
 
 def rate_violations(requests: DataFrame, limit: int = 30, window_seconds: int = 60, client: str = "client_id",
                     ts: str = "ts", lateness: str = "10 seconds") -> DataFrame:
     """Requests above ``limit`` within a window that starts at a client's first request.
 
-    Output: ``client_id, ts, request_count`` for each request over the limit.
-    Requests are first counted per client and second inside each Arrow batch,
-    so a flooding client reaches its state as a few rows; a row over the limit
-    carries the count reached in its second.
+    Output: ``client_id, ts, request_count``, one row for each request over the
+    limit, however requests fall into micro-batches.  State is the open
+    window's start and count; of a micro-batch a client's times are held.
     """
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.groupby(["client_id", "at"], as_index=False).agg(n=("n", "sum"))
-
-    rows = requests.select(F.col(client).alias("client_id"), F.date_trunc("second", F.col(ts)).alias("at"),
-                           F.lit(1).cast("bigint").alias("n"))
-    per_second = rows.mapInPandas(combine, "client_id string, at timestamp, n bigint").withColumn(
-        "second", F.unix_seconds("at"))
+    length = window_seconds * 1_000_000
+    rows = requests.select(F.col(client).alias("client_id"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("at"))
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, total = state.get if state.exists else (None, 0)
-        out = []
-        rows = [] if state.hasTimedOut else pd.concat(list(batches)).groupby(
-            "second", as_index=False).agg(n=("n", "sum")).itertuples(index=False)
-        for row in rows:
-            if start is None or row.second >= start + window_seconds:
-                start, total = int(row.second), 0
-            total += int(row.n)
-            if total > limit:
-                out.append((key[0], int(row.second), total))
-        if state.hasTimedOut or start is None:
+        if state.hasTimedOut:
             state.remove()
-        else:
-            state.update((start, total))
-            state.setTimeoutTimestamp((start + window_seconds) * 1000 + max(
-                0, state.getCurrentWatermarkMs() - (start + window_seconds) * 1000 + 1000))
-        yield pd.DataFrame(out, columns=["client_id", "second", "request_count"])
-
-    return per_second.withWatermark("at", lateness).groupBy("client_id").applyInPandasWithState(
-        count, "client_id string, second bigint, request_count bigint", "start bigint, total bigint",
-        "append", GroupStateTimeout.EventTimeTimeout)
+            return
+        at = np.sort(np.concatenate([b["at"].to_numpy() for b in batches]))
+        start, total, found = over_limit(at, start, total, limit, length)
+        state.update((start, total))
+        end = (start + length) // 1000
+        state.setTimeoutTimestamp(end + max(0, state.getCurrentWatermarkMs() - end + 1000))
+        for times, counts in found:
+            yield pd.DataFrame({"client_id": key[0], "at": times, "request_count": counts})
+
+    return rows.where("client_id IS NOT NULL AND at IS NOT NULL").withWatermark("ts", lateness).groupBy(
+        "client_id").applyInPandasWithState(
+        count, "client_id string, at bigint, request_count bigint", "start bigint, total bigint",
+        "append", GroupStateTimeout.EventTimeTimeout).select(
+        "client_id", F.timestamp_micros("at").alias("ts"), "request_count")
 
 
 def skip_completed(jobs: DataFrame, failed: Column, key: str, ts: str, lifetime_days: int,

@@ -121,6 +121,10 @@ SELECT f.id, m.id AS source_id, m.importance FROM (SELECT id, unnest(source_ids)
 
 # -- tables --------------------------------------------------------------------
 SQL["s01_read_events"] = with_ctes("ev") + "SELECT event_id, session_id, role FROM ev ORDER BY created_at DESC, event_id DESC LIMIT 200"
+SQL["s01_read_all_events"] = with_ctes("ev") + """
+SELECT row_number() OVER (ORDER BY created_at, event_id) AS position, event_id, session_id, role FROM ev"""
+SQL["s05_write_routed"] = with_ctes("stored") + """
+SELECT id, CASE WHEN memory_type = 'factual' THEN 'relational' ELSE 'vector' END AS route FROM stored"""
 SQL["s02_append_events"] = with_ctes("ev") + """
 SELECT session_id, count(*) AS events, count(DISTINCT created_at::DATE) AS days FROM ev GROUP BY 1"""
 SQL["s03_read_memories"] = with_ctes("stored") + "SELECT session_id, count(*) AS memories FROM stored GROUP BY 1"

@@ -152,6 +152,11 @@ SQL["l03_transition"] = with_ctes("trans") + "SELECT id, lifecycle_state, next_s
 SQL["l04_revive"] = with_ctes("stored") + f"""
 SELECT id, 'active' AS lifecycle_state, {tier(NOW)} AS tier FROM stored WHERE lifecycle_state = 'archived'"""
 
+SQL["l04_mark_stale"] = with_ctes("stored") + """
+SELECT id, 'stale' AS lifecycle_state, 'warm' AS tier FROM stored WHERE importance < 0.5e0 AND NOT saved"""
+SQL["l04_archive"] = with_ctes("stored") + """
+SELECT id, 'archived' AS lifecycle_state, 'cold' AS tier FROM stored WHERE lifecycle_state = 'stale'"""
+
 _TOPICS = "list_filter([" + ", ".join(
     f"CASE WHEN {hit('norm', p)} THEN {q(t)} END" for t, p in lx.CONFLICT_TOPICS) + "], lambda t: t IS NOT NULL)"
 SQL["l05_conflict_topics"] = with_ctes("memt") + f"""

@@ -122,6 +122,9 @@ SQL["g11_similar_by_tags"] = similar("tset")
 SQL["g10_similar_by_domain"] = with_ctes("gm") + """
 SELECT a.id, b.id AS neighbour_id, row_number() OVER (PARTITION BY a.id ORDER BY b.importance DESC, b.id) AS rank
 FROM gm a JOIN gm b ON a.domain = b.domain AND a.id <> b.id QUALIFY rank <= 3"""
+SQL["g10_domain_links"] = with_ctes("gm") + "SELECT id, domain, count(*) OVER (PARTITION BY domain) - 1 AS links FROM gm"
+SQL["g10_expand_domains"] = with_ctes("gm") + """
+SELECT a.id, b.id AS neighbour_id FROM gm a JOIN gm b ON a.domain = b.domain AND a.id <> b.id WHERE a.saved"""
 SQL["g12_keyword_cooccurrence"] = with_ctes("skw") + """
 SELECT a.term AS keyword_a, b.term AS keyword_b, count(*) AS cooccurrences FROM skw a JOIN skw b ON a.id = b.id AND a.term < b.term GROUP BY 1, 2"""
 

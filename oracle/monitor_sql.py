@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from memlake.functions import lexicon as lx
 from memlake.sources.logs import ERRORS
-from oracle.base import NOW, any_term, d, define, hours, in_list, q, r6, with_ctes
+from oracle.base import NOW, any_term, d, define, hours, in_list, q, r6, trim, with_ctes
 
 SQL: dict[str, str] = {}
 
@@ -51,6 +51,9 @@ FROM (SELECT session_id, count(*) AS turn_count FROM ev GROUP BY 1) t LEFT JOIN
 _TTL = "CAST(floor(least(604800e0, greatest(3600e0, 7200e0 + (604800e0 - 7200e0) * relevance)) + 0.5e0) AS BIGINT)"
 SQL["r19_working_set_ttl"] = with_ctes("wsets") + f"""
 SELECT session_id, memory_count, turn_count, {r6('relevance')} AS relevance, {_TTL} AS ttl_seconds FROM wsets"""
+SQL["r19_unexpired"] = with_ctes("wsets") + f"""
+SELECT session_id, ttl_seconds FROM (SELECT session_id, newest, {_TTL} AS ttl_seconds FROM wsets)
+WHERE (epoch_us({NOW}) - epoch_us(newest)) / 1000000e0 < ttl_seconds"""
 SQL["m01_session_overview"] = with_ctes("wsets") + f"""
 SELECT session_id, strftime(newest, '%Y-%m-%d %H:%M:%S') AS updated_at, memory_count, turn_count, {_TTL} AS ttl_seconds FROM wsets"""
 SQL["m02_sessions_by_recency"] = with_ctes("ev") + f"""
@@ -86,7 +89,7 @@ SQL["m06_event_rate"] = with_ctes("req") + f"""
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, route, count(*) AS events, {r6('count(*) / 300e0')} AS per_second FROM w GROUP BY ws, route"""
 SQL["m06_error_rate"] = with_ctes("req") + f"""
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) FILTER (status >= 500) AS errors, count(*) AS requests,
-  {r6('count(*) FILTER (status >= 500)::DOUBLE / count(*)')} AS error_share FROM req GROUP BY date_trunc('hour', ts)"""
+  {r6('count(*) FILTER (status >= 500) / 3600e0')} AS errors_per_second, {r6('count(*) FILTER (status >= 500)::DOUBLE / count(*)')} AS error_share FROM req GROUP BY date_trunc('hour', ts)"""
 SQL["m07_cache_hit_ratio"] = with_ctes("req") + f"""
 SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start,
   count(*) FILTER (cache_hit) AS hits, count(*) AS requests, {r6('count(*) FILTER (cache_hit)::DOUBLE / count(*)')} AS hit_ratio
@@ -113,6 +116,21 @@ SQL["m11_summary_batches"] = with_ctes("ev") + """
       ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS ls FROM ev)
 SELECT session_id, event_id, a AS assistant_turn, len(ls) AS turns, sha256(array_to_string(ls, chr(10))) AS transcript_digest,
   0.72e0 AS importance, 0.85e0 AS confidence FROM w WHERE role = 'assistant' AND a % 2 = 0 AND len(ls) >= 4"""
-SQL["x04_rate_violations"] = with_ctes("req") + """
-SELECT client_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests
-FROM req GROUP BY client_id, date_trunc('hour', ts) HAVING count(*) > 2"""
+SQL["x04_rate_violations"] = with_ctes("req").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, seq AS (SELECT client_id, ts, row_number() OVER (PARTITION BY client_id ORDER BY ts) AS n FROM req)
+, run AS (
+  SELECT client_id, n, ts, ts AS start, 1 AS request_count FROM seq WHERE n = 1
+  UNION ALL
+  SELECT s.client_id, s.n, s.ts, CASE WHEN s.ts >= r.start + INTERVAL 3600 SECOND THEN s.ts ELSE r.start END,
+    CASE WHEN s.ts >= r.start + INTERVAL 3600 SECOND THEN 1 ELSE r.request_count + 1 END
+  FROM run r JOIN seq s ON s.client_id = r.client_id AND s.n = r.n + 1)
+SELECT client_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, request_count FROM run WHERE request_count > 2"""
+SQL["x04_stream_rate_violations"] = SQL["x04_rate_violations"]
+SQL["m10_list_dead_letters"] = with_ctes("atts") + _DLQ + """
+SELECT job_id, job_type, attempt, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM dlq ORDER BY dlq.ts DESC, job_id DESC LIMIT 50"""
+SQL["m11_summary_memories"] = SQL["m11_summary_batches"].replace("a % 2 = 0", "a % 4 = 0").replace(
+    "SELECT session_id, event_id, a AS assistant_turn", ", due AS (SELECT session_id, event_id, a AS assistant_turn", 1).replace(
+    "sha256(array_to_string(ls, chr(10))) AS transcript_digest", "array_to_string(ls, chr(10)) AS transcript") + f""")
+, said AS (SELECT *, {trim('substr(transcript, 1, 200)')} AS content FROM due)
+SELECT session_id, event_id, assistant_turn, content, CASE WHEN len(content) <= 140 THEN content ELSE substr(content, 1, 137) || '...' END AS summary,
+  'semantic' AS memory_type, importance FROM said WHERE len(content) >= 10"""

@@ -11,7 +11,7 @@ define("qs", ["ev"], f"""
 SELECT l.event_id AS query_id, l.session_id, l.user_id, l.content AS query_text, {tokens('l.content')} AS qt, e.embedding::DOUBLE[] AS qv,
   len(string_split_regex(regexp_replace(lower({trim('l.content')}), '[^a-z0-9{WS}]', '', 'g'), '[{WS}]+')) <= 2
    AND {any_term(f"regexp_replace(lower({trim('l.content')}), '[^a-z0-9{WS}]', '', 'g')", lx.STORE_SMALL_TALK_WORDS)} AS small
-FROM (SELECT * FROM ev WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, event_id DESC) = 1) l
+FROM (SELECT * FROM ev WHERE role = 'user') l
 LEFT JOIN embeddings e ON e.vec_id = (l.conv_id * 8 + l.turn + 1) % 500""")
 define("sv", ["stored"], f"""
 SELECT s.*, e.embedding::DOUBLE[] AS emb, {tokens('s.summary')} AS st FROM stored s LEFT JOIN embeddings e ON e.vec_id = s.vec_id""")

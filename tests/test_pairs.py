@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.config import ConsolidationConfig
 from memlake.functions import text as tx
-from memlake.operators import consolidate, dedup, graph, grouping, lifecycle, ordered
+from memlake.operators import consolidate, dedup, graph, grouping, lifecycle, monitor, ordered
 from memlake.operators.vector_search import nearest
 
 NOW = "2024-06-01 00:00:00"
@@ -201,13 +201,31 @@ def test_positions_of_a_key_over_many_ranges(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 9)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     placed = ordered.with_position(df, ["k"], ["v"]).collect()
-    summed = ordered.with_running_sum(df, ["k"], ["v"], F.col("v"), "total").collect()
+    summed = ordered.with_running(df, ["k"], ["v"], total=F.col("v")).collect()
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert {(r.k, r.v): r.position for r in placed} == {x: p for x, (p, _) in want.items()}
     assert {(r.k, r.v): r.total for r in summed} == {x: t for x, (_, t) in want.items()}
 
 
+def test_domain_links_hold_every_pair(spark):
+    rows = [(f"m{i}", None if i % 11 == 0 else f"d{i % 3}") for i in range(40)] + [("lone", "alone")]
+    links = graph.domain_links(spark.createDataFrame(rows, "id string, domain string"))
+    want = {(a, b) for (a, x), (b, y) in itertools.product(rows, rows) if a != b and x is not None and x == y}
+    ids = spark.createDataFrame([(i,) for i, _ in rows], "id string")
+    assert {tuple(r) for r in graph.expand_domains(links, ids).collect()} == want
+    assert {r.id: r.links for r in links.collect()} == {i: sum(a == i for a, _ in want) for i, x in rows if x is not None}
+
+
+def test_summaries_of_one_long_session(spark):
+    rows = [("s", "u", f"e{i:05d}", i, "assistant" if i % 2 else "user", f"t{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "session_id string, user_id string, event_id string, at long, role string, content string").withColumn(
+        "created_at", F.timestamp_seconds("at"))
+    got = {r.event_id: (r.assistant_turn, r.turns, r.transcript) for r in monitor.summary_batches(df, every=20).collect()}
+    line = lambda i: ("Assistant: " if i % 2 else "User: ") + f"t{i}"
+    assert got == {f"e{40 * n - 1:05d}": (20 * n, 40, "\n".join(line(i) for i in range(40 * n - 40, 40 * n))) for n in range(1, 23)}
+
+
 def test_similar_memories_with_a_hot_signature(spark):
     keywords = {f"m{i:03d}": (["redis", "queue"] if i % 2 else ["redis", "queue", WORDS[i % 7]]) for i in range(40)}
     bridge = spark.createDataFrame([(i, "s", k) for i, ks in keywords.items() for k in ks], "id string, session_id string, keyword string")

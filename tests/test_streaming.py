@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from memlake.operators import monitor
 from memlake.plans.streaming_queries import run_to_end
 from memlake.streaming import jobs, state
 
@@ -16,25 +17,29 @@ def in_files(spark, df, path, parts):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/p=*")
 
 
-def test_rate_limit_window_starts_at_first_request(spark, tmp_path):
+def test_every_request_over_the_limit_has_a_row(spark, tmp_path):
+    """Many requests share a second, and seconds and windows are cut by micro-batches."""
     rng = random.Random(1)
-    rows, clock = [], 1_700_000_000
-    for n in range(300):
-        clock += rng.choice([0, 1, 1, 2, 9])
-        rows.append((rng.choice(["hot", "hot", "c1", "c2"]), clock, n // 100))
-    df = spark.createDataFrame(rows, "client_id string, sec bigint, part int").select(
-        "client_id", F.timestamp_seconds("sec").alias("ts"), "part")
-    stream = in_files(spark, df, str(tmp_path / "in"), 3)
-    got = {(r.client_id, r.second, r.request_count) for r in run_to_end(state.rate_violations(stream, 5, 60)).collect()}
-    expected, windows = {}, {}
-    for client, second, part in rows:
+    rows, clock = [], 1_700_000_000_000_000
+    for n in range(600):
+        clock += rng.choice([0, 0, 1_000, 300_000, 900_000, 9_000_000])
+        rows.append((rng.choice(["hot", "hot", "hot", "c1", "c2"]), clock, n))
+    expected, windows = [], {}
+    for client, at, _ in rows:
         start, n = windows.get(client, (None, 0))
-        if start is None or second >= start + 60:
-            start, n = second, 0
+        if start is None or at >= start + 60_000_000:
+            start, n = at, 0
         windows[client] = (start, n + 1)
         if n + 1 > 5:
-            expected[(client, second, part)] = n + 1
-    assert {(c, s, n) for (c, s, _), n in expected.items()} == got
+            expected.append((client, at, n + 1))
+    base = spark.createDataFrame(rows, "client_id string, at bigint, n int")
+    for parts in (1, 4):
+        df = base.select("client_id", F.timestamp_micros("at").alias("ts"), F.floor(F.col("n") * parts / 600).cast("int").alias("part"))
+        stream = in_files(spark, df, str(tmp_path / f"in{parts}"), parts)
+        got = run_to_end(state.rate_violations(stream, 5, 60)).select("client_id", F.unix_micros("ts"), "request_count").collect()
+        assert sorted(map(tuple, got)) == sorted(expected)
+    batch = monitor.rate_violations(df, 5, 60).select("client_id", F.unix_micros("ts"), "request_count").collect()
+    assert sorted(map(tuple, batch)) == sorted(expected)
 
 
 def test_session_state_counts_turns(spark, tmp_path):
