@@ -164,7 +164,7 @@ def conflict_topics(norm: Column) -> Column:
         F.when(matches(norm, pattern), F.lit(topic)) for topic, pattern in lx.CONFLICT_TOPICS]))
 
 
-def _claim_id() -> Column:
+def claim_id() -> Column:
     """256-bit name of a user's statement."""
     return F.sha2(F.to_json(F.struct("user_id", F.coalesce("memory_type", F.lit("")).alias("t"),
                                      F.coalesce("category", F.lit("")).alias("c"), "content")), 256)
@@ -175,7 +175,7 @@ def _claims(df: DataFrame) -> DataFrame:
     keys = ["user_id", "memory_type", "category", "content"]
     claims = df.select(*keys).distinct()
     claims = claims.withColumns({
-        "claim": _claim_id(),
+        "claim": claim_id(),
         "norm": normalize_text(F.col("content")), "words": conflict_tokens(F.col("content"))})
     return claims.withColumns({
         "tokens": F.array_distinct(tokenize(F.col("norm"))), "topics": conflict_topics(F.col("norm"))})
@@ -224,12 +224,46 @@ def _block_pairs(left: DataFrame, right: DataFrame, keys: str, lowest: float) ->
         F.col("b.claim").alias("other_claim"))
 
 
+def _overlapping_pairs(claims: DataFrame, lowest: float) -> DataFrame:
+    """Pairs of claims of three tokens or more that share a content word and enough tokens for the band.
+
+    Tokens of a claim are ordered by how rare they are among the user's claims.
+    A pair with a token overlap of ``j`` shares one of the first
+    ``n - ceil(j n) + 1`` tokens of either, so the most frequent tokens open no
+    block; of what meets, the places of the first shared token bound the overlap.
+    Token counts and ordered claims are written before they are joined, so that
+    Spark can split the rows of a frequent token.
+    """
+    j = lowest - 0.005
+    keep = ["user_id", "claim", "memory_type", "category", "words"]
+    each = claims.select("user_id", "claim", F.explode("tokens").alias("token"))
+    counts = materialize(each.groupBy("user_id", "token").agg(F.count("*").alias("f")), "claim-token-counts")
+    ordered = each.join(counts, ["user_id", "token"]).groupBy("claim").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("f", "token"))), lambda e: F.xxhash64(e["token"])).alias("tokens"))
+    sides = claims.select(*keep).join(ordered, "claim").withColumns({
+        "n": F.size("tokens"), "words": F.transform("words", lambda w: F.xxhash64(w))})
+    sides = materialize(sides.withColumn("prefix", F.expr(f"slice(tokens, 1, n - int(ceil({j} * n - 1e-9)) + 1)")), "claim-prefixes")
+    keyed = sides.select("*", F.posexplode("prefix").alias("spot", "key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
+    ahead = F.lit(1) + F.least(F.col("a.n") - F.col("a.spot"), F.col("b.n") - F.col("b.spot")) - 1
+    condition = (
+        (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.claim") != F.col("b.claim"))
+        & F.coalesce(F.col("a.category") == F.col("b.category"), F.lit(True)) & _types_fit("a.memory_type", "b.memory_type")
+        & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * j)
+        & (ahead >= (F.col("a.n") + F.col("b.n")) * (j / (1 + j)) - 1e-9)
+        & (F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.key"))
+        & (shared >= (F.col("a.n") + F.col("b.n") - shared) * j) & F.arrays_overlap("a.words", "b.words"))
+    return a.join(b, condition).select(
+        F.col("a.user_id").alias("user_id"), F.col("a.claim").alias("claim"), F.col("b.claim").alias("other_claim"))
+
+
 def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS,
                         claims: DataFrame | None = None) -> DataFrame:
     """Pairs of claims worth comparing: ``user_id, claim, other_claim``.
 
-    Same user, fitting types, equal category where both have one, and a shared
-    content word.  A claim without content words is compared with every other
+    Same user, fitting types, equal category where both have one, a shared
+    content word and, from three tokens on, the overlap that the band needs.  A claim without content words is compared with every other
     one in the definition; only partners sharing a token or a run of
     characters can reach the similarity band, so those are found through
     tokens and character trigrams instead of a cross join.
@@ -239,7 +273,9 @@ def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS,
         raise ValueError("trigram blocking needs a similarity band that starts at 0.21 or above")
     claims = materialize(_claims(with_category(df)), "claims") if claims is None else claims
     worded = claims.where(F.size("words") > 0)
-    pairs = _block_pairs(worded, worded, "words", lowest)
+    long_, short = worded.where(F.size("tokens") >= 3), worded.where(F.size("tokens") < 3)
+    pairs = _overlapping_pairs(long_, lowest).unionByName(_block_pairs(short, worded, "words", lowest)).unionByName(
+        _block_pairs(long_, short, "words", lowest))
     wordless = claims.where(F.size("words") == 0)
     users = wordless.select("user_id").distinct()
     peers = claims.join(users, "user_id", "left_semi")
@@ -289,7 +325,7 @@ def _conflict_score(best_confidence: Column, times_differ: Column) -> Column:
 
 def _members(df: DataFrame) -> DataFrame:
     return with_category(df).select(
-        "id", "user_id", _claim_id().alias("claim"),
+        "id", "user_id", claim_id().alias("claim"),
         F.coalesce("confidence", F.lit(0.5)).alias("conf"),
         F.coalesce("confidence", F.lit(0.0)).alias("conf0"), F.col("created_at").alias("at"))
 
@@ -330,6 +366,11 @@ def conflict_records(pairs: DataFrame, df: DataFrame, others: DataFrame, as_of,
                        prefer.alias("prefer_other"), as_timestamp(as_of).alias("detected_at"))
 
 
+def factored_conflicts(df: DataFrame, config: LifecycleConfig = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """(claim pairs in the band, ``claim, id`` of all members): every link without a row for each pair of copies."""
+    return claim_conflicts(df, config), _members(df).select("claim", "id")
+
+
 def detect_conflicts(df: DataFrame, as_of, config: LifecycleConfig = DEFAULTS) -> DataFrame:
     """All conflict records of a table."""
     return conflict_records(claim_conflicts(df, config), df, df, as_of, config)

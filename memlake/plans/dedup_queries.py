@@ -178,9 +178,28 @@ def l05_conflict_topics(spark, sf_dir):
 
 
 def l06_conflict_candidates(spark, sf_dir):
-    """Candidate pairs of the similarity band, per user: how many distinct statement pairs."""
-    pairs = lifecycle.claim_conflicts(inputs.stored(spark, sf_dir))
-    return pairs.groupBy("user_id").agg(F.count("*").alias("claim_pairs"))
+    """Pairs of statements that are worth comparing."""
+    df = inputs.stored(spark, sf_dir)
+    return _with_texts(lifecycle.conflict_candidates(df), df).select(
+        "user_id", "content", "memory_type", "other_content", "other_type")
+
+
+def _with_texts(pairs, df):
+    """Claim pairs with the statements and how many memories make them."""
+    said = df.groupBy("user_id", "memory_type", "content", F.lit(None).cast("string").alias("category")).agg(F.count("*").alias("n"))
+    said = said.select(lifecycle.claim_id().alias("claim"), "content", "memory_type", "n")
+    other = said.select(F.col("claim").alias("other_claim"), F.col("content").alias("other_content"),
+                        F.col("memory_type").alias("other_type"), F.col("n").alias("other_n"))
+    return pairs.join(said, "claim").join(other, "other_claim")
+
+
+def l07_factored_conflicts(spark, sf_dir):
+    """Contradicting statements with the number of memories on either side."""
+    df = inputs.stored(spark, sf_dir)
+    pairs, _ = lifecycle.factored_conflicts(df)
+    return _with_texts(pairs, df).select(
+        "user_id", "content", "memory_type", "other_content", "other_type", "similarity", F.col("n").alias("members"),
+        F.col("other_n").alias("other_members"))
 
 
 def l07_detect_conflicts(spark, sf_dir):

@@ -178,8 +178,16 @@ SELECT *, {r2('score')} AS confidence FROM (
 SELECT *, (CASE WHEN len(shared) > 0 AND similarity < 0.88e0 THEN 0.5e0 ELSE 0e0 END) + {r2('band')} * 0.25e0 + greatest(mc, pc) * 0.15e0
    + (CASE WHEN mt <> pt THEN 0.1e0 ELSE 0e0 END) AS score
 FROM (SELECT *, (similarity - 0.35e0) / (0.88e0 - 0.35e0) AS band FROM cpairs WHERE similarity >= 0.25e0 AND similarity < 0.92e0))""")
-SQL["l06_conflict_candidates"] = with_ctes("cpairs") + """
-SELECT user_id, count(DISTINCT (ta, ca, tb, cb)) AS claim_pairs FROM cpairs WHERE similarity >= 0.25e0 AND similarity < 0.92e0 GROUP BY 1"""
+SQL["l06_conflict_candidates"] = with_ctes("cl") + """
+SELECT DISTINCT a.user_id, a.content, a.memory_type, b.content AS other_content, b.memory_type AS other_type
+FROM cl a JOIN cl b ON a.user_id = b.user_id AND (a.content <> b.content OR a.memory_type <> b.memory_type)
+WHERE (a.memory_type = b.memory_type OR (a.memory_type = 'semantic' AND b.memory_type = 'factual')) AND len(list_intersect(a.words, b.words)) > 0
+  AND (len(a.nt) < 3 OR len(b.nt) < 3
+    OR len(list_intersect(a.nt, b.nt)) >= 0.245e0 * (len(a.nt) + len(b.nt) - len(list_intersect(a.nt, b.nt))))"""
+SQL["l07_factored_conflicts"] = with_ctes("cpairs") + """
+SELECT user_id, ca AS content, ta AS memory_type, cb AS other_content, tb AS other_type, similarity,
+  count(DISTINCT id) AS members, count(DISTINCT conflicting_id) AS other_members
+FROM cpairs WHERE similarity >= 0.25e0 AND similarity < 0.92e0 GROUP BY ALL"""
 _REC = "crec WHERE confidence >= 0.5e0"
 SQL["l07_detect_conflicts"] = with_ctes("crec") + f"""
 SELECT id, conflicting_id, similarity, confidence,

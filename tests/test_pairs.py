@@ -208,6 +208,36 @@ def test_positions_of_a_key_over_many_ranges(spark):
     assert {(r.k, r.v): r.total for r in summed} == {x: t for x, (_, t) in want.items()}
 
 
+def test_conflict_candidates_equal_all_pairs(spark):
+    """A word that all claims have, claims of one to eight words, copies and two users."""
+    texts = [t + " service" for t in random_texts(70, 21, 0, 7)] + random_texts(20, 22, 1, 2)
+    rows = [(f"m{i:03d}", f"u{i % 5 // 4}", ("semantic", "factual")[i % 7 == 0], t, 0.5, 0.5, 1) for i, t in enumerate(texts + texts[:9])]
+    df = memories(spark, rows)
+    claims = {r.claim: r for r in lifecycle._claims(lifecycle.with_category(df)).collect()}
+    fits = lambda a, b: a == b or (a, b) == ("semantic", "factual")
+    want = set()
+    for a, b in itertools.permutations(claims.values(), 2):
+        x, y = set(a.tokens), set(b.tokens)
+        if a.user_id == b.user_id and fits(a.memory_type, b.memory_type) and set(a.words) & set(b.words) and (
+                min(len(x), len(y)) < 3 or len(x & y) >= 0.245 * len(x | y)):
+            want.add((a.user_id, a.claim, b.claim))
+    found = [tuple(r) for r in lifecycle.conflict_candidates(df).collect()]
+    assert sorted(found) == sorted(want) and len(want) > 200
+
+
+def test_one_user_with_many_claims_that_share_a_word(spark):
+    rng = random.Random(5)
+    word = lambda: f"word{rng.randrange(20_000)}"
+    texts = ["service " + " ".join(word() for _ in range(6)) for _ in range(15_000)]
+    pairs = [(f"{t} first", f"{t} second") for t in texts[:40]]
+    texts = texts[40:] + [t for p in pairs for t in p]
+    df = memories(spark, [(f"m{i}", "u", "semantic", t, 0.5, 0.5, 1) for i, t in enumerate(texts)])
+    name = {r.content: r.claim for r in lifecycle.with_category(df).select("content", lifecycle.claim_id().alias("claim")).collect()}
+    found = {(r.claim, r.other_claim) for r in lifecycle.conflict_candidates(df).collect()}
+    assert all((name[a], name[b]) in found and (name[b], name[a]) in found for a, b in pairs)
+    assert len(found) < 15_000  # of 225 million ordered pairs that share the word
+
+
 def test_domain_links_hold_every_pair(spark):
     rows = [(f"m{i}", None if i % 11 == 0 else f"d{i % 3}") for i in range(40)] + [("lone", "alone")]
     links = graph.domain_links(spark.createDataFrame(rows, "id string, domain string"))
