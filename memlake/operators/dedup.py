@@ -154,7 +154,7 @@ def _rare_first(reps: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE_THRESHOLD, *,
-                   id_col: str = "id", text_col: str = "content", scorer=None) -> DataFrame:
+                   id_col: str = "id", text_col: str = "content", scorer=None, keys=None) -> DataFrame:
     """Near-duplicate pairs within ``scope``; ids must be unique.
 
     Texts with the same normal form are joined to their smallest id as a star
@@ -163,12 +163,16 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
     prefix filter: two token sets with Jaccard ≥ t share a token among the
     first ``n − ⌈t·n⌉ + 1`` of any common order, here rarest first.
 
-    ``scorer`` may replace the similarity of candidate pairs: a callable from
-    two text columns to a score column.
+    ``scorer`` may replace the similarity: a callable from two text columns to a
+    score column.  The token filter says nothing about another score, so its
+    caller gives ``keys`` as well: a callable from the text column to an array
+    of blocking keys, of which any pair that reaches ``threshold`` shares one.
     """
+    if (scorer is None) != (keys is None):
+        raise ValueError("a scorer needs blocking keys, and keys a scorer")
     long_bound = threshold - 0.005
     bound = (threshold - 0.005 - 0.4) / 0.6
-    if bound <= 0:
+    if bound <= 0 and scorer is None:
         raise ValueError("near_dup_pairs needs a threshold above 0.41")
     norm = normalize_text(F.col(text_col))
     prepared = df.select(*scope, F.col(id_col).alias("id"), F.col(text_col).alias("text"), norm.alias("norm"))
@@ -184,6 +188,18 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
     reps = prepared.where(F.size("tokens") > 0).join(
         heads.select(F.col("rep").alias("id")), "id", "left_semi").withColumnRenamed("id", "rep")
 
+    if scorer is not None:
+        sides = reps.select(*scope, "rep", "text", F.array_distinct(keys(F.col("text"))).alias("keys")).withColumn(
+            "key", F.explode("keys"))
+        a, b = sides.alias("a"), sides.alias("b")
+        meet = (F.col("a.rep") < F.col("b.rep")) & (
+            F.element_at(F.array_intersect("a.keys", "b.keys"), 1) == F.col("a.key"))
+        for c in [*scope, "key"]:
+            meet = meet & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+        scored = a.join(b, meet).select(*[F.col(f"a.{c}").alias(c) for c in scope], F.col("a.rep").alias("id_a"),
+                                        F.col("b.rep").alias("id_b"), scorer(F.col("a.text"), F.col("b.text")).alias("similarity"))
+        return copies.unionByName(scored.where(F.col("similarity") >= threshold).withColumn("kind", F.lit("similar")))
+
     n = F.col("n")
     # texts that can only meet others of three tokens or more need the Jaccard bound itself
     reachable = F.when(n <= max(2.0, 2 / bound), bound).otherwise(long_bound)
@@ -208,14 +224,11 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
             F.col("rep").alias(f"id_{side}"), F.col("text").alias(f"text_{side}"),
             F.col("norm").alias(f"norm_{side}"), F.col("tokens").alias(f"tokens_{side}")),
             f"id_{side}")
-    if scorer is None:
-        # settle the Jaccard bound first; few short texts remain for the character part
-        both_long = F.least(F.size("tokens_a"), F.size("tokens_b")) >= 3
-        pairs = pairs.where(jaccard(F.col("tokens_a"), F.col("tokens_b")) >= F.when(
-            both_long, long_bound).otherwise(bound) - 1e-9)
-        scored = with_similarity(pairs, "norm_a", "norm_b", "tokens_a", "tokens_b")
-    else:
-        scored = pairs.withColumn("similarity", scorer(F.col("text_a"), F.col("text_b")))
+    # settle the Jaccard bound first; few short texts remain for the character part
+    both_long = F.least(F.size("tokens_a"), F.size("tokens_b")) >= 3
+    pairs = pairs.where(jaccard(F.col("tokens_a"), F.col("tokens_b")) >= F.when(
+        both_long, long_bound).otherwise(bound) - 1e-9)
+    scored = with_similarity(pairs, "norm_a", "norm_b", "tokens_a", "tokens_b")
     similar = scored.where(F.col("similarity") >= threshold).select(
         *scope, "id_a", "id_b", "similarity", F.lit("similar").alias("kind"))
     return copies.unionByName(similar)

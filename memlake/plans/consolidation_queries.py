@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from memlake.functions.text import round6
@@ -53,6 +54,16 @@ def c07_consolidate(spark, sf_dir):
         F.array_join("tags", "|").alias("tags"))
 
 
+def u02_summarise_hook(spark, sf_dir):
+    """Facts with a caller's summary: the openings of the first two member texts."""
+    @F.pandas_udf("string")
+    def openings(texts: pd.Series, topic: pd.Series) -> pd.Series:
+        return topic + ": " + texts.map(lambda t: " / ".join(x[:40] for x in t[:2]))
+
+    facts = consolidate.consolidate(inputs.groups(spark, sf_dir), inputs.AS_OF, summarise=openings)
+    return facts.select("group_id", "topic", "summary")
+
+
 def c08_needs_reconsolidation(spark, sf_dir):
     return consolidate.needs_reconsolidation(_earlier_facts(spark, sf_dir), _facts(spark, sf_dir)).select(
         "existing_id", "group_id", round6(F.col("new_fraction")).alias("new_fraction"), "needed")
@@ -244,4 +255,4 @@ def s12_usage_rows(spark, sf_dir):
 
 
 QUERIES = {name: fn for name, fn in list(globals().items())
-           if name[:1] in "cs" and name[1:3].isdigit()}
+           if name[:1] in "csu" and name[1:3].isdigit()}

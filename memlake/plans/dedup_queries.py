@@ -177,6 +177,29 @@ def l05_conflict_topics(spark, sf_dir):
     return df.select("id", F.array_join(topics, "|").alias("topics")).where("topics <> ''")
 
 
+def u01_custom_scorer(spark, sf_dir):
+    """Statements of a user that begin alike, by edit distance; many share few tokens."""
+    def score(a, b):
+        return F.floor((1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))) * 10_000) / 10_000
+
+    df = inputs.stored(spark, sf_dir)
+    return dedup.near_dup_pairs(df, ["user_id"], 0.3, scorer=score, keys=lambda t: F.array(F.substring(t, 1, 6))).where(
+        "kind = 'similar'").select("user_id", "id_a", "id_b", "similarity")
+
+
+def u03_embed_hook(spark, sf_dir):
+    """Vectors of the statements that have none yet, by a caller's function."""
+    def embed(texts):
+        return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+    df = inputs.stored(spark, sf_dir)
+    known = df.where("saved").select(dedup.embedding_key(F.col("content"), "default").alias("key"),
+                                     F.lit("2024-05-31 12:00:00").cast("timestamp").alias("embedded_at")).distinct()
+    fresh = dedup.unseen_texts(df, known, inputs.AS_OF, text_col="content")
+    return dedup.embed_texts(fresh, embed).select("key", F.get("embedding", F.lit(0)).cast("int").alias("length"),
+                                                  F.get("embedding", F.lit(1)).cast("int").alias("spaces"))
+
+
 def l06_conflict_candidates(spark, sf_dir):
     """Pairs of statements that are worth comparing."""
     df = inputs.stored(spark, sf_dir)
@@ -223,4 +246,4 @@ def l09_fan_out_lifecycle(spark, sf_dir):
 
 
 QUERIES = {name: fn for name, fn in list(globals().items())
-           if name[:1] in "dtl" and name[1:3].isdigit()}
+           if name[:1] in "dtlu" and name[1:3].isdigit()}

@@ -96,6 +96,9 @@ SQL["c07_consolidate"] = with_ctes("n_fact") + """
 SELECT group_id, id, user_id, topic, CASE WHEN len(s) > 200 THEN substr(s, 1, 197) || '…' ELSE s END AS summary,
   array_to_string(source_ids, '|') AS source_ids, confidence, importance, status, severity, coalesce(tags, 'consolidated') AS tags
 FROM src LEFT JOIN tg USING (group_id)"""
+SQL["u02_summarise_hook"] = with_ctes("n_pl", "n_topic") + """
+SELECT group_id, topic, topic || ': ' || summary AS summary FROM n_topic JOIN (
+  SELECT group_id, string_agg(substr(content, 1, 40), ' / ' ORDER BY position) AS summary FROM n_pl WHERE position <= 2 GROUP BY 1) USING (group_id)"""
 define("rec", ["n_fact", "o_fact"], """
 SELECT o.id AS existing_id, o.source_ids AS old_ids, n.group_id, n.user_id, n.source_ids, n.confidence, n.importance, n.status,
   len(list_filter(n.source_ids, lambda s: NOT list_contains(o.source_ids, s)))::DOUBLE / len(n.source_ids) AS new_fraction, o.status AS old_status, n.has_active

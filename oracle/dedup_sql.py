@@ -178,6 +178,16 @@ SELECT *, {r2('score')} AS confidence FROM (
 SELECT *, (CASE WHEN len(shared) > 0 AND similarity < 0.88e0 THEN 0.5e0 ELSE 0e0 END) + {r2('band')} * 0.25e0 + greatest(mc, pc) * 0.15e0
    + (CASE WHEN mt <> pt THEN 0.1e0 ELSE 0e0 END) AS score
 FROM (SELECT *, (similarity - 0.35e0) / (0.88e0 - 0.35e0) AS band FROM cpairs WHERE similarity >= 0.25e0 AND similarity < 0.92e0))""")
+SQL["u03_embed_hook"] = with_ctes("stored") + """
+SELECT DISTINCT sha256('default:' || content) AS key, len(content)::INTEGER AS length, (len(content) - len(replace(content, ' ', '')))::INTEGER AS spaces
+FROM stored w WHERE len(content) < 24 OR NOT EXISTS (SELECT 1 FROM stored e WHERE e.saved AND e.content = w.content)"""
+SQL["u01_custom_scorer"] = with_ctes("stored") + f"""
+, reps AS (SELECT user_id, {normalized('content')} AS norm, min(id) AS id FROM stored GROUP BY 1, 2)
+, t AS (SELECT r.user_id, r.id, s.content FROM reps r JOIN stored s ON s.id = r.id)
+SELECT * FROM (SELECT a.user_id, a.id AS id_a, b.id AS id_b,
+    floor((1 - levenshtein(a.content, b.content)::DOUBLE / greatest(len(a.content), len(b.content))) * 10000) / 10000 AS similarity
+  FROM t a JOIN t b ON a.user_id = b.user_id AND a.id < b.id AND substr(a.content, 1, 6) = substr(b.content, 1, 6))
+WHERE similarity >= 0.3e0"""
 SQL["l06_conflict_candidates"] = with_ctes("cl") + """
 SELECT DISTINCT a.user_id, a.content, a.memory_type, b.content AS other_content, b.memory_type AS other_type
 FROM cl a JOIN cl b ON a.user_id = b.user_id AND (a.content <> b.content OR a.memory_type <> b.memory_type)

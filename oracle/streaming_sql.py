@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from oracle.base import d, r6, with_ctes
 from oracle import monitor_sql  # noqa: F401  (log CTEs)
-from oracle import retrieval_sql, consolidation_sql  # noqa: F401
+from oracle import retrieval_sql, consolidation_sql, text_sql  # noqa: F401
 
 SQL: dict[str, str] = {}
 SQL["x02_drop_duplicate_jobs"] = with_ctes("att").replace("WITH ", "WITH RECURSIVE ", 1) + """
@@ -21,6 +21,11 @@ SQL["x02_drop_duplicate_jobs"] = with_ctes("att").replace("WITH ", "WITH RECURSI
 SELECT ikey AS idempotency_key, job_id, attempt FROM run WHERE runs"""
 SQL["x03_quarantine_invalid"] = """
 SELECT event_id, CASE WHEN event_type = 'signup' OR event_type = 'error' THEN 'dead' ELSE 'kept' END AS sink FROM events"""
+SQL["x05_stream_session_state"] = text_sql.SQL["p23_infer_session_state"].replace(
+    "SELECT c.session_id, w.event_id AS last_event_id,", "SELECT c.session_id, turns,", 1).replace(
+    "  substr(content, 1, 180) AS last_user_intent,\n", "", 1).replace(
+    "counts AS (SELECT session_id,", "counts AS (SELECT session_id, least(12, count(*)) AS turns,", 1)
+SQL["x07_stream_sweeps"] = with_ctes("n_fact") + "SELECT id, topic, status, len(source_ids) AS n_sources FROM n_fact"
 SQL["x06_stream_dedup_upsert"] = with_ctes("stored") + "SELECT session_id, fingerprint, memory_type FROM stored"
 SQL["x08_stream_metrics"] = with_ctes("req") + f"""
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, route, count(*) AS requests, count(*) FILTER (status >= 500) AS errors,
