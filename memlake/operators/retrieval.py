@@ -9,7 +9,9 @@ and, for vector search, ``embedding``.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -402,6 +404,82 @@ def working_set(queries: DataFrame, channels: list[DataFrame], as_of, k: int | N
     return rerank(rows, as_of, k, config=config)
 
 
+def _carry(k: int):
+    """Sets of a session's turns one after another; only the set of the turn before is kept."""
+    columns = ["query_id", "id", "rank", "score", "arrival"]
+
+    def settle(held: list[tuple], turn: list[tuple]) -> list[tuple]:
+        """Rows of (key, importance, arrival, id, score): the turn's own and those carried, best first."""
+        scored = {r[3]: r[4] for r in turn if r[5]}
+        rows = [(key, importance, 1, id_, scored.get(id_, score)) for key, importance, _, id_, score in held]
+        single: dict = {}
+        for r in [*rows, *(r[:5] for r in turn)]:
+            best = single.get(r[0])
+            if best is None or (-r[1], r[2], r[3]) < (-best[1], best[2], best[3]):
+                single[r[0]] = r
+        return sorted(single.values(), key=lambda r: (-r[4], r[2], r[3]))[:k]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, query, small, held, turn, out = None, None, False, [], [], []
+
+        def close() -> list[tuple]:
+            kept = [] if small else settle(held, turn)
+            out.extend((query, r[3], i, r[4], r[2]) for i, r in enumerate(kept, 1))
+            return kept
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if r.query_id != query:
+                    if query is not None:
+                        held = close()
+                    if r.session_id != session:
+                        held = []
+                    session, query, small, turn = r.session_id, r.query_id, r.small_talk, []
+                if r.id is not None:
+                    turn.append((r.key, r.importance, r.arrival, r.id, r.score, r.scored))
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out.clear()
+        if query is not None:
+            close()
+            yield pd.DataFrame(out, columns=columns)
+    return run
+
+
+def carried_working_sets(queries: DataFrame, channels: dict[int, DataFrame], as_of, k: int | None = None, *,
+                         config: RetrievalConfig = DEFAULTS) -> DataFrame:
+    """``query_id, rank, id, score, arrival``: the working set of every turn, with what the turn before left.
+
+    ``channels`` by arrival (0 seeds, 2 facts, 3 vectors, 4 hybrid; 1 is the
+    previous set) have the columns of :func:`working_set`; ``queries`` also
+    ``query_at``.  A memory keeps its scores from turn to turn until a channel scores it
+    again; of rows with one fingerprint the most important, then earliest channel's stays;
+    a greeting gets and leaves an empty set.  A session's turns pass through one
+    task in order, which holds the rows of one turn.
+    """
+    k = k or config.top_k
+    columns = ["query_id", "query_session_id", "id", "session_id", "fingerprint", "importance",
+               "created_at", "vector_score", "lexical_score"]
+    rows = None
+    for arrival, channel in channels.items():
+        part = channel.select(*columns, F.lit(arrival).alias("arrival"))
+        rows = part if rows is None else rows.unionByName(part)
+    scores = rows.where(F.col("vector_score").isNotNull()).groupBy(
+        "query_id", "id").agg(F.max_by(F.struct("vector_score", "lexical_score"), "arrival").alias("s"))
+    rows = rows.drop("vector_score", "lexical_score").join(scores, ["query_id", "id"], "left").select(
+        "*", F.col("s.vector_score").alias("vector_score"), F.col("s.lexical_score").alias("lexical_score"),
+        F.col("s").isNotNull().alias("scored")).drop("s")
+    key = F.when(F.length("fingerprint") > 0, F.col("fingerprint")).otherwise(F.col("id"))
+    scored = hybrid_score(rows, as_of, config).select(
+        "query_id", "id", key.alias("key"), F.coalesce("importance", F.lit(0.0)).alias("importance"), "arrival", "score", "scored")
+    turns = queries.select(F.col("query_id").cast("string").alias("query_id"), "session_id", "query_at",
+                           F.coalesce(sc.is_small_talk(F.col("query_text")), F.lit(False)).alias("small_talk"))
+    return turns.join(scored, "query_id", "left").repartition("session_id").sortWithinPartitions(
+        "session_id", "query_at", "query_id").select(
+        "session_id", "query_id", "small_talk", "id", "key", "importance", "arrival", "score", "scored").mapInPandas(
+        _carry(k), "query_id string, id string, rank int, score double, arrival int")
+
+
 # -- working-set lifetime ------------------------------------------------------------
 
 def memory_score() -> Column:

@@ -23,7 +23,7 @@ def asked(spark, sf_dir):
     turn = F.substring_index("event_id", "-", -1).cast("long")
     rows = turns.select(
         F.col("event_id").alias("query_id"), "event_id", "session_id", "user_id",
-        F.col("content").alias("query_text"), ((conv * 8 + turn + 1) % 500).alias("vec_id"))
+        F.col("content").alias("query_text"), F.col("created_at").alias("query_at"), ((conv * 8 + turn + 1) % 500).alias("vec_id"))
     return materialize(corpus.with_embeddings(spark, sf_dir, rows), "queries")
 
 
@@ -195,5 +195,27 @@ def r18_working_set(spark, sf_dir):
         "query_id", "rank", "id", round6(F.col("score")).alias("score"))
 
 
+def r18_carried_working_set(spark, sf_dir):
+    """Every turn's set from five channels, with the previous turn's set and the user's best facts behind its first row."""
+    q = asked(spark, sf_dir)
+    m = inputs.stored_with_vectors(spark, sf_dir)
+    columns = ["query_id", "query_session_id", "id", "session_id", "fingerprint", "importance", "created_at",
+               "vector_score", "lexical_score"]
+    nothing = F.lit(None).cast("double")
+    seeds = retrieval.seed_memories(q, extract.extract_candidates(inputs.chat_events(spark, sf_dir).where("role = 'user'"), inputs.AS_OF))
+    seeds = seeds.withColumns({"vector_score": nothing, "lexical_score": nothing}).select(*columns)
+    facts, near = retrieval.keyword_topk(q, m, inputs.AS_OF), retrieval.vector_topk(q, m, inputs.AS_OF)
+    sessions = q.select(F.col("query_id").cast("string").alias("query_id"), F.col("session_id").alias("query_session_id"))
+    hybrid = _hybrid(spark, sf_dir, True).select("query_id", "id", "vector_score", (F.col("keyword_score") * 5).alias("lexical_score")).join(
+        m.select("id", "session_id", "fingerprint", "importance", "created_at"), "id").join(sessions, "query_id").select(*columns)
+    channels = {0: seeds, 2: facts.select(*columns), 3: near.select(*columns), 4: hybrid}
+    sets = materialize(retrieval.carried_working_sets(q, channels, inputs.AS_OF), "working-sets")
+    facts = consolidate.consolidate(inputs.groups(spark, sf_dir), inputs.AS_OF)
+    active = q.join(sets.select("query_id").distinct(), "query_id", "left_semi")
+    placed = retrieval.inject_consolidations(sets, facts, active)
+    return placed.join(sets.select("query_id", "id", "score", "arrival"), ["query_id", "id"], "left").select(
+        "query_id", "position", "id", "kind", round6(F.col("score")).alias("score"), (F.col("arrival") == 1).alias("carried"))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items())
            if name[:1] in "rd" and name[1:3].isdigit()}

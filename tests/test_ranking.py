@@ -1,5 +1,7 @@
 """Ranking scenarios on a fixed set of ten memories, and lifecycle and monitoring cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,50 @@ def test_scratch_folder_must_be_shared(spark):
     with pytest.raises(ValueError):
         scratch_dir(Bare, "x")
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_working_sets_carry_over_turns(spark):
+    """Five channels over the turns of two sessions against a plain loop."""
+    rng = random.Random(8)
+    ids = [f"m{i:02d}" for i in range(14)]
+    memory = {i: (f"f{n % 11}", round(rng.random(), 2), f"s{n % 2}") for n, i in enumerate(ids)}
+    turns = [(f"s{s}-{t}", f"s{s}", "thanks" if (s, t) == (0, 3) else f"tell me about item {t}", t) for s in range(2) for t in range(7)]
+    rows = {a: [] for a in (0, 2, 3, 4)}
+    for q, session, *_ in turns:
+        for arrival in rows:
+            for i in rng.sample(ids, rng.randint(0, 3)):
+                scores = (None, None) if arrival == 0 else (round(rng.random(), 2), float(rng.randint(0, 5)))
+                rows[arrival].append((q, session, i, memory[i][2], memory[i][0], memory[i][1], *scores))
+    schema = ("query_id string, query_session_id string, id string, session_id string, fingerprint string, importance double, "
+              "vector_score double, lexical_score double")
+    frames = {a: spark.createDataFrame(r, schema).withColumn("created_at", F.lit(NOW).cast("timestamp")) for a, r in rows.items()}
+    queries = spark.createDataFrame(turns, "query_id string, session_id string, query_text string, t int").withColumn(
+        "query_at", F.timestamp_seconds(F.col("t") * 60))
+    got = {}
+    for r in retrieval.carried_working_sets(queries.repartition(5), frames, NOW, 4).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.id, round(r.score, 6), r.arrival)
+
+    held, want = {}, {}
+    for q, session, text, _ in turns:
+        if text == "thanks":
+            held[session] = []
+            continue
+        mine = [(a, r) for a in rows for r in rows[a] if r[0] == q]
+        latest = {}
+        for a, r in sorted(mine, key=lambda x: x[0]):
+            if r[6] is not None:
+                latest[r[2]] = (r[6], r[7])
+
+        def score(i, v, x):
+            return min(1.0, v * 0.5 + min(1.0, x / 5) * 0.2 + memory[i][1] * 0.2 + 0.1 + (0.04 if memory[i][2] == session else 0))
+
+        found = [(memory[i][0], -memory[i][1], 1, i, score(i, *latest[i]) if i in latest else old) for i, old in held.get(session, [])]
+        found += [(r[4], -r[5], a, r[2], score(r[2], *latest.get(r[2], (0.0, 0.0)))) for a, r in mine]
+        best = {}
+        for r in sorted(found):
+            best.setdefault(r[0], r)
+        kept = sorted(best.values(), key=lambda r: (-r[4], r[2], r[3]))[:4]
+        held[session] = [(r[3], r[4]) for r in kept]
+        if kept:
+            want[q] = {n: (r[3], round(r[4], 6), r[2]) for n, r in enumerate(kept, 1)}
+    assert got == want and any(x[2] == 1 for r in want.values() for x in r.values())
