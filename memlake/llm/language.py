@@ -29,7 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import whole_text
+from memlake.llm.common import bounded_broadcast, whole_text
+from memlake.session import materialize
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -124,22 +125,24 @@ def _count_part(batches):
 
 
 def fit(docs: DataFrame, labelled: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-        fit_docs: int = 3_000, size: int = 1_200) -> Profiles:
-    """Profiles of the languages named in the ``labelled`` rows.
+        fit_docs: int = 3_000, size: int = 1_200, broadcast_rows: int = 500_000) -> Profiles:
+    """Profiles of the languages named in the ``labelled`` rows, of at most ``fit_docs`` documents each.
 
-    Only ``size`` rows a language reach the driver.
+    Rows alike in id and text are one document there, and each counts.  Only ``size`` rows a language reach the driver.
     """
-    rows = docs.where(labelled & F.col(lang).isNotNull())
-    keyed = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"),
-                        F.xxhash64(F.col(doc_id).cast("string")).alias("h"))
-    # a hash range that holds about twice the sample, so that a frequent language is not ordered whole
+    rows = docs.where(labelled & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), whole_text(text).alias("text"))
+    keyed = rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.xxhash64("text").alias("t"))
+    documents = materialize(keyed.groupBy("lang").agg(F.count("*").alias("documents")), "language-counts")
+    # a hash range of about twice the sample, applied before the shuffle, so that a frequent language is not ordered whole
     share = F.lit(2.0 * fit_docs) / F.col("documents")
-    sized = keyed.join(keyed.groupBy("lang").agg(F.count("*").alias("documents")), "lang").where(
+    sized = keyed.join(bounded_broadcast(documents, documents.count(), broadcast_rows), "lang").where(
         F.pmod("h", F.lit(1 << 40)) <= share * F.lit(float(1 << 40)))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = sized.withColumn("n", F.row_number().over(first)).where(F.col("n") <= fit_docs).select("doc_id", "lang")
-    texts = rows.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    sample = chosen.distinct().join(texts, "doc_id").select("lang", "text")
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
+    chosen = sized.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= fit_docs)
+    chosen = materialize(chosen.select(F.col("doc_id").alias("of"), F.col("lang").alias("in"), "t"), "language-sample")
+    same = (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("t")) & (F.col("lang") == F.col("in"))
+    sample = rows.join(bounded_broadcast(chosen, chosen.count(), broadcast_rows), same, "left_semi").select("lang", "text")
     counts = sample.mapInPandas(_count_part, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = (counts.where("gram != 0").withColumn("rank", F.row_number().over(top))

@@ -253,7 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, doc_id: str = "doc
     for y in (0, 1):
         part = by_hash.where(F.col("y") == y).orderBy("h", "doc_id").limit(fit_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = texts.join(F.broadcast(chosen.select("doc_id", "y", "h")), "doc_id").toPandas()
+    # rows that repeat an id give one text, so no more than the chosen documents reach the driver
+    rows = texts.join(F.broadcast(chosen.select("doc_id", "y", "h")), "doc_id").groupBy("doc_id", "y", "h").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")).toPandas()
     rows = rows.sort_values(["h", "doc_id", "text"]).reset_index(drop=True)
     stands_for = tuple(max(1.0, counts.get(y, 0) / fit_docs) for y in (0, 1))
     return SubwordSoftmax(**model).train(rows["text"].tolist(), rows["y"].astype(int).tolist(), stands_for)
