@@ -14,9 +14,10 @@ from fractions import Fraction
 # These lists decide results, so they are stated plainly here.
 # --------------------------------------------------------------------------
 
-STOP_TERMS = (
-    "a an and are as at be but by do for how i in is it me my of on or our the this to we what you"
-).split()
+STOP_TERMS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "do", "for", "how", "i", "in", "is", "it", "me", "my",
+    "of", "on", "or", "our", "the", "this", "to", "we", "what", "you",
+]
 
 LOW_SIGNAL_PHRASES = ["hi", "hello", "thanks", "thank you", "okay", "ok", "cool", "great"]
 
@@ -158,14 +159,18 @@ CONTRACTIONS = [
     (r"you're\b", "you are"),
 ]
 
-CONFLICT_STOP_WORDS = (
-    "the and for are was were has have had not but with from that this they their our its now use "
-    "using used will can into onto been also more than then"
-).split()
-CONSOLIDATION_STOP_WORDS = CONFLICT_STOP_WORDS + (
-    "just all any some over such when there about which your would could should get got may his "
-    "her him she who what how why where yes let did does"
-).split()
+CONFLICT_STOP_WORDS = [
+    "the", "and", "for", "are", "was", "were", "has", "have", "had", "not", "but", "with", "from", "that", "this",
+    "they", "their", "our", "its", "now", "use", "using", "used", "will", "can", "into", "onto", "been", "also",
+    "more", "than", "then",
+]
+CONSOLIDATION_STOP_WORDS = [
+    "the", "and", "for", "are", "was", "were", "has", "have", "had", "not", "but", "with", "from", "that", "this",
+    "they", "their", "our", "its", "now", "use", "using", "used", "will", "can", "into", "onto", "been", "also",
+    "more", "than", "then", "just", "all", "any", "some", "over", "such", "when", "there", "about", "which", "your",
+    "would", "could", "should", "get", "got", "may", "his", "her", "him", "she", "who", "what", "how", "why",
+    "where", "yes", "let", "did", "does",
+]
 
 # topics looked up in two statements that may contradict each other
 CONFLICT_TOPICS = [
@@ -207,10 +212,11 @@ PREFERENCE_PATTERN = (
 DECISION_PHRASE_PATTERN = (
     r"\b(?:(?:i|we) decided(?: to)?|(?:i|we) chose|(?:i|we) picked|(?:i|we) went with)\s+"
     r"(.{3,60}?)(?:[,;.]|$)")
-PROPER_SKIP = (
-    "The This That These Those When Where What Which How Why Who Will Can Let Yes No Ok Just We I "
-    "My Our Its In On At For To From With And But Or If So Not"
-).split()
+PROPER_SKIP = [
+    "The", "This", "That", "These", "Those", "When", "Where", "What", "Which", "How", "Why", "Who", "Will", "Can",
+    "Let", "Yes", "No", "Ok", "Just", "We", "I", "My", "Our", "Its", "In", "On", "At", "For", "To", "From", "With",
+    "And", "But", "Or", "If", "So", "Not",
+]
 ENTITY_PRIORITY = [
     "person", "project", "organization", "task", "decision", "preference", "topic", "event",
 ]

@@ -59,6 +59,17 @@ def m04_latency_histogram(spark, sf_dir):
         "cumulative", "count", round6(F.col("sum")).alias("sum"))
 
 
+def m04_stage_histograms(spark, sf_dir):
+    """Request durations in the buckets of jobs, retrieval and reranking."""
+    log, out = _requests(spark, sf_dir), None
+    for stage, buckets in (("job", lx.JOB_BUCKETS), ("retrieval", lx.RETRIEVAL_BUCKETS), ("rerank", lx.RERANK_BUCKETS)):
+        part = monitor.latency_histogram(log, buckets, keys=["route"]).select(
+            F.lit(stage).alias("stage"), "route", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")).alias("le"),
+            "cumulative", "count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def m05_histogram_quantile(spark, sf_dir):
     histogram = monitor.latency_histogram(_requests(spark, sf_dir), lx.HTTP_BUCKETS, keys=["route"])
     out = None

@@ -126,6 +126,10 @@ SQL["x04_rate_violations"] = with_ctes("req").replace("WITH ", "WITH RECURSIVE "
   FROM run r JOIN seq s ON s.client_id = r.client_id AND s.n = r.n + 1)
 SELECT client_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, request_count FROM run WHERE request_count > 2"""
 SQL["x04_stream_rate_violations"] = SQL["x04_rate_violations"]
+SQL["m04_stage_histograms"] = with_ctes("req") + " UNION ALL ".join(f"""
+SELECT '{stage}' AS stage, route, le, count(*) FILTER (le < 0 OR duration_s <= le) AS cumulative, count(*) AS count
+FROM req, (SELECT unnest({[*map(float, buckets), -1.0]})::DOUBLE AS le) GROUP BY route, le"""
+    for stage, buckets in (("job", lx.JOB_BUCKETS), ("retrieval", lx.RETRIEVAL_BUCKETS), ("rerank", lx.RERANK_BUCKETS)))
 SQL["m10_list_dead_letters"] = with_ctes("atts") + _DLQ + """
 SELECT job_id, job_type, attempt, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM dlq ORDER BY dlq.ts DESC, job_id DESC LIMIT 50"""
 SQL["m11_summary_memories"] = SQL["m11_summary_batches"].replace("a % 2 = 0", "a % 4 = 0").replace(

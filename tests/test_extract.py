@@ -28,7 +28,7 @@ def extracted(spark, *rows):
 
 def test_identity_statement(spark):
     (row,) = extracted(spark, (
-        "user", "My name is Orlaith and I prefer tidy records for the orchard project.", "2026-04-21 10:00:00"))
+        "user", "On Sundays I prefer planning the orchard project in 2 long walks, and my name is Orlaith", "2026-04-21 10:00:00"))
     assert row.memory_type == "factual" and row.domain == "identity"
     assert row.confidence > 0.7 and row.importance > 0.7
     assert "identity" in row.tags and "preference" in row.tags
