@@ -92,3 +92,27 @@ def test_sweeps_keep_numeric_looking_users_apart_in_several_batches(spark, tmp_p
     jobs.stream_sweeps(stream, table, facts, str(tmp_path / "cp"), inputs.AS_OF, buckets=4, available_now=True).awaitTermination()
     out = spark.read.parquet(facts).collect()
     assert out and len({r.id for r in out}) == len(out) and all(r.user_id.startswith("00") for r in out)
+
+
+def test_repeated_batches_into_a_filled_table_change_nothing(spark, tmp_path):
+    """A table of early memories, then two batches of later ones, with and without the first batch again at the end."""
+    from memlake.plans import inputs
+    from memlake.sources import corpus, tables
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = corpus.with_embeddings(spark, sf_dir, corpus.with_usage(inputs.candidates(spark, sf_dir)))
+    day = F.dayofyear("created_at") % 3
+    rows = spark.createDataFrame(rows.withColumn("part", day.cast("int")).collect(), rows.withColumn("part", day.cast("int")).schema)
+    found = []
+    for n, order in enumerate(([1, 2], [1, 2, 1])):
+        table, source = str(tmp_path / f"table{n}"), str(tmp_path / f"in{n}")
+        tables.write_upsert(rows.where("part = 0").drop("part"), table, 4)
+        before = {(r.session_id, r.fingerprint) for r in spark.read.parquet(table).collect()}
+        for i, part in enumerate(order):
+            rows.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{source}/p={i}")
+        stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/p=*")
+        jobs.stream_dedup_upsert(stream, table, str(tmp_path / f"cp{n}"), buckets=4, available_now=True).awaitTermination()
+        kept = spark.read.parquet(table).select("session_id", "fingerprint", "id", "content", "importance").collect()
+        assert before <= {(r.session_id, r.fingerprint) for r in kept} and len(kept) > len(before)
+        found.append(sorted(map(tuple, kept)))
+    assert found[0] == found[1]
