@@ -235,9 +235,8 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
 def redact(docs: DataFrame, *, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets."""
     plain = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    # written once, so that the patterns run once for the fit and the redaction
-    proposed = materialize(propose(plain), "pii-rows")
-    chosen = select(proposed, *fit(proposed))
+    # the patterns run again for the redaction: keeping their spans would keep a copy of every text
+    chosen = select(propose(plain), *fit(propose(docs.select(F.col(text).alias("text")))))
     name = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     found = F.size("spans") > 0
     new = F.when(found, spans.replaced(whole_text("text"), F.col("spans"), lambda k: F.get(name, k))).otherwise(F.col("text"))
