@@ -12,9 +12,12 @@ from memlake.streaming import jobs, state
 
 
 def table_stream(spark, sf_dir, name):
-    """One parquet table of the directory as a stream."""
+    """One parquet table of the directory, a file or a folder of files, as a stream.
+
+    The stream source takes a single file through a pattern only.
+    """
     schema = corpus.read_table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def run_to_end(stream, mode: str = "append"):

@@ -116,3 +116,12 @@ def test_repeated_batches_into_a_filled_table_change_nothing(spark, tmp_path):
         assert before <= {(r.session_id, r.fingerprint) for r in kept} and len(kept) > len(before)
         found.append(sorted(map(tuple, kept)))
     assert found[0] == found[1]
+
+
+def test_a_table_in_several_files_is_streamed_whole(spark, tmp_path):
+    from memlake.plans import streaming_queries
+
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    for source in (str(tmp_path), "/root/testdata/sf0.001"):
+        rows = streaming_queries.x05_stream_session_state(spark, source).collect()
+        assert {r.session_id for r in rows} == {f"s{i}" for i in range(20)}
