@@ -125,3 +125,12 @@ def test_a_table_in_several_files_is_streamed_whole(spark, tmp_path):
     for source in (str(tmp_path), "/root/testdata/sf0.001"):
         rows = streaming_queries.x05_stream_session_state(spark, source).collect()
         assert {r.session_id for r in rows} == {f"s{i}" for i in range(20)}
+
+
+def test_extraction_from_several_files_equals_a_single_file(spark, tmp_path):
+    from memlake.plans import streaming_queries
+
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    split, single = (sorted(map(tuple, streaming_queries.x01_stream_extract(spark, d).collect())) for d in (str(tmp_path), source))
+    assert split == single and single
