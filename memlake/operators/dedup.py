@@ -185,8 +185,7 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
         F.col("id") != F.col("rep")).select(
         *scope, F.col("rep").alias("id_a"), F.col("id").alias("id_b"),
         F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"))
-    reps = prepared.where(F.size("tokens") > 0).join(
-        heads.select(F.col("rep").alias("id")), "id", "left_semi").withColumnRenamed("id", "rep")
+    reps = prepared.join(heads.select(F.col("rep").alias("id")), "id", "left_semi").withColumnRenamed("id", "rep")
 
     if scorer is not None:
         sides = reps.select(*scope, "rep", "text", F.array_distinct(keys(F.col("text"))).alias("keys")).withColumn(
@@ -200,6 +199,7 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
                                         F.col("b.rep").alias("id_b"), scorer(F.col("a.text"), F.col("b.text")).alias("similarity"))
         return copies.unionByName(scored.where(F.col("similarity") >= threshold).withColumn("kind", F.lit("similar")))
 
+    reps = reps.where(F.size("tokens") > 0)
     n = F.col("n")
     # texts that can only meet others of three tokens or more need the Jaccard bound itself
     reachable = F.when(n <= max(2.0, 2 / bound), bound).otherwise(long_bound)

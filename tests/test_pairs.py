@@ -269,3 +269,21 @@ def test_similar_memories_with_a_hot_signature(spark):
     for i, ks in keywords.items():
         near = [o for o, os in keywords.items() if o != i and len(set(ks) & set(os)) >= 2]
         assert got[i] == sorted(near, key=lambda o: (-importance[o], o))[:3]
+
+
+def test_a_scorer_sees_texts_without_tokens_and_bytes(spark, tmp_path):
+    """Stop terms only, and letters of two bytes; the threshold is 0.3."""
+    df = memories(spark, [("a", "u", "semantic", "the of and", 0.5, 0.5, 1), ("b", "u", "semantic", "the of an", 0.5, 0.5, 1)])
+    score = lambda x, y: 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
+    found = dedup.near_dup_pairs(df, ["user_id"], 0.3, scorer=score, keys=lambda t: F.array(F.substring(t, 1, 4))).collect()
+    assert [(r.id_a, r.id_b, r.kind) for r in found] == [("a", "b", "similar")]
+
+
+def test_edits_are_counted_in_bytes(spark, monkeypatch):
+    from memlake.plans import dedup_queries
+
+    df = memories(spark, [("a", "u", "semantic", "begin äöüäöüäöü", 0.5, 0.5, 1), ("b", "u", "semantic", "begin xyzxyzxyz", 0.5, 0.5, 1),
+                          ("c", "u", "semantic", "begin xyzxyzxyü", 0.5, 0.5, 1)])
+    monkeypatch.setattr(dedup_queries.inputs, "stored", lambda *_: df)
+    found = {(r.id_a, r.id_b): r.similarity for r in dedup_queries.u01_custom_scorer(spark, "").collect()}
+    assert found == {("b", "c"): 0.8666}
