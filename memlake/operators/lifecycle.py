@@ -258,6 +258,16 @@ def _overlapping_pairs(claims: DataFrame, lowest: float) -> DataFrame:
         F.col("a.user_id").alias("user_id"), F.col("a.claim").alias("claim"), F.col("b.claim").alias("other_claim"))
 
 
+def worded_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS, claims: DataFrame | None = None) -> DataFrame:
+    """The pairs of :func:`conflict_candidates` that share a content word."""
+    lowest = config.conflict_similarity
+    claims = materialize(_claims(with_category(df)), "claims") if claims is None else claims
+    worded = claims.where(F.size("words") > 0)
+    long_, short = worded.where(F.size("tokens") >= 3), worded.where(F.size("tokens") < 3)
+    return _overlapping_pairs(long_, lowest).unionByName(_block_pairs(short, worded, "words", lowest)).unionByName(
+        _block_pairs(long_, short, "words", lowest))
+
+
 def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS,
                         claims: DataFrame | None = None) -> DataFrame:
     """Pairs of claims worth comparing: ``user_id, claim, other_claim``.
@@ -272,10 +282,7 @@ def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS,
     if lowest < 0.21:
         raise ValueError("trigram blocking needs a similarity band that starts at 0.21 or above")
     claims = materialize(_claims(with_category(df)), "claims") if claims is None else claims
-    worded = claims.where(F.size("words") > 0)
-    long_, short = worded.where(F.size("tokens") >= 3), worded.where(F.size("tokens") < 3)
-    pairs = _overlapping_pairs(long_, lowest).unionByName(_block_pairs(short, worded, "words", lowest)).unionByName(
-        _block_pairs(long_, short, "words", lowest))
+    pairs = worded_candidates(df, config, claims)
     wordless = claims.where(F.size("words") == 0)
     users = wordless.select("user_id").distinct()
     peers = claims.join(users, "user_id", "left_semi")

@@ -287,3 +287,14 @@ def test_edits_are_counted_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(dedup_queries.inputs, "stored", lambda *_: df)
     found = {(r.id_a, r.id_b): r.similarity for r in dedup_queries.u01_custom_scorer(spark, "").collect()}
     assert found == {("b", "c"): 0.8666}
+
+
+def test_statements_without_content_words_are_no_l06_pairs(spark, monkeypatch):
+    from memlake.plans import dedup_queries
+
+    df = memories(spark, [("a", "u", "semantic", "At that.", 0.5, 0.5, 1), ("b", "u", "semantic", "Use redis at that.", 0.5, 0.5, 1),
+                          ("c", "u", "semantic", "Use redis now.", 0.5, 0.5, 1)])
+    monkeypatch.setattr(dedup_queries.inputs, "stored", lambda *_: df)
+    found = {(r.content[-6:], r.other_content[-6:]) for r in dedup_queries.l06_conflict_candidates(spark, "").collect()}
+    assert found == {(" that.", "s now."), ("s now.", " that.")}
+    assert lifecycle.conflict_candidates(df).count() > 2
