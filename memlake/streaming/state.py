@@ -50,35 +50,43 @@ def rate_violations(requests: DataFrame, limit: int = 30, window_seconds: int =
 
 
 def skip_completed(jobs: DataFrame, failed: Column, key: str, ts: str, lifetime_days: int,
-                   lateness: str = "7 days") -> DataFrame:
-    """Rows of ``jobs`` that no earlier completed attempt of their key makes superfluous."""
+                   lateness: str = "7 days", buckets: int = 2048) -> DataFrame:
+    """Rows of ``jobs`` that no earlier completed attempt of their key makes superfluous.
+
+    A group is a bucket of keys, since a call for each key costs far more than
+    its few rows; state is the completion time of each key that still blocks.
+    """
     columns = jobs.columns
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     rows = jobs.withWatermark(ts, lateness).select(
-        F.col(key).alias("__key"), F.col(ts).alias("__ts"), F.unix_micros(ts).alias("__at"), failed.alias("__failed"),
-        F.to_json(F.struct(*columns)).alias("__row"))
+        F.pmod(F.xxhash64(key), F.lit(buckets)).alias("__bucket"), F.col(key).cast("string").alias("__key"),
+        F.col(ts).alias("__ts"), F.unix_micros(ts).alias("__at"), failed.alias("__failed"),
+        F.to_json(F.struct(*columns), exact).alias("__row"))
     lifetime = lifetime_days * 86_400_000_000
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
+        done, out = dict(zip(*held.get)) if held.exists else {}, []
+        if not held.hasTimedOut:
+            attempts = sorted((int(at), row, bool(bad), key) for b in batches
+                              for at, row, bad, key in zip(b["__at"], b["__row"], b["__failed"], b["__key"]))
+            for at, row, bad, key in attempts:
+                if key in done and done[key] <= at < done[key] + lifetime:
+                    continue
+                out.append(row)
+                if not bad:
+                    done[key] = at
+        passed = held.getCurrentWatermarkMs()
+        done = {k: at for k, at in done.items() if (at + lifetime) // 1000 > passed}
+        if done:
+            held.update((list(done), list(done.values())))
+            held.setTimeoutTimestamp((min(done.values()) + lifetime) // 1000)
+        elif held.exists:
             held.remove()
-            yield pd.DataFrame(columns=["row"])
-            return
-        done, out = held.get[0] if held.exists else None, []
-        attempts = sorted((int(at), row, bool(bad)) for b in batches for at, row, bad in zip(b["__at"], b["__row"], b["__failed"]))
-        for at, row, bad in attempts:
-            if done is not None and done <= at < done + lifetime:
-                continue
-            out.append(row)
-            if not bad:
-                done = at
-        if done is not None:
-            held.update((done,))
-            held.setTimeoutTimestamp(max((done + lifetime) // 1000, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"row": out})
 
-    kept = rows.groupBy("__key").applyInPandasWithState(
-        run, "row string", "done bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    return kept.select(F.from_json("row", jobs.schema).alias("r")).select("r.*")
+    kept = rows.groupBy("__bucket").applyInPandasWithState(
+        run, "row string", "keys array<string>, done array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(F.from_json("row", jobs.schema, exact).alias("r")).select("r.*")
 
 
 def session_state(events: DataFrame, turns: int = 12, ttl_hours: int = 24, ts: str = "created_at",

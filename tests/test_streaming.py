@@ -134,3 +134,15 @@ def test_extraction_from_several_files_equals_a_single_file(spark, tmp_path):
     spark.read.parquet(f"{source}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
     split, single = (sorted(map(tuple, streaming_queries.x01_stream_extract(spark, d).collect())) for d in (str(tmp_path), source))
     assert split == single and single
+
+
+def test_keys_of_one_bucket_expire_apart_and_times_stay_exact(spark, tmp_path):
+    day = 86_400_000_000
+    rows = [(f"k{i}", 1, None, i * 7 + 1, 0) for i in range(40)] + [(f"k{i}", 2, None, 6 * day + i, 1) for i in range(40)] + [
+        ("late", 1, None, 20 * day, 2)] + [(f"k{i}", 3, None, 20 * day + i, 3) for i in range(40)] + [(None, 1, None, 20 * day + 50, 3)]
+    df = spark.createDataFrame(rows, "idempotency_key string, attempt int, error_message string, n long, part int")
+    df = df.select("idempotency_key", "attempt", "error_message", F.timestamp_micros(F.col("n") + 1_700_000_000_000_000).alias("ts"), "part")
+    failed = F.col("error_message").isNotNull()
+    got = run_to_end(state.skip_completed(in_files(spark, df, str(tmp_path / "in"), 4), failed, "idempotency_key", "ts", 7, buckets=2))
+    found = {(r.idempotency_key, r.attempt, r.at) for r in got.withColumn("at", F.unix_micros("ts")).collect()}
+    assert found == {(k, a, n + 1_700_000_000_000_000) for k, a, _, n, _ in rows if a != 2}
