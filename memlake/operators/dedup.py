@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.functions.text import (
     as_timestamp, distinct_tokens, fingerprint, jaccard, normalize_text, pair_similarity,
@@ -136,23 +137,38 @@ def relatedness(pairs: DataFrame) -> DataFrame:
 FREQUENT_TOKENS = 20_000
 
 
-def _rare_first(reps: DataFrame, scope: list[str]) -> DataFrame:
-    """``scope…, rep, n, hashes``: token hashes of each text, rarest first.
+def _rare_first(reps: DataFrame, scope: list[str], seen: DataFrame) -> DataFrame:
+    """``scope…, rep, short, n, hashes``: token hashes of each text, rarest in ``seen`` first.
 
     Only the most frequent tokens need their counts, so the broadcast side has
     a fixed number of rows.
     """
-    tokens = reps.select(*scope, "rep", F.explode("tokens").alias("t")).select(
-        *scope, "rep", F.xxhash64("t").alias("h"))
-    frequent = tokens.groupBy("h").agg(F.count("*").alias("df")).orderBy(
+    frequent = seen.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count("*").alias("df")).orderBy(
         F.desc("df"), "h").limit(FREQUENT_TOKENS)
+    tokens = reps.select(*scope, "rep", "short", F.explode("tokens").alias("h"))
     ranked = tokens.join(F.broadcast(frequent), "h", "left")
     return ranked.groupBy(*scope, "rep").agg(
-        F.count("*").alias("n"),
+        F.max("short").alias("short"), F.count("*").alias("n"),
         F.transform(F.sort_array(F.collect_list(F.struct(
             F.coalesce("df", F.lit(0)).alias("df"), "h"))), lambda e: e["h"]).alias("hashes"))
 
 
+PARITY_WORDS = 8
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _parities(hashes: pd.Series) -> pd.Series:
+    """512 bits of each set, every one the parity of its tokens that fall there.
+
+    Two sets differ in at least as many tokens as their bits differ, whatever their size.
+    """
+    def of(h) -> np.ndarray:
+        spots = np.asarray(h, dtype=np.int64).view(np.uint64) >> np.uint64(55)
+        odd = (np.bincount(spots.astype(np.int64), minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)
+        return np.packbits(odd).view(np.int64)
+    return pd.Series([of(h) for h in hashes])
+
+
 def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE_THRESHOLD, *,
                    id_col: str = "id", text_col: str = "content", scorer=None, keys=None) -> DataFrame:
     """Near-duplicate pairs within ``scope``; ids must be unique.
@@ -177,8 +193,12 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
     norm = normalize_text(F.col(text_col))
     prepared = df.select(*scope, F.col(id_col).alias("id"), F.col(text_col).alias("text"), norm.alias("norm"))
     prepared = prepared.withColumns({
-        "digest": F.sha2("norm", 256), "tokens": F.array_distinct(tokenize(F.col("norm")))})
-    # normal forms and tokens are needed several times: written once, read by column
+        "digest": F.unhex(F.sha2("norm", 256)), "tokens": F.array_distinct(tokenize(F.col("norm")))})
+    # what is needed several times is written once; the character part concerns texts of few tokens alone
+    few = max(2.0, 2 / bound) if bound > 0 else 2.0
+    prepared = prepared.select(
+        *scope, "id", "digest", *(["text"] if scorer is not None else [
+            F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"), F.when(F.size("tokens") <= few, F.col("norm")).alias("short")]))
     prepared = materialize(prepared, "near-dup")
     heads = prepared.groupBy(*scope, "digest").agg(F.min("id").alias("rep"))
     copies = prepared.select(*scope, "id", "digest").join(heads, [*scope, "digest"]).where(
@@ -202,28 +222,37 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
     reps = reps.where(F.size("tokens") > 0)
     n = F.col("n")
     # texts that can only meet others of three tokens or more need the Jaccard bound itself
-    reachable = F.when(n <= max(2.0, 2 / bound), bound).otherwise(long_bound)
+    reachable = F.when(n <= few, bound).otherwise(long_bound)
     take = n - F.ceil(n * reachable - 1e-9).cast("int") + 1
-    keys = _rare_first(reps, scope).select(
-        *scope, "rep", "n", F.slice("hashes", F.lit(1), take.cast("int")).alias("prefix"))
-    exploded = keys.withColumn("key", F.explode("prefix"))
-    a, b = exploded.alias("a"), exploded.alias("b")
+    ranked = _rare_first(reps, scope, prepared).withColumn("parity", _parities("hashes"))
+    # written once: both sides of the join and the check of what meets read it
+    ranked = materialize(ranked, "near-dup-tokens")
+    spots = ranked.select(*scope, "rep", "n", "parity", F.slice("hashes", F.lit(1), take.cast("int")).alias("prefix")).select(
+        *scope, "rep", "n", "parity", "prefix", F.posexplode("prefix").alias("spot", "key"))
+    keyed = spots.select(*scope, "rep", "n", "parity", "spot", "key", F.slice("prefix", F.lit(1), F.col("spot")).alias("rarer"))
+    a, b = keyed.alias("a"), keyed.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*scope, "key"]]
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    close = small >= large * F.when(small < 3, bound).otherwise(long_bound) - 1e-9
-    first = F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.key")
-    condition = (F.col("a.rep") < F.col("b.rep")) & close & first
+    least = F.when(small < 3, bound).otherwise(long_bound)
+    both = F.col("a.n") + F.col("b.n")
+    # of the first shared token's places, and of the tokens known to differ, the overlap must still be possible
+    ahead = F.least(F.col("a.n") - F.col("a.spot"), F.col("b.n") - F.col("b.spot"))
+    apart = F.lit(0)
+    for i in range(PARITY_WORDS):
+        apart = apart + F.bit_count(F.get("a.parity", F.lit(i)).bitwiseXOR(F.get("b.parity", F.lit(i))))
+    condition = ((F.col("a.rep") < F.col("b.rep")) & (small >= large * least - 1e-9)
+                 & (ahead >= both * least / (1 + least) - 1e-9)
+                 & (both - apart >= 2 * both * least / (1 + least) - 1e-9)
+                 & ~F.arrays_overlap("a.rarer", "b.rarer"))
     for c in same:
         condition = condition & c
     pairs = a.join(b, condition).select(
         *[F.col(f"a.{c}").alias(c) for c in scope],
         F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b"))
-    texts = reps.select("rep", "text", "norm", "tokens")
     for side in "ab":
-        pairs = pairs.join(texts.select(
-            F.col("rep").alias(f"id_{side}"), F.col("text").alias(f"text_{side}"),
-            F.col("norm").alias(f"norm_{side}"), F.col("tokens").alias(f"tokens_{side}")),
-            f"id_{side}")
+        pairs = pairs.join(ranked.select(
+            F.col("rep").alias(f"id_{side}"), F.col("short").alias(f"norm_{side}"),
+            F.col("hashes").alias(f"tokens_{side}")), f"id_{side}")
     # settle the Jaccard bound first; few short texts remain for the character part
     both_long = F.least(F.size("tokens_a"), F.size("tokens_b")) >= 3
     pairs = pairs.where(jaccard(F.col("tokens_a"), F.col("tokens_b")) >= F.when(

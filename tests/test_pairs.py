@@ -298,3 +298,22 @@ def test_statements_without_content_words_are_no_l06_pairs(spark, monkeypatch):
     found = {(r.content[-6:], r.other_content[-6:]) for r in dedup_queries.l06_conflict_candidates(spark, "").collect()}
     assert found == {(" that.", "s now."), ("s now.", " that.")}
     assert lifecycle.conflict_candidates(df).count() > 2
+
+
+def test_parities_and_places_leave_few_pairs_to_check(spark, monkeypatch):
+    """Sixty texts of 100 of the same 200 words share rare words in their prefixes; only one is a near copy."""
+    rng = random.Random(3)
+    pool = [f"word{i}" for i in range(200)]
+    texts = [" ".join(rng.sample(pool, 100)) for _ in range(60)]
+    texts.append(texts[0] + " extra")
+    df = memories(spark, [(f"m{i:02d}", "u", "semantic", t, 0.5, 0.5, 1) for i, t in enumerate(texts)])
+    met, plain = [], dedup.with_similarity
+
+    def counted(pairs, *columns):
+        met.append(pairs.count())
+        return plain(pairs, *columns)
+
+    monkeypatch.setattr(dedup, "with_similarity", counted)
+    monkeypatch.setattr(dedup, "jaccard", lambda a, b: F.lit(1.0))  # leaves all that meet
+    found = dedup.near_dup_pairs(df, ["user_id"], 0.85)
+    assert {(r.id_a, r.id_b) for r in found.collect()} == {("m00", "m60")} and met[0] < 50
