@@ -148,6 +148,15 @@ def mark_conflicted(df: DataFrame, conflicts: DataFrame, as_of) -> DataFrame:
                   "conflicted", F.lit("warm"), as_of)
 
 
+def mark_conflict_counts(df: DataFrame, counts: DataFrame, as_of) -> DataFrame:
+    """Stamp rows with the totals of ``counts (id, conflict_count)``, as :func:`conflict_counts` gives them.
+
+    Copies that contradict copies need no record for each pair of them;
+    :func:`factored_conflicts` holds the links themselves.
+    """
+    return _stamp(df.join(counts, "id"), "conflicted", F.lit("warm"), as_of)
+
+
 def revive(df: DataFrame, ids: DataFrame, as_of) -> DataFrame:
     """Back to active, conflicts cleared, tier recomputed."""
     out = _stamp(_chosen(df, ids), "active", tier_of(as_of), as_of)

@@ -317,3 +317,15 @@ def test_parities_and_places_leave_few_pairs_to_check(spark, monkeypatch):
     monkeypatch.setattr(dedup, "jaccard", lambda a, b: F.lit(1.0))  # leaves all that meet
     found = dedup.near_dup_pairs(df, ["user_id"], 0.85)
     assert {(r.id_a, r.id_b) for r in found.collect()} == {("m00", "m60")} and met[0] < 50
+
+
+def test_marks_of_copies_need_no_record_for_each_pair(spark, monkeypatch):
+    from memlake.plans import dedup_queries
+
+    said = ["We use PostgreSQL for our backend database.", "We use MongoDB for our backend database."]
+    df = memories(spark, [(f"m{i:03d}", "u", "semantic", said[i % 2], 0.5, 0.9, i % 3 + 1) for i in range(60)])
+    records = lifecycle.detect_conflicts(df, dedup_queries.inputs.AS_OF).groupBy("id").count().collect()
+    monkeypatch.setattr(dedup_queries.inputs, "stored", lambda *_: df)
+    monkeypatch.delattr(lifecycle, "conflict_records")
+    found = dedup_queries.l04_mark_conflicted(spark, "").collect()
+    assert {(r.id, r.n_conflicts) for r in found} == {(r.id, r["count"]) for r in records} and len(found) == 60
