@@ -111,11 +111,12 @@ def vector_topk(queries: DataFrame, memories: DataFrame, as_of, k: int | None =
         "query_id", F.col("item_id").alias("id"), F.col("cosine").alias("vector_score"))
     columns = ["id", "session_id", "user_id", "content", "summary", "memory_type", "importance",
                "created_at", "access_count", "fingerprint"]
-    hits = near.join(memories.select(*columns), "id").join(asked.select(
+    # a memory is hit by many queries: its words are found once, in front of the join
+    shown = memories.select(*columns, tokenize(_shown_text()).alias("tokens"))
+    hits = near.join(shown, "id").join(asked.select(
         F.col("query_id").cast("string").alias("query_id"),
         F.col("session_id").alias("query_session_id"),
         tokenize(F.col("query_text")).alias("query_tokens")), "query_id")
-    hits = hits.withColumn("tokens", tokenize(_shown_text()))
     hits = hits.withColumn("lexical_score", query_overlap(
         F.col("query_tokens"), F.col("tokens"))).drop("query_tokens", "tokens")
     # the score bound keeps a prefix of the ranking, so it may follow the cut; in front of it

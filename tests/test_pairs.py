@@ -66,6 +66,28 @@ def test_merged_confidence_over_many_partitions(spark):
     assert got == expected
 
 
+def test_copies_of_a_vector_are_searched_once(spark, monkeypatch):
+    from memlake.operators import vector_search
+
+    sizes, write = {}, vector_search.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(vector_search, "materialize", counted)
+    vectors = [[1.0, 0.0], [0.6, 0.8], [0.0, 1.0]]
+    shape = "id string, user_id string, embedding array<float>"
+    items = spark.createDataFrame([(f"m{i:03d}", "u", vectors[i % 3]) for i in range(300)], shape)
+    queries = spark.createDataFrame([(f"q{i:03d}", "u", vectors[i % 2]) for i in range(200)], shape)
+    found = nearest(queries, items, 4, scope=["user_id"], query_id="id", block_items=5, block_queries=1).collect()
+    assert sizes["search-items"] == 3 * 4 and sizes["search-query-vectors"] == 2
+    # the smallest ids of the query's own vector, which has 100 copies
+    expected = {(f"q{i:03d}", f"m{3 * r + i % 2:03d}", 1.0, r + 1) for i in range(200) for r in range(4)}
+    assert {tuple(r) for r in found} == expected and len(found) == 800
+
+
 def test_nearest_blocks_do_not_change_the_result(spark):
     rng = np.random.default_rng(5)
     items = [(f"m{i:03d}", "hot" if i % 3 else f"u{i % 5}", rng.normal(size=8).round(3).tolist()) for i in range(300)]
