@@ -157,7 +157,7 @@ PARITY_WORDS = 8
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _parities(hashes: pd.Series) -> pd.Series:
+def token_parities(hashes: pd.Series) -> pd.Series:
     """512 bits of each set, every one the parity of its tokens that fall there.
 
     Two sets differ in at least as many tokens as their bits differ, whatever their size.
@@ -169,6 +169,14 @@ def _parities(hashes: pd.Series) -> pd.Series:
     return pd.Series([of(h) for h in hashes])
 
 
+def tokens_apart(a: str, b: str) -> Column:
+    """How many tokens two sets with these parities differ in at least."""
+    apart = F.lit(0)
+    for i in range(PARITY_WORDS):
+        apart = apart + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return apart
+
+
 def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE_THRESHOLD, *,
                    id_col: str = "id", text_col: str = "content", scorer=None, keys=None) -> DataFrame:
     """Near-duplicate pairs within ``scope``; ids must be unique.
@@ -224,7 +232,7 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
     # texts that can only meet others of three tokens or more need the Jaccard bound itself
     reachable = F.when(n <= few, bound).otherwise(long_bound)
     take = n - F.ceil(n * reachable - 1e-9).cast("int") + 1
-    ranked = _rare_first(reps, scope, prepared).withColumn("parity", _parities("hashes"))
+    ranked = _rare_first(reps, scope, prepared).withColumn("parity", token_parities("hashes"))
     # written once: both sides of the join and the check of what meets read it
     ranked = materialize(ranked, "near-dup-tokens")
     spots = ranked.select(*scope, "rep", "n", "parity", F.slice("hashes", F.lit(1), take.cast("int")).alias("prefix")).select(
@@ -237,9 +245,7 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
     both = F.col("a.n") + F.col("b.n")
     # of the first shared token's places, and of the tokens known to differ, the overlap must still be possible
     ahead = F.least(F.col("a.n") - F.col("a.spot"), F.col("b.n") - F.col("b.spot"))
-    apart = F.lit(0)
-    for i in range(PARITY_WORDS):
-        apart = apart + F.bit_count(F.get("a.parity", F.lit(i)).bitwiseXOR(F.get("b.parity", F.lit(i))))
+    apart = tokens_apart("a.parity", "b.parity")
     condition = ((F.col("a.rep") < F.col("b.rep")) & (small >= large * least - 1e-9)
                  & (ahead >= both * least / (1 + least) - 1e-9)
                  & (both - apart >= 2 * both * least / (1 + least) - 1e-9)

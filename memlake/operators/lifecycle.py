@@ -13,6 +13,7 @@ from memlake.functions.text import (
     as_timestamp, conflict_tokens, hours_between, matches, normalize_text, tokenize,
     with_rounded, with_similarity,
 )
+from memlake.operators.dedup import token_parities, tokens_apart
 from memlake.session import materialize
 
 DEFAULTS = LifecycleConfig()
@@ -202,10 +203,13 @@ def _types_fit(a: str, b: str) -> Column:
         (left == "semantic") & (right == "factual"))
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, keys: str, lowest: float) -> DataFrame:
+def _block_pairs(left: DataFrame, right: DataFrame, keys: str, lowest: float, few: str) -> DataFrame:
     """Claim pairs of one user that share an entry of the array column ``keys``.
 
     A pair sharing several entries is produced once, at its first shared entry.
+    The side ``few`` (``a`` is left) has few claims: it is written with its keys
+    first, so that Spark knows its size and can leave the other side, a row for
+    each key of every claim, where it is.
     """
     hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t))
 
@@ -214,7 +218,9 @@ def _block_pairs(left: DataFrame, right: DataFrame, keys: str, lowest: float) ->
                            hashed("tokens").alias("tokens"), hashed(keys).alias("keys"))
         return slim.withColumn("key", F.explode("keys"))
 
-    a, b = keyed(left).alias("a"), keyed(right).alias("b")
+    sides = {"a": keyed(left), "b": keyed(right)}
+    sides[few] = materialize(sides[few], "claim-keys")
+    a, b = sides["a"].alias("a"), sides["b"].alias("b")
     categories = F.coalesce(F.col("a.category") == F.col("b.category"), F.lit(True))
     shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
     union = F.size("a.tokens") + F.size("b.tokens") - shared
@@ -239,7 +245,8 @@ def _overlapping_pairs(claims: DataFrame, lowest: float) -> DataFrame:
     Tokens of a claim are ordered by how rare they are among the user's claims.
     A pair with a token overlap of ``j`` shares one of the first
     ``n - ceil(j n) + 1`` tokens of either, so the most frequent tokens open no
-    block; of what meets, the places of the first shared token bound the overlap.
+    block; of what meets, the places of the first shared token and the parities of
+    both token sets bound the overlap before any tokens are compared.
     Token counts and ordered claims are written before they are joined, so that
     Spark can split the rows of a frequent token.
     """
@@ -251,16 +258,19 @@ def _overlapping_pairs(claims: DataFrame, lowest: float) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("f", "token"))), lambda e: F.xxhash64(e["token"])).alias("tokens"))
     sides = claims.select(*keep).join(ordered, "claim").withColumns({
         "n": F.size("tokens"), "words": F.transform("words", lambda w: F.xxhash64(w))})
-    sides = materialize(sides.withColumn("prefix", F.expr(f"slice(tokens, 1, n - int(ceil({j} * n - 1e-9)) + 1)")), "claim-prefixes")
+    sides = sides.withColumn("prefix", F.expr(f"slice(tokens, 1, n - int(ceil({j} * n - 1e-9)) + 1)"))
+    sides = materialize(sides.withColumn("parity", token_parities("tokens")), "claim-prefixes")
     keyed = sides.select("*", F.posexplode("prefix").alias("spot", "key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
     ahead = F.lit(1) + F.least(F.col("a.n") - F.col("a.spot"), F.col("b.n") - F.col("b.spot")) - 1
+    both = F.col("a.n") + F.col("b.n")
     condition = (
         (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.claim") != F.col("b.claim"))
         & F.coalesce(F.col("a.category") == F.col("b.category"), F.lit(True)) & _types_fit("a.memory_type", "b.memory_type")
         & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * j)
-        & (ahead >= (F.col("a.n") + F.col("b.n")) * (j / (1 + j)) - 1e-9)
+        & (ahead >= both * (j / (1 + j)) - 1e-9)
+        & (both - tokens_apart("a.parity", "b.parity") >= both * (2 * j / (1 + j)) - 1e-9)
         & (F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.key"))
         & (shared >= (F.col("a.n") + F.col("b.n") - shared) * j) & F.arrays_overlap("a.words", "b.words"))
     return a.join(b, condition).select(
@@ -273,8 +283,8 @@ def worded_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS, claims:
     claims = materialize(_claims(with_category(df)), "claims") if claims is None else claims
     worded = claims.where(F.size("words") > 0)
     long_, short = worded.where(F.size("tokens") >= 3), worded.where(F.size("tokens") < 3)
-    return _overlapping_pairs(long_, lowest).unionByName(_block_pairs(short, worded, "words", lowest)).unionByName(
-        _block_pairs(long_, short, "words", lowest))
+    return _overlapping_pairs(long_, lowest).unionByName(_block_pairs(short, worded, "words", lowest, "a")).unionByName(
+        _block_pairs(long_, short, "words", lowest, "b"))
 
 
 def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS,
@@ -293,7 +303,7 @@ def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS,
     claims = materialize(_claims(with_category(df)), "claims") if claims is None else claims
     pairs = worded_candidates(df, config, claims)
     wordless = claims.where(F.size("words") == 0)
-    users = wordless.select("user_id").distinct()
+    users = materialize(wordless.select("user_id").distinct(), "wordless-users")
     peers = claims.join(users, "user_id", "left_semi")
 
     def with_grams(side: DataFrame) -> DataFrame:
@@ -306,9 +316,9 @@ def conflict_candidates(df: DataFrame, config: LifecycleConfig = DEFAULTS,
             F.col("tokens"), grams,
             F.when(F.length("norm") <= 5, small).otherwise(F.array().cast("array<string>")))))
 
-    one_way = _block_pairs(with_grams(wordless), with_grams(peers), "grams", lowest)
+    one_way = _block_pairs(with_grams(wordless), with_grams(peers), "grams", lowest, "a")
     other_way = _block_pairs(with_grams(peers.where(F.size("words") > 0)), with_grams(wordless),
-                             "grams", lowest)
+                             "grams", lowest, "b")
     return pairs.unionByName(one_way).unionByName(other_way)
 
 

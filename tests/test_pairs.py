@@ -247,6 +247,22 @@ def test_conflict_candidates_equal_all_pairs(spark):
     assert sorted(found) == sorted(want) and len(want) > 200
 
 
+def test_few_claims_without_words_leave_the_others_in_place(spark):
+    texts = [*random_texts(600, 8, 5, 9), "the then", "of that ha the is nt of on an"]
+    df = memories(spark, [(f"m{i}", "u", "factual", t, 0.5, 0.5, 1) for i, t in enumerate(texts)])
+    claims = lifecycle.materialize(lifecycle._claims(lifecycle.with_category(df)), "claims")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16384")
+    try:
+        pairs = lifecycle.conflict_candidates(df, claims=claims)
+        plan = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        # only statements of three tokens or more meet each other through a shuffle
+        assert plan.count("SortMergeJoin") == 1, plan
+        assert pairs.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_one_user_with_many_claims_that_share_a_word(spark):
     rng = random.Random(5)
     word = lambda: f"word{rng.randrange(20_000)}"
