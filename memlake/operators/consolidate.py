@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from memlake.config import ConsolidationConfig
 from memlake.functions import lexicon as lx
 from memlake.functions.text import (
-    as_timestamp, content_tokens, matches, normalize_text, tokenize, with_rounded, with_similarity,
+    as_timestamp, content_tokens, jaccard, matches, normalize_text, tokenize, with_rounded, with_similarity,
 )
 from memlake.operators.grouping import token_groups
 from memlake.operators.ordered import with_position
@@ -103,7 +103,12 @@ def group_conflicts(groups: DataFrame, config: ConsolidationConfig = DEFAULTS) -
         "group_id", F.col("p.a.id").alias("id_a"), F.col("p.b.id").alias("id_b"),
         F.col("p.a.norm").alias("an"), F.col("p.b.norm").alias("bn"),
         F.col("p.a.tokens").alias("at"), F.col("p.b.tokens").alias("bt"))
-    scored = with_similarity(flat, "an", "bn", "at", "bt").where(
+    # the token share is the similarity of all pairs but those of very short texts; it settles most
+    # pairs before the rest goes through Python
+    short = (F.size("at") < 3) | (F.size("bt") < 3)
+    share = jaccard(F.col("at"), F.col("bt"))
+    near = (share >= config.conflict_similarity_low - 0.01) & (share < config.conflict_similarity_high + 0.01)
+    scored = with_similarity(flat.where(short | near), "an", "bn", "at", "bt").where(
         (F.col("similarity") < config.conflict_similarity_high)
         & (F.col("similarity") >= config.conflict_similarity_low))
     sim = F.col("similarity")
