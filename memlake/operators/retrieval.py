@@ -22,7 +22,7 @@ from memlake.functions.text import (
     as_timestamp, hours_between, keyword_score, query_overlap, tokenize,
 )
 from memlake.operators.dedup import merge_by_id
-from memlake.operators.vector_search import nearest
+from memlake.operators.vector_search import shared_answers
 from memlake.operators.windows import numbered, top_k
 from memlake.session import materialize
 
@@ -107,18 +107,19 @@ def vector_topk(queries: DataFrame, memories: DataFrame, as_of, k: int | None =
     """
     k = k or config.top_k
     asked = _live_queries(queries)
-    near = nearest(asked, memories, 3 * k, scope=scope).select(
-        "query_id", F.col("item_id").alias("id"), F.col("cosine").alias("vector_score"))
+    asked_of, near = shared_answers(asked, memories, 3 * k, scope=scope)
     columns = ["id", "session_id", "user_id", "content", "summary", "memory_type", "importance",
                "created_at", "access_count", "fingerprint"]
-    # a memory is hit by many queries: its words are found once, in front of the join
+    # a memory is hit by many queries: its words are found once, in front of the join, and it is
+    # joined once for all queries with one vector
     shown = memories.select(*columns, tokenize(_shown_text()).alias("tokens"))
-    hits = near.join(shown, "id").join(asked.select(
+    found = near.select("asked_id", F.col("item_id").alias("id"), F.col("cosine").alias("vector_score")).join(shown, "id")
+    hits = asked.select(
         F.col("query_id").cast("string").alias("query_id"),
         F.col("session_id").alias("query_session_id"),
-        tokenize(F.col("query_text")).alias("query_tokens")), "query_id")
-    hits = hits.withColumn("lexical_score", query_overlap(
-        F.col("query_tokens"), F.col("tokens"))).drop("query_tokens", "tokens")
+        tokenize(F.col("query_text")).alias("query_tokens")).join(asked_of, "query_id").join(found, "asked_id")
+    hits = hits.withColumn("lexical_score", query_overlap(F.col("query_tokens"), F.col("tokens"))).drop(
+        "query_tokens", "tokens", "asked_id")
     # the score bound keeps a prefix of the ranking, so it may follow the cut; in front of it
     # the optimizer would push a second copy of the whole score below the projections
     best = top_k(hybrid_score(hits, as_of, config), ["query_id"], [F.desc("score"), F.asc("id")], k)
@@ -281,27 +282,31 @@ def graph_enrich(candidates: DataFrame, neighbours: DataFrame, context: DataFram
 def hybrid_retrieve(queries: DataFrame, memories: DataFrame, neighbours: DataFrame,
                     context: DataFrame | None, as_of, k: int | None = None, *,
                     weights: HybridWeights = HybridWeights(), scope: list[str] = ["user_id"],  # noqa: B006
-                    config: RetrievalConfig = DEFAULTS, legacy_double_norm: bool = False) -> DataFrame:
+                    config: RetrievalConfig = DEFAULTS, legacy_double_norm: bool = False,
+                    channels: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Vector and keyword channels, merged per memory, graph-enriched and ranked.
 
     ``legacy_double_norm`` divides the already scaled word overlap by five once
-    more.
+    more.  ``channels`` are the results of :func:`vector_topk` and :func:`keyword_topk`
+    with the same arguments, where a caller has them already.
     """
     k = k or config.top_k
     base = ["query_id", "id", "content", "summary", "importance", "created_at", "access_count",
             "fingerprint", "session_id", "user_id", "memory_type"]
     scale = F.lit(5.0 if legacy_double_norm else 1.0)
-    channels = [
-        vector_topk(queries, memories, as_of, k, scope=scope, config=config).select(
+    near, facts = channels or (vector_topk(queries, memories, as_of, k, scope=scope, config=config),
+                               keyword_topk(queries, memories, as_of, k, config=config))
+    parts = [
+        near.select(
             *base, F.col("vector_part").alias("vector_score"),
             (F.col("lexical_part") / scale).alias("keyword_score"), F.lit(0.0).alias("graph_score"),
             F.lit("vector").alias("source"), F.struct(F.lit(0).alias("c"), F.col("rank")).alias("channel")),
-        keyword_topk(queries, memories, as_of, k, config=config).select(
+        facts.select(
             *base, F.lit(0.0).alias("vector_score"),
             (F.col("lexical_part") / scale).alias("keyword_score"), F.lit(0.0).alias("graph_score"),
             F.lit("keyword").alias("source"), F.struct(F.lit(1).alias("c"), F.col("rank")).alias("channel")),
     ]
-    both = materialize(channels[0].unionByName(channels[1]), "hybrid-channels")
+    both = materialize(parts[0].unionByName(parts[1]), "hybrid-channels")
     seen = both.groupBy("query_id", "id").agg(F.min("channel").alias("seen"))
     merged = merge_by_id(both).join(seen, ["query_id", "id"])
     # written once: graph scores, new neighbours and what is already there all read these few rows a query

@@ -42,6 +42,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_candidates(chat_events(spark, sf_dir), AS_OF)
 
 
+@planned_once
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates written once, for queries that need them beside the stored table."""
+    return materialize(candidates(spark, sf_dir), "candidates")
+
+
 @planned_once
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored memory table: one row per (session, fingerprint), plus usage columns.
@@ -49,7 +55,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     Written once per application to the shared folder; the jobs over stored
     memories then read it with column pruning, as they would a real table.
     """
-    rows = corpus.with_usage(dedup.dedup_fingerprint(candidates(spark, sf_dir)))
+    rows = corpus.with_usage(dedup.dedup_fingerprint(extracted(spark, sf_dir)))
     return materialize(rows, "stored-memories")
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from memlake.functions import text
@@ -44,3 +45,33 @@ def test_group_conflicts_equal_brute_force(spark):
             if 0.25 <= score < 0.88:
                 want[f"m{i:03}", f"m{j:03}"] = score
     assert found == want and len(want) > 100
+
+
+@pytest.fixture
+def tables(spark):
+    from memlake.plans import inputs, retrieval_queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    inputs.stored(spark, sf_dir)
+    return retrieval_queries, sf_dir
+
+
+@pytest.mark.parametrize("name", ["r18_working_set"])
+def test_working_sets_extract_once(spark, tables, monkeypatch, name):
+    """Seeds come from the written candidates, not from a second extraction of the turns."""
+    from memlake.operators import extract
+
+    queries, sf_dir = tables
+    monkeypatch.setattr(extract, "extract_candidates", lambda *_: pytest.fail("extracted again"))
+    assert queries.QUERIES[name](spark, sf_dir).count()
+
+
+def test_memories_are_joined_once_for_equal_query_vectors(spark):
+    from memlake.operators.vector_search import nearest, shared_answers
+
+    q = spark.createDataFrame([(f"q{i}", "u", [1.0, float(i % 2)]) for i in range(6)], "query_id string, user_id string, embedding array<double>")
+    m = spark.createDataFrame([(f"m{i}", "u", [1.0, i / 4]) for i in range(5)], "id string, user_id string, embedding array<double>")
+    asked_of, best = shared_answers(q, m, 3, scope=["user_id"])
+    assert best.count() == 6 and asked_of.count() == 6
+    rows = {(r.query_id, r.rank): r.item_id for r in nearest(q, m, 3, scope=["user_id"]).collect()}
+    assert len(rows) == 18 and rows["q4", 1] == "m0" and rows["q5", 1] == "m4"
