@@ -167,11 +167,33 @@ def domain_links(memories: DataFrame) -> DataFrame:
     return rows.join(sizes, "domain").select("id", "domain", "links")
 
 
-def expand_domains(links: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, neighbour_id``: every link of the given ids."""
-    asked = links.join(ids.select("id").distinct(), "id", "left_semi").select("domain", "id")
-    members = links.select("domain", F.col("id").alias("neighbour_id"))
-    return asked.join(members, "domain").where("id != neighbour_id").select("id", "neighbour_id")
+def expand_domains(links: DataFrame, ids: DataFrame, block_ids: int = 2_000, run_ids: int = 64) -> DataFrame:
+    """``id, neighbour_id``: every link of the given ids.
+
+    The rows grow with the square of a domain, so they are made block by block: a task lists
+    the asked ids of one block beside the members of another.  Its rows name few ids, which a
+    columnar writer keeps in dictionaries; without blocks each row would take the length of an id on disk.
+    Members go by runs of ``run_ids`` past all asked ids, so that those in use stay in a core's cache.
+    """
+    asked = materialize(links.join(ids.select("id").distinct(), "id", "left_semi").select("domain", "id", "links"), "asked-links")
+    cuts = materialize(asked.groupBy("domain").agg(
+        F.ceil(F.count("*") / block_ids).cast("int").alias("parts"),
+        F.ceil((F.max("links") + 1) / block_ids).cast("int").alias("blocks")), "domain-blocks")
+    tasks = cuts.agg(F.sum(F.col("parts").cast("long") * F.col("blocks"))).first()[0] or 1
+
+    def dealt(rows: DataFrame, own: str, own_count: str, other: str, other_count: str, out: str) -> DataFrame:
+        spot = F.pmod(F.xxhash64("id"), F.col(own_count)).cast("int")
+        lists = rows.select("domain", "id").join(cuts, "domain").withColumn(own, spot).groupBy(
+            "domain", own, other_count).agg(F.collect_list("id").alias(out))
+        return lists.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1))).select(
+            "domain", "part", "block", out).repartition(int(tasks), "domain", "part", "block")
+
+    blocks = dealt(asked, "part", "parts", "block", "blocks", "asked").join(
+        dealt(links, "block", "blocks", "part", "parts", "members"), ["domain", "part", "block"])
+    starts = F.sequence(F.lit(1), F.size("members"), F.lit(run_ids))
+    runs = blocks.select("asked", F.explode(F.transform(starts, lambda i: F.slice("members", i, run_ids))).alias("run"))
+    return runs.select("run", F.explode("asked").alias("id")).select(
+        "id", F.explode("run").alias("neighbour_id")).where("id != neighbour_id")
 
 
 def similar_by_domain(memories: DataFrame, top_n: int = 5) -> DataFrame:

@@ -285,6 +285,26 @@ def test_domain_links_hold_every_pair(spark):
     assert {r.id: r.links for r in links.collect()} == {i: sum(a == i for a, _ in want) for i, x in rows if x is not None}
 
 
+def test_domain_links_in_blocks_take_little_disk(spark, tmp_path):
+    rows = [(f"m{i}", f"d{i % 3}") for i in range(60)] + [("m1", "d5"), ("lone", "alone")]
+    links = graph.domain_links(spark.createDataFrame(rows, "id string, domain string"))
+    asked = [i for i, _ in rows[::4]] + ["m1", "lone", "none"]
+    want = sorted((a, b) for (a, x), (b, y) in itertools.product(rows, rows) if a != b and x == y and a in asked)
+    ids = spark.createDataFrame([(i,) for i in asked], "id string")
+    assert sorted(tuple(r) for r in graph.expand_domains(links, ids, block_ids=7, run_ids=3).collect()) == want
+    assert graph.expand_domains(links, ids.where("id = 'none'")).count() == 0
+    # one domain with more ids than a dictionary page of a Parquet file holds
+    many = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit("d").alias("domain"), (F.col("id") < 20).alias("saved"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of more than a few MB
+    try:
+        graph.expand_domains(graph.domain_links(many), many.where("saved")).write.parquet(f"{tmp_path}/links")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found = spark.read.parquet(f"{tmp_path}/links")
+    assert found.count() == found.distinct().count() == 20 * 19_999
+    assert sum(f.stat().st_size for f in (tmp_path / "links").glob("*.parquet")) < 20 * 19_999 * 10
+
+
 def test_summaries_of_one_long_session(spark):
     rows = [("s", "u", f"e{i:05d}", i, "assistant" if i % 2 else "user", f"t{i}") for i in range(900)]
     df = spark.createDataFrame(rows, "session_id string, user_id string, event_id string, at long, role string, content string").withColumn(
