@@ -189,17 +189,24 @@ def with_similarity(df, a_norm: str, b_norm: str, a_tokens: str, b_tokens: str,
     tokens, 0.6 Jaccard + 0.4 longest common substring / longer length; only
     those rows are sent to Python.
     """
-    an, bn, at, bt = F.col(a_norm), F.col(b_norm), F.col(a_tokens), F.col(b_tokens)
-    short = (F.size(at) < 3) | (F.size(bt) < 3)
-    both_empty = (F.size(at) == 0) & (F.size(bt) == 0)
+    at, bt = F.col(a_tokens), F.col(b_tokens)
+    df = df.withColumn("__jac", jaccard(at, bt))
+    return with_sized_similarity(df, a_norm, b_norm, F.size(at), F.size(bt), F.col("__jac"), out).drop("__jac")
+
+
+def with_sized_similarity(df, a_norm: str, b_norm: str, a_size: Column, b_size: Column, jac: Column,
+                          out: str = "similarity"):
+    """:func:`with_similarity` of texts whose tokens are counted and compared already."""
+    an, bn = F.col(a_norm), F.col(b_norm)
+    short = (a_size < 3) | (b_size < 3)
+    both_empty = (a_size == 0) & (b_size == 0)
     needs_run = short & ~both_empty
     df = df.withColumn("__run", common_run_length(F.when(needs_run, an), F.when(needs_run, bn)))
-    df = df.withColumn("__jac", jaccard(at, bt))
     longer = F.greatest(F.length(an), F.length(bn))
     run_share = F.when(longer == 0, 1.0).otherwise(F.col("__run") / longer)
     raw = F.when(both_empty, F.when(an == bn, 1.0).otherwise(0.0)).when(
-        short, F.col("__jac") * 0.6 + run_share * 0.4).otherwise(F.col("__jac"))
-    return with_rounded(df, **{out: raw}).drop("__run", "__jac")
+        short, jac * 0.6 + run_share * 0.4).otherwise(jac)
+    return with_rounded(df, **{out: raw}).drop("__run")
 
 
 def similarity_of_texts(df, a: str, b: str, out: str = "similarity"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import math
 from functools import lru_cache
 
@@ -11,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlake.functions.lexicon import CONTRACTIONS, STOP_TERMS, jvm_regex
 from memlake.functions.text import (
     as_timestamp, distinct_tokens, fingerprint, jaccard, normalize_text, pair_similarity,
-    round2, round2_value, tokenize, with_similarity,
+    round2, round2_value, tokenize, with_sized_similarity,
 )
 from memlake.operators.vector_search import nearest
 from memlake.operators.windows import top_k
@@ -133,24 +136,102 @@ def relatedness(pairs: DataFrame) -> DataFrame:
 
 # -- all near-duplicate pairs of a scope --------------------------------------
 
-#: tokens ordered by frequency; the rest counts as equally rare
-FREQUENT_TOKENS = 20_000
+def _size_classes(threshold: float, size: int) -> tuple[list[int], list[int]]:
+    """First sizes of the classes up to ``size``, and the parts that a set is cut into in each.
 
+    A set and a larger one of at least this Jaccard index lie in one class or in two neighbouring ones.  They
+    differ in fewer tokens than the parts of the smaller one's class, so they agree on the whole of some part.
+    """
+    starts, parts = [1], []
+    while starts[-1] <= size:
+        after = math.floor(starts[-1] / threshold + 1e-6) + 1
+        small, large = after - 1, math.floor((after - 1) / threshold + 1e-6)
+        parts.append(math.floor((small + large) * (1 - threshold) / (1 + threshold) + 1e-6) + 1)
+        starts.append(after)
+    return starts[:-1], parts
+
+
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _part_keys(hashes: np.ndarray, sums: np.ndarray, of_class: int, parts: int) -> np.ndarray:
+    """A key for each part of sorted token hashes: what the part holds, its place and its class."""
+    cuts = -(-np.arange(parts + 1, dtype=np.int64) * (1 << 32) // parts) if parts > 1 else np.array([0, 1 << 32])
+    edges = np.searchsorted(hashes >> np.uint64(32), cuts.astype(np.uint64))
+    x = sums[edges[1:]] - sums[edges[:-1]]
+    x = (x ^ (np.arange(parts, dtype=np.uint64) + np.uint64(of_class << 32)) * _MIX[0]) * _MIX[1]
+    return (x ^ (x >> np.uint64(31))) * _MIX[2]
+
+
+class _TokenHashes(dict):
+    """64-bit hashes by token; the million seen first are kept."""
+
+    def __missing__(self, token: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little")
+        if len(self) < 1_000_000:
+            self[token] = found
+        return found
 
-def _rare_first(reps: DataFrame, scope: list[str], seen: DataFrame) -> DataFrame:
-    """``scope…, rep, short, n, hashes``: token hashes of each text, rarest in ``seen`` first.
 
-    Only the most frequent tokens need their counts, so the broadcast side has
-    a fixed number of rows.
+def _token_sets(few: float, bound: float, long_bound: float):
+    """Digest, token hashes and keys of texts in lower case, contractions expanded.
+
+    ``own`` are the keys of a set in its size class, ``lower`` those in the class below; sets of at most ``few``
+    tokens have keys for ``bound`` too, of three or more for ``long_bound``.
     """
-    frequent = seen.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count("*").alias("df")).orderBy(
-        F.desc("df"), "h").limit(FREQUENT_TOKENS)
-    tokens = reps.select(*scope, "rep", "short", F.explode("tokens").alias("h"))
-    ranked = tokens.join(F.broadcast(frequent), "h", "left")
-    return ranked.groupBy(*scope, "rep").agg(
-        F.max("short").alias("short"), F.count("*").alias("n"),
-        F.transform(F.sort_array(F.collect_list(F.struct(
-            F.coalesce("df", F.lit(0)).alias("df"), "h"))), lambda e: e["h"]).alias("hashes"))
+    plain = bytes(c if c in b"abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+    stop = {t.encode() for t in STOP_TERMS}
+    known = _TokenHashes()
+
+    @F.pandas_udf("digest binary, n int, hashes array<long>, short string, own array<long>, lower array<long>")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        bounds: dict[float, tuple[list[int], list[int]]] = {}
+
+        def keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sums = np.zeros(len(h) + 1, dtype=np.uint64)
+            np.cumsum(h, out=sums[1:])
+            found: tuple[list, list] = ([], [])
+            for family, (limit, wanted) in enumerate(((bound, len(h) <= few), (long_bound, len(h) >= 3))):
+                if not wanted:
+                    continue
+                if limit not in bounds or bounds[limit][0][-1] < len(h):
+                    bounds[limit] = _size_classes(limit, 2 * len(h))
+                starts, parts = bounds[limit]
+                own = bisect.bisect_right(starts, len(h)) - 1
+                for out, c in zip(found, (own, own - 1)):
+                    if c >= 0:  # parts of under two tokens are often empty and tell less than single tokens
+                        out.append(_part_keys(h, sums, 2 * c + family, parts[c]) if 2 * parts[c] <= starts[c] or parts[c] == 1
+                                   else (h ^ np.uint64(2 * c + family)) * _MIX[1])
+            none = np.empty(0, dtype=np.uint64)
+            return tuple(np.concatenate([none, *k]).view(np.int64) for k in found)
+
+        rows = []
+        for text in texts:
+            if text is None:
+                rows.append((None, 0, None, None, None, None))
+                continue
+            words = text.encode().translate(plain).split()
+            norm = b" ".join(words)
+            distinct = set(words) - stop
+            h = np.sort(np.fromiter(map(known.__getitem__, distinct), dtype=np.uint64, count=len(distinct)))
+            own, lower = keys(h) if len(h) else (None, None)
+            rows.append((hashlib.sha256(norm).digest(), len(h), h.view(np.int64), norm.decode() if len(h) <= few else None, own, lower))
+        return pd.DataFrame(rows, columns=["digest", "n", "hashes", "short", "own", "lower"])
+    return sets
+
+
+@F.pandas_udf(T.IntegerType())
+def shared_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many items two arrays of distinct hashes share."""
+    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], dtype="int32")
+
+
+def _expanded(text: Column) -> Column:
+    """Lower case with contractions expanded; only texts that hold one go through all the patterns."""
+    low = out = F.lower(text)
+    for pattern, replacement in CONTRACTIONS:
+        out = F.regexp_replace(out, jvm_regex(pattern), replacement)
+    return F.when(F.contains(low, F.lit("'")), out).otherwise(low)
 
 
 PARITY_WORDS = 8
@@ -184,8 +265,9 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
     Texts with the same normal form are joined to their smallest id as a star
     (``kind = 'copy'``), never pairwise; the smallest ids are then compared
     with each other (``kind = 'similar'``).  Candidates come from an exact
-    prefix filter: two token sets with Jaccard ≥ t share a token among the
-    first ``n − ⌈t·n⌉ + 1`` of any common order, here rarest first.
+    partition of all tokens: two sets with Jaccard ≥ t differ in few tokens, so of one
+    part more than that they hold the same tokens in at least one; texts meet by
+    such a part, of about 1 / (1 − t) tokens, and not by single words.
 
     ``scorer`` may replace the similarity: a callable from two text columns to a
     score column.  The token filter says nothing about another score, so its
@@ -198,15 +280,14 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
     bound = (threshold - 0.005 - 0.4) / 0.6
     if bound <= 0 and scorer is None:
         raise ValueError("near_dup_pairs needs a threshold above 0.41")
-    norm = normalize_text(F.col(text_col))
-    prepared = df.select(*scope, F.col(id_col).alias("id"), F.col(text_col).alias("text"), norm.alias("norm"))
-    prepared = prepared.withColumns({
-        "digest": F.unhex(F.sha2("norm", 256)), "tokens": F.array_distinct(tokenize(F.col("norm")))})
-    # what is needed several times is written once; the character part concerns texts of few tokens alone
     few = max(2.0, 2 / bound) if bound > 0 else 2.0
-    prepared = prepared.select(
-        *scope, "id", "digest", *(["text"] if scorer is not None else [
-            F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"), F.when(F.size("tokens") <= few, F.col("norm")).alias("short")]))
+    prepared = df.select(*scope, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if scorer is not None:
+        prepared = prepared.select(*scope, "id", F.unhex(F.sha2(normalize_text(F.col("text")), 256)).alias("digest"), "text")
+    else:
+        prepared = prepared.select(*scope, "id", _token_sets(few, bound, long_bound)(_expanded(F.col("text"))).alias("t")).select(
+            *scope, "id", "t.*")
+    # written once: copies, keys and the check of what meets read it
     prepared = materialize(prepared, "near-dup")
     heads = prepared.groupBy(*scope, "digest").agg(F.min("id").alias("rep"))
     copies = prepared.select(*scope, "id", "digest").join(heads, [*scope, "digest"]).where(
@@ -227,43 +308,33 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
                                         F.col("b.rep").alias("id_b"), scorer(F.col("a.text"), F.col("b.text")).alias("similarity"))
         return copies.unionByName(scored.where(F.col("similarity") >= threshold).withColumn("kind", F.lit("similar")))
 
-    reps = reps.where(F.size("tokens") > 0)
-    n = F.col("n")
-    # texts that can only meet others of three tokens or more need the Jaccard bound itself
-    reachable = F.when(n <= few, bound).otherwise(long_bound)
-    take = n - F.ceil(n * reachable - 1e-9).cast("int") + 1
-    ranked = _rare_first(reps, scope, prepared).withColumn("parity", token_parities("hashes"))
-    # written once: both sides of the join and the check of what meets read it
-    ranked = materialize(ranked, "near-dup-tokens")
-    spots = ranked.select(*scope, "rep", "n", "parity", F.slice("hashes", F.lit(1), take.cast("int")).alias("prefix")).select(
-        *scope, "rep", "n", "parity", "prefix", F.posexplode("prefix").alias("spot", "key"))
-    keyed = spots.select(*scope, "rep", "n", "parity", "spot", "key", F.slice("prefix", F.lit(1), F.col("spot")).alias("rarer"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*scope, "key"]]
-    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    least = F.when(small < 3, bound).otherwise(long_bound)
-    both = F.col("a.n") + F.col("b.n")
-    # of the first shared token's places, and of the tokens known to differ, the overlap must still be possible
-    ahead = F.least(F.col("a.n") - F.col("a.spot"), F.col("b.n") - F.col("b.spot"))
-    apart = tokens_apart("a.parity", "b.parity")
-    condition = ((F.col("a.rep") < F.col("b.rep")) & (small >= large * least - 1e-9)
-                 & (ahead >= both * least / (1 + least) - 1e-9)
-                 & (both - apart >= 2 * both * least / (1 + least) - 1e-9)
-                 & ~F.arrays_overlap("a.rarer", "b.rarer"))
-    for c in same:
-        condition = condition & c
-    pairs = a.join(b, condition).select(
+    reps = materialize(reps.where(F.col("n") > 0).select(*scope, "rep", "n", "own", "lower"), "near-dup-keys")
+    own = reps.select(*scope, "rep", "n", F.explode("own").alias("key"))
+    lower = reps.select(*scope, "rep", "n", F.explode("lower").alias("key"))
+    every = own.withColumn("larger", F.lit(False)).unionByName(lower.withColumn("larger", F.lit(True)))
+    a, b = own.alias("a"), every.alias("b")
+    condition = ((F.col("b.larger") | (F.col("a.rep") < F.col("b.rep")))
+                 & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * min(bound, long_bound) - 1e-9))
+    for c in [*scope, "key"]:
+        condition = condition & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    met = a.join(b, condition).select(
         *[F.col(f"a.{c}").alias(c) for c in scope],
-        F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b"))
+        F.least("a.rep", "b.rep").alias("id_a"), F.greatest("a.rep", "b.rep").alias("id_b")).distinct()
+    pairs = materialize(met, "near-dup-met")
+    sets = prepared.select("id", F.col("short"), "hashes").join(
+        pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "id", "left_semi")
     for side in "ab":
-        pairs = pairs.join(ranked.select(
-            F.col("rep").alias(f"id_{side}"), F.col("short").alias(f"norm_{side}"),
+        pairs = pairs.join(sets.select(
+            F.col("id").alias(f"id_{side}"), F.col("short").alias(f"norm_{side}"),
             F.col("hashes").alias(f"tokens_{side}")), f"id_{side}")
+    # compared once and written: filters and scores read the counts
+    pairs = materialize(pairs.select(
+        *scope, "id_a", "id_b", "norm_a", "norm_b", F.size("tokens_a").alias("n_a"), F.size("tokens_b").alias("n_b"),
+        shared_tokens("tokens_a", "tokens_b").alias("shared")), "near-dup-compared")
+    jac = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     # settle the Jaccard bound first; few short texts remain for the character part
-    both_long = F.least(F.size("tokens_a"), F.size("tokens_b")) >= 3
-    pairs = pairs.where(jaccard(F.col("tokens_a"), F.col("tokens_b")) >= F.when(
-        both_long, long_bound).otherwise(bound) - 1e-9)
-    scored = with_similarity(pairs, "norm_a", "norm_b", "tokens_a", "tokens_b")
+    pairs = pairs.where(jac >= F.when(F.least("n_a", "n_b") >= 3, long_bound).otherwise(bound) - 1e-9)
+    scored = with_sized_similarity(pairs, "norm_a", "norm_b", F.col("n_a"), F.col("n_b"), jac)
     similar = scored.where(F.col("similarity") >= threshold).select(
         *scope, "id_a", "id_b", "similarity", F.lit("similar").alias("kind"))
     return copies.unionByName(similar)

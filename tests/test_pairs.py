@@ -53,6 +53,49 @@ def test_near_dup_pairs_match_brute_force(spark, threshold):
     assert sum(r.kind == "copy" for r in found) == len(rows) - len(reps)
 
 
+@pytest.mark.parametrize("threshold", [0.915, 0.858, 0.845, 0.695])
+def test_size_classes_hold_every_pair_over_the_threshold(threshold):
+    starts, parts = dedup._size_classes(threshold, 600)
+    of = lambda n: max(i for i, s in enumerate(starts) if s <= n)
+    for small in range(1, 300):
+        for large in range(small, int(small / threshold + 1e-9) + 1):
+            shared = next(s for s in range(small + 1) if s / (small + large - s) >= threshold - 1e-9)
+            assert of(large) - of(small) in (0, 1)
+            assert small + large - 2 * shared < parts[of(small)]
+
+
+def test_near_dup_sets_meet_by_parts_and_not_by_words(spark, monkeypatch):
+    written, write = {}, dedup.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "materialize", counted)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    sets = [set(rng.sample(words, rng.randint(3, 120))) for _ in range(600)]
+    for base in sets[:200]:  # near ones on both sides of the threshold, in the same and the next size class
+        changed, moves = set(base), max(1, round(len(base) * rng.uniform(0.01, 0.12)))
+        for _ in range(moves):
+            kind = rng.randint(0, 2)
+            if kind < 2 and len(changed) > 3:
+                changed.discard(rng.choice(sorted(changed)))
+            if kind > 0:
+                changed.add(rng.choice(words))
+        sets.append(changed)
+    rows = [(i, "u", " ".join(rng.sample(sorted(s), len(s)))) for i, s in enumerate(sets)]
+    found = dedup.near_dup_pairs(spark.createDataFrame(rows, "id long, user_id string, content string"), ["user_id"]).where("kind = 'similar'").collect()
+    want = {(a, b): tx.round2_value(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in itertools.combinations(range(len(sets)), 2)
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.9}
+    assert len(want) > 100 and min(want.values()) < 0.92
+    same = {(r.id_a, r.id_b): r.similarity for r in found}
+    kept = {k: v for k, v in want.items() if v >= 0.92 and rows[k[0]][2] != rows[k[1]][2]}
+    assert same == kept
+    assert written["near-dup-met"] < 4 * len(want)  # of 319,600 pairs, most of which share a word
+
+
 def test_merged_confidence_over_many_partitions(spark):
     rng = random.Random(3)
     rows = [("hot", i, f"id{i:05d}", rng.randint(0, 100) / 100) for i in range(3000)]
