@@ -5,10 +5,12 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,17 +166,20 @@ def _part_keys(hashes: np.ndarray, sums: np.ndarray, of_class: int, parts: int)
 
 
 class _TokenHashes(dict):
-    """64-bit hashes by token; the million seen first are kept."""
+    """64-bit hashes by token; those of the 100,000 seen first are kept."""
 
     def __missing__(self, token: bytes) -> int:
         found = int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little")
-        if len(self) < 1_000_000:
+        if len(self) < 100_000:
             self[token] = found
         return found
 
 
+SET_COLUMNS = {"digest": "binary", "n": "int", "hashes": "array<long>", "short": "string", "own": "array<long>", "lower": "array<long>"}
+
+
 def _token_sets(few: float, bound: float, long_bound: float):
-    """Digest, token hashes and keys of texts in lower case, contractions expanded.
+    """Digest, token hashes and keys in place of ``text``, the last column, in lower case with contractions expanded.
 
     ``own`` are the keys of a set in its size class, ``lower`` those in the class below; sets of at most ``few``
     tokens have keys for ``bound`` too, of three or more for ``long_bound``.
@@ -182,9 +187,10 @@ def _token_sets(few: float, bound: float, long_bound: float):
     plain = bytes(c if c in b"abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
     stop = {t.encode() for t in STOP_TERMS}
     known = _TokenHashes()
+    longs = pa.list_(pa.int64())
+    types = [pa.binary(), pa.int32(), longs, pa.string(), longs, longs]
 
-    @F.pandas_udf("digest binary, n int, hashes array<long>, short string, own array<long>, lower array<long>")
-    def sets(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds: dict[float, tuple[list[int], list[int]]] = {}
 
         def keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,19 +211,24 @@ def _token_sets(few: float, bound: float, long_bound: float):
             none = np.empty(0, dtype=np.uint64)
             return tuple(np.concatenate([none, *k]).view(np.int64) for k in found)
 
-        rows = []
-        for text in texts:
+        def of(text: str | None) -> tuple:
             if text is None:
-                rows.append((None, 0, None, None, None, None))
-                continue
+                return None, 0, None, None, None, None
             words = text.encode().translate(plain).split()
             norm = b" ".join(words)
             distinct = set(words) - stop
             h = np.sort(np.fromiter(map(known.__getitem__, distinct), dtype=np.uint64, count=len(distinct)))
             own, lower = keys(h) if len(h) else (None, None)
-            rows.append((hashlib.sha256(norm).digest(), len(h), h.view(np.int64), norm.decode() if len(h) <= few else None, own, lower))
-        return pd.DataFrame(rows, columns=["digest", "n", "hashes", "short", "own", "lower"])
-    return sets
+            return hashlib.sha256(norm).digest(), len(h), h.view(np.int64), norm.decode() if len(h) <= few else None, own, lower
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):  # few texts at once, so that a worker stays small
+                part = batch.slice(start, 500)
+                found = zip(*map(of, part.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], *(pa.array(c, type=t) for c, t in zip(found, types))],
+                    names=[*part.schema.names[:-1], *SET_COLUMNS])
+    return run
 
 
 @F.pandas_udf(T.IntegerType())
@@ -285,8 +296,9 @@ def near_dup_pairs(df: DataFrame, scope: list[str], threshold: float = DUPLICATE
     if scorer is not None:
         prepared = prepared.select(*scope, "id", F.unhex(F.sha2(normalize_text(F.col("text")), 256)).alias("digest"), "text")
     else:
-        prepared = prepared.select(*scope, "id", _token_sets(few, bound, long_bound)(_expanded(F.col("text"))).alias("t")).select(
-            *scope, "id", "t.*")
+        kinds = dict(prepared.dtypes) | SET_COLUMNS
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*scope, "id", *SET_COLUMNS])
+        prepared = prepared.withColumn("text", _expanded(F.col("text"))).mapInArrow(_token_sets(few, bound, long_bound), schema)
     # written once: copies, keys and the check of what meets read it
     prepared = materialize(prepared, "near-dup")
     heads = prepared.groupBy(*scope, "digest").agg(F.min("id").alias("rep"))
